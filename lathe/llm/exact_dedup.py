@@ -21,14 +21,15 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, read, row_number_base
+from .common import cut, fresh, read, row_number_base
 
 SALTS = 32
 FLUSH_BYTES = 48 << 20
@@ -103,15 +104,14 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = assignments(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    # A-Z only, as the texts were normalised above.
-    digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    from pyspark.sql import Window
-
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": digest})
-    one = Window.partitionBy("_id", "_digest").orderBy(F.lit(0))
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_digest"] == kept["_digest"])
-    return keyed.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(docs.columns)
+    own_id, own_digest, place = fresh(docs, "own_id"), fresh(docs, "own_digest"), fresh(docs, "own_place")
+    kept = assignments(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_digest: digest})
+    # Rows that repeat id and text are alike up to case and other columns; the first by its own text stays.
+    one = Window.partitionBy(own_id, own_digest).orderBy(F.col(text_col).cast("string"))
+    same = keyed[own_id].eqNullSafe(kept["kept_id"]) & (keyed[own_digest] == kept["kept_digest"])
+    return keyed.join(kept, same, "left_semi").withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).select(docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

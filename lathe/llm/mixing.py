@@ -101,7 +101,13 @@ def _round(frame: pd.DataFrame) -> pd.DataFrame:
         room = n[i] if whole[i] < LIMIT else 0
         extra[i] = min(room, max(0, math.floor(owed / size[i] + 0.5)))
         owed -= extra[i] * size[i]
-    return pd.DataFrame({"source": frame["source"], "size": size, "salt": frame["salt"], "whole": whole, "extra": extra})
+    # What small documents could not make good goes to any that still have room, or is taken back.
+    for i in range(len(frame)):
+        more = math.floor(owed / size[i] + 0.5)
+        more = max(-n[i] * whole[i] - extra[i], min(n[i] * (LIMIT - whole[i]) - extra[i], more))
+        extra[i] += more
+        owed -= more * size[i]
+    return pd.DataFrame({"source": frame["source"], "size": size, "salt": frame["salt"], "n": n, "whole": whole, "extra": extra})
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -120,11 +126,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with_facts = lambda df: df.join(_hinted(table, len(facts)), F.col("source").eqNullSafe(F.col("t_source")))
     rate = F.when(F.col("target") >= LIMIT * F.col("source_size"), float(LIMIT)).otherwise(F.least(F.lit(float(LIMIT)), F.exp(F.least(F.col("at") * F.col("size") / F.col("mean"), F.lit(5.0)))))
     rated = with_facts(cells.filter("size > 0")).select("source", "size", "salt", "n", rate.alias("rate"))
-    plan = rated.groupBy("source").applyInPandas(_round, "source string, size long, salt int, whole long, extra long")
+    plan = rated.groupBy("source").applyInPandas(_round, "source string, size long, salt int, n long, whole long, extra long")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id")))
-    plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("salt").alias("p_salt"), "whole", "extra")
+    plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("salt").alias("p_salt"), "n", "whole", "extra")
     same = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("salt") == F.col("p_salt"))
-    copies = F.coalesce(F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0), F.lit(0))
+    copies = F.coalesce(F.col("whole") + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("rank") <= F.pmod("extra", "n"), 1).otherwise(0), F.lit(0))
     joined = ranked.join(plan, same, "left").select("doc_id", "source", "size", copies.cast("int").alias("copies"), *keep)
     return with_facts(joined).select("doc_id", "source", "size", "source_size", "target", "copies", *keep)
 

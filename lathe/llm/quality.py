@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, read
+from .common import Words, buffer_of, chunks, fresh, read
 
 #: Largest share of characters in duplicated n-grams, by n.
 NGRAM_BOUNDS = {2: 0.60, 3: 0.45, 5: 0.35, 8: 0.30, 10: 0.30}
@@ -167,7 +167,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _keep(batches):
     for batch in batches:
-        for part in chunks(batch, "_text"):
+        for part in chunks(batch, batch.schema.names[-1]):
             _, kept = judge(measure(part.column(part.num_columns - 1)))
             rest = part.filter(pa.array(kept))
             yield pa.RecordBatch.from_arrays(rest.columns[:-1], names=rest.schema.names[:-1])
@@ -175,7 +175,7 @@ def _keep(batches):
 
 def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns; the text is read once."""
-    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(_keep, docs.schema)
+    return docs.withColumn(fresh(docs, "whole_text"), F.col(text_col).cast("string")).mapInArrow(_keep, docs.schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

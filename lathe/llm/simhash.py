@@ -30,10 +30,10 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, row_number_base
+from .common import cut, fresh, read, row_number_base
 
 RADIUS = 3
 SHINGLE = 3
@@ -201,23 +201,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(by_print, "fp").select("doc_id", "uid", "fp", "component_id")
 
 
-def _numbered(batches):
-    uid = row_number_base()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(uid, uid + batch.num_rows))], names=[*batch.schema.names, "_uid"])
-        uid += batch.num_rows
+def _numbered(name: str):
+    """Add a row number as the last column."""
+
+    def run(batches):
+        uid = row_number_base()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(uid, uid + batch.num_rows))], names=[*batch.schema.names, name])
+            uid += batch.num_rows
+
+    return run
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns."""
-    schema = docs.select("*", F.lit(0).cast("long").alias("_uid")).schema
-    numbered = cut(docs.mapInArrow(_numbered, schema), "numbered")
-    prints = numbered.select(F.col("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = classes(prints.select(F.struct("doc_id", "_uid").alias("doc"), "text").select(F.col("doc._uid").alias("doc_id"), "text"))
-    # Components over row numbers; the smallest document id of each is chosen next.
-    ranked = found.select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("c")).join(prints.select("_uid", "doc_id"), "_uid")
-    best = ranked.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid")).alias("m")).select(F.col("m._uid").alias("_uid"))
-    return numbered.join(best, "_uid", "left_semi").select(docs.columns)
+    """The document with the smallest id of each component, with all their columns."""
+    own = fresh(docs, "own_row")
+    numbered = cut(docs.mapInArrow(_numbered(own), docs.select("*", F.lit(0).cast("long").alias(own)).schema), "numbered")
+    ids = numbered.select(F.col(own).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    # Components over row numbers, which no two rows share; the smallest document id of each is chosen next.
+    found = classes(numbered.select(F.col(own).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    ranked = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")).join(ids, "row")
+    best = ranked.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("best"))
+    return numbered.join(best, numbered[own] == best["best"], "left_semi").select(docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
