@@ -63,7 +63,7 @@ def tokens(text: Column, size: int) -> Column:
 
 def mass_properties(text: Column) -> Column:
     """At least 12 decimals: centre 3, volume, area, mass, moments 3 and 3, and the rest."""
-    found = F.transform(F.split(text, ","), F.trim)
+    found = F.transform(F.split(text, ","), lambda x: F.trim(x))
     fields = F.struct(
         F.slice(found, 1, 3).alias("center_of_mass"), F.element_at(found, 4).alias("volume"), F.element_at(found, 5).alias("area"), F.element_at(found, 6).alias("mass"),
         F.slice(found, 7, 3).alias("moments"), F.slice(found, 10, 3).alias("products"), F.slice(found, 13, F.greatest(F.size(found) - 12, F.lit(0))).alias("rest"),
