@@ -74,7 +74,7 @@ _CODE = np.zeros(256, np.int64)
 _CODE[list(b"={}();<>[]\"")] = 1
 
 #: Number of values of each shape feature.
-SHAPES = (10, 6, 4, 2, 4, 7, 2, 10 * 6 * 4)
+SHAPES = (10, 6, 4, 2, 4, 7, 4, 10 * 6 * 4)
 NEARS = 6  # none, other, assignment sign alone, key word, key word with sign, ends with sign
 FILES = (4, 3)
 
@@ -102,7 +102,8 @@ def shape_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hexed = ((_sums(_HEX[data], start, end) == size) & (digits > 0)).astype(np.int64)
     joints = np.minimum(3, _sums(_JOINTS[data], start, end))
     changes = np.searchsorted([1, 2, 3, 5, 8, 12], _sums(change, start, end), "right")
-    heavy = (2 * signs > size).astype(np.int64)
+    # Mostly signs, and an at sign as in addresses.
+    heavy = (2 * signs > size) + 2 * (_sums(data == 64, start, end) > 0)
     features = np.stack([length, digit, case, hexed, joints, changes, heavy, (length * 6 + digit) * 4 + case], axis=1)
     low = pc.ascii_lower(words.cast(pa.large_string())) if len(words) else pa.array([], pa.large_string())
     key = np.zeros(len(words), bool)
