@@ -68,7 +68,7 @@ def parse(documents: DataFrame, profile: str = "service", strict: bool = False)
     legacy = found.filter(F.col("path").rlike("SummaryInformation$|-Properties$") & F.col("decoded").isNotNull())
     faults = streams.faults(found, limits)
     tables = raw | {
-        "components": components, "references": resolve.references(components, raw["header_files"], raw["views"]), "configurations": resolve.configurations(raw["config_candidates"]), "document_kinds": resolve.document_kinds(raw["kind_candidates"]),
+        "components": components, "references": resolve.references(components, raw["header_files"], raw["views"]), "configurations": resolve.configurations(resolve.with_name_fallbacks(raw["config_candidates"], raw["properties"])), "document_kinds": resolve.document_kinds(raw["kind_candidates"]),
         "versions": resolve.versions(found), "units": resolve.units(raw["properties"]), "sheets": resolve.sheets(raw["sheets"]), "legacy_properties": binary.property_sets(legacy),
         "previews": binary.previews(found.filter(F.col("path").rlike("Preview") & F.col("decoded").isNotNull())), "coverage": resolve.stream_coverage(found, faults), "faults": faults,
     }

@@ -241,3 +241,35 @@ def display_meshes(streams: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "path", "positions", "normals", "triangles"])
 
     return streams.select("doc_id", "path", "decoded").mapInPandas(run, "doc_id string, path string, positions array<float>, normals array<float>, triangles array<int>")
+
+
+def sheet_names(raw: bytes) -> list[str]:
+    """Names of a sheet-name stream: a count, then FF FE FF, a length and UTF-16 text each; only zeros may follow."""
+    if len(raw) < 2:
+        raise ValueError("sheet_names_truncated")
+    count, at, out = struct.unpack_from("<H", raw)[0], 2, []
+    for _ in range(count):
+        if raw[at : at + 3] != b"\xff\xfe\xff":
+            raise ValueError("sheet_names_marker")
+        if at + 4 > len(raw) or at + 4 + 2 * raw[at + 3] > len(raw):
+            raise ValueError("sheet_names_truncated")
+        end = at + 4 + 2 * raw[at + 3]
+        out.append(raw[at + 4 : end].decode("utf-16-le"))
+        at = end
+    return out
+
+
+def sheet_name_rows(streams: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, name) of sheet-name streams; a broken stream gives no rows."""
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for doc, raw in zip(frame["doc_id"], frame["decoded"], strict=True):
+                try:
+                    out += [(doc, i, name) for i, name in enumerate(sheet_names(bytes(raw)))]
+                except ValueError:
+                    continue
+            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "name"])
+
+    return streams.select("doc_id", "decoded").mapInPandas(run, "doc_id string, ordinal int, name string")

@@ -137,3 +137,55 @@ def stream_coverage(entries: DataFrame, faults: DataFrame) -> DataFrame:
     state = F.when(F.col("bad"), "malformed").when(F.col("path").rlike(read), "partially").otherwise("uninterpreted")
     rows = entries.filter("decoded_size IS NOT NULL").join(bad, ["doc_id", "path"], "left").withColumn("class", state)
     return conflicts.coverage(rows, ["doc_id"], "class", "decoded_size")
+
+
+def with_name_fallbacks(candidates: DataFrame, properties: DataFrame) -> DataFrame:
+    """Configuration candidates, and names that properties give.
+
+    A configuration's own ``Configuration`` property is a name of rank 2. If a
+    document has one configuration and nothing names it, the active
+    configuration's system property does, at rank 3.
+    """
+    present = properties.filter("value_state = 'present'")
+    own = present.filter("kind = 'custom' AND name = 'Configuration' AND configuration_index IS NOT NULL").select("doc_id", "stream_path", "ordinal", "configuration_index", F.col("raw_value").alias("name"), F.lit(2).alias("priority"))
+    every = candidates.unionByName(own, allowMissingColumns=True)
+    single = every.groupBy("doc_id").agg(F.count_distinct("configuration_index").alias("n"), F.count("name").alias("named"), F.max("configuration_index").alias("configuration_index")).filter("n = 1 AND named = 0")
+    active = present.filter("kind = 'system' AND name = 'SW-Configuration Name'").groupBy("doc_id").agg(F.min_by("raw_value", "ordinal").alias("name"), F.min("ordinal").alias("ordinal"))
+    derived = single.join(active, "doc_id").select("doc_id", "configuration_index", "name", F.lit(3).alias("priority"), "ordinal")
+    return every.unionByName(derived, allowMissingColumns=True)
+
+
+def selected_configurations(requests: DataFrame, configs: DataFrame) -> DataFrame:
+    """Configurations that a request means: the one whose name or alternate fits, or all where none is named.
+
+    requests: doc_id, requested (null: all). status: selected, missing or ambiguous.
+    """
+    names = F.array_compact(F.concat(F.array("name"), F.coalesce("alternate_names", F.array().cast("array<string>"))))
+    rows = configs.select("doc_id", "configuration_index", names.alias("names"))
+    met = requests.join(rows, "doc_id", "left").withColumn("fits", F.coalesce(F.col("requested").isNull() | F.array_contains("names", F.col("requested")), F.lit(False)))
+    out = met.groupBy("doc_id", "requested").agg(F.array_sort(F.collect_set(F.when(F.col("fits"), F.col("configuration_index")))).alias("indices"))
+    n = F.size("indices")
+    status = F.when(F.col("requested").isNull() | (n == 1), "selected").when(n == 0, "missing").otherwise("ambiguous")
+    return out.select("doc_id", "requested", status.alias("status"), F.when(status == "selected", F.col("indices")).otherwise(F.array().cast("array<bigint>")).alias("indices"))
+
+
+def sheet_previews(sheet_rows: DataFrame, names: DataFrame, previews: DataFrame) -> DataFrame:
+    """Sheets with their preview: by name to the last ordinal of that name; each preview goes to the first sheet that asks.
+
+    names: doc_id, ordinal, name. previews: doc_id, ordinal, path.
+    """
+    last = names.groupBy("doc_id", "name").agg(F.max("ordinal").alias("preview_ordinal"))
+    asked = sheet_rows.join(last, ["doc_id", "name"], "left")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "preview_ordinal").orderBy("ordinal"))
+    first = asked.withColumn("_k", turn)
+    images = previews.select("doc_id", F.col("ordinal").alias("preview_ordinal"), F.col("path").alias("preview"))
+    joined = first.join(images, ["doc_id", "preview_ordinal"], "left")
+    return joined.withColumn("preview", F.when(F.col("_k") == 1, F.col("preview"))).drop("_k", "preview_ordinal")
+
+
+def extension_mismatches(kinds: DataFrame, path: str = "doc_id") -> DataFrame:
+    """Documents whose suffix announces another kind than their content."""
+    from lathe.sources.probe import kind_hint
+
+    hint = kind_hint(F.col(path))
+    return kinds.filter(hint.isNotNull() & F.col("document_kind").isNotNull() & (hint != F.col("document_kind"))).select("doc_id", hint.alias("announced"), "document_kind")

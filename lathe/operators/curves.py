@@ -207,3 +207,66 @@ def unrolled(points: DataFrame, radius: Column) -> DataFrame:
     total = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = F.first("angle").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return flat.withColumns({"u": radius * (first + total), "v": F.col("height")}).drop("step")
+
+
+def cylinder_roles(points: DataFrame, radius: float | str = "radius") -> DataFrame:
+    """Role of each loop of a cylindrical face, on its flat chart.
+
+    points: doc_id, face, loop, i, angle, height and the radius column. One loop
+    must run round the face the positive way (outer); the others the negative way,
+    each strictly inside one copy of the outer chart. Else all roles are null.
+    """
+    flat = unrolled(points, F.col(radius) if isinstance(radius, str) else F.lit(radius))
+
+    def area(p: np.ndarray) -> float:
+        q = np.roll(p, -1, axis=0)
+        return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
+
+    def inside(p: np.ndarray, at: np.ndarray) -> bool:
+        q = np.roll(p, -1, axis=0)
+        over = (p[:, 1] > at[1]) != (q[:, 1] > at[1])
+        a, b = p[over], q[over]
+        return bool((at[0] < a[:, 0] + (at[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])).sum() % 2) if over.any() else False
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        turn = TURN * float(frame["r"].iloc[0])
+        loops = {k: g.sort_values("i")[["u", "v"]].to_numpy(float) for k, g in frame.groupby("loop")}
+        areas = {k: area(p) for k, p in loops.items()}
+        outer = [k for k, a in areas.items() if a > 0]
+        good = len(outer) == 1 and all(a != 0 for a in areas.values())
+        if good:
+            ring = loops[outer[0]]
+            low, high = ring[:, 0].min(), ring[:, 0].max()
+            holes = []
+            for k, p in loops.items():
+                if k == outer[0]:
+                    continue
+                shifted = p + [turn * round(((low + high) / 2 - (p[:, 0].min() + p[:, 0].max()) / 2) / turn), 0]
+                good = good and shifted[:, 0].min() > low and shifted[:, 0].max() < high and all(inside(ring, x) for x in shifted)
+                good = good and not any(inside(h, shifted[0]) or inside(shifted, h[0]) for h in holes)
+                holes.append(shifted)
+        roles = [("outer" if k in outer else "inner") if good else None for k in loops]
+        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "face": frame["face"].iloc[0], "loop": list(loops), "role": roles})
+
+    with_radius = flat.withColumn("r", F.col(radius) if isinstance(radius, str) else F.lit(radius))
+    return with_radius.groupBy("doc_id", "face").applyInPandas(run, "doc_id string, face string, loop string, role string")
+
+
+def nurbs_interval(degree: int, knots, poles, weights, point, tolerance: float = 1e-7, steps: int = 100) -> float | None:
+    """Parameter of a point on a curve that runs one way along its chord: bisection on the projection, null if the point isn't on it."""
+    knots, poles = np.asarray(knots, float), np.asarray(poles, float)
+    low, high = float(knots[degree]), float(knots[-degree - 1])
+    chord = poles[-1] - poles[0]
+    size = float(chord @ chord)
+    if not size or np.any(np.diff(poles @ chord) <= 0):
+        return None
+    goal = float((np.asarray(point, float) - poles[0]) @ chord)
+    at = lambda t: nurbs_point(degree, knots, poles, weights, t)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        if float((at(middle) - poles[0]) @ chord) < goal:
+            low = middle
+        else:
+            high = middle
+    t = (low + high) / 2
+    return t if float(np.linalg.norm(at(t) - np.asarray(point, float))) <= tolerance else None

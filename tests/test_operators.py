@@ -345,3 +345,90 @@ def test_grid_nearest_and_quantiles(spark):
     r = nearest.distribution(spark.createDataFrame([(v,) for v in values_], "v double"), "v").first()
     order = sorted(values_)
     assert (r["minimum"], r["median"], r["p95"], r["maximum"]) == (order[0], order[50], order[math.ceil(0.95 * 101) - 1], order[-1])
+
+
+# ---- evaluation -----------------------------------------------------------------------
+
+
+def test_evaluate(spark):
+    from lathe.operators import evaluate
+
+    schema = (
+        "doc_id string, id string, body string, kind string, low double, high double, derived_low double, derived_high double, origin array<double>, direction array<double>, center array<double>, axis_x array<double>, axis_y array<double>, rx double, ry double, "
+        "degree int, knots array<double>, poles array<array<double>>, weights array<double>, faces array<string>, first_normal array<double>, second_normal array<double>"
+    )
+    empty = dict.fromkeys(x.strip().split()[0] for x in schema.split(","))
+    up, side = [0.0, 0.0, 1.0], [0.0, 1.0, 0.0]
+    rows = [
+        empty | {"doc_id": "d", "id": "line", "body": "b", "kind": "line", "derived_low": 0.0, "derived_high": 2.0, "origin": [1.0, 0.0, 0.0], "direction": [1.0, 0.0, 0.0], "faces": ["f", "g"], "first_normal": up, "second_normal": side},
+        empty | {"doc_id": "d", "id": "arc", "body": "b", "kind": "circle", "low": 0.0, "high": math.pi, "center": [0.0, 0.0, 5.0], "axis_x": [1.0, 0.0, 0.0], "axis_y": side, "rx": 2.0, "faces": ["f"]},
+        empty | {"doc_id": "d", "id": "free", "body": "c", "kind": "nurbs", "low": 0.0, "high": 1.0, "degree": 1, "knots": [0.0, 0.0, 1.0, 1.0], "poles": [[0.0, 0.0, 0.0], [9.0, 9.0, 9.0]], "faces": ["f", "g"], "first_normal": up, "second_normal": up},
+        empty | {"doc_id": "d", "id": "none", "body": "c"}, empty | {"doc_id": "d", "id": "open", "body": "c", "kind": "line", "origin": up, "direction": up},
+    ]
+    edges = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    meshes = spark.createDataFrame([("d", False, 1)], "doc_id string, is_closed boolean, rejected_triangles int")
+    configurations = spark.createDataFrame([("d", "0", "Small", ["b"]), ("d", "1", "All", None)], "doc_id string, id string, name string, bodies array<string>")
+    out = evaluate.evaluate(edges, meshes, configurations)
+    got = {r["id"]: (r["status"], r["reason"], r["interval_source"], r["smoothness"]) for r in out["edges"].collect()}
+    assert got == {
+        "line": ("sampled", None, "derived", "sharp"), "arc": ("sampled", None, "source", "boundary"), "free": ("sampled", None, "source", "tangent"), "none": ("unsampled", "curve_missing", "unavailable", "unknown"), "open": ("unsampled", "interval_unavailable", "unavailable", "unknown"),
+    }
+    box = {r["body"]: r for r in out["body_bounds"].collect()}
+    assert (box["b"]["min_x"], box["b"]["max_x"], box["b"]["max_y"], box["b"]["max_z"]) == pytest.approx((-2, 3, 2, 5)) and box["c"]["max_x"] == pytest.approx(9)
+    assert {r["code"]: r["n"] for r in out["losses"].collect()} == {"edge_curve_missing": 1, "edge_interval_unavailable": 1, "mesh_not_closed": 1, "mesh_triangle_invalid": 1}
+    assert out["summary"].first()["sampled_edges"] == 3
+    small = evaluate.evaluate(edges, meshes, configurations, evaluate.EvaluationOptions(configuration="Small"))
+    assert {r["id"] for r in small["edges"].collect()} == {"line", "arc"}
+    states = {n: evaluate.selected_bodies(configurations, n).first()["state"] for n in ("Small", "1", "?")}
+    assert states == {"Small": "selected", "1": "whole_model", "?": "missing"}
+    with pytest.raises(ValueError, match="options"):
+        evaluate.EvaluationOptions(chord_tolerance=0)
+
+
+def test_domains_and_verdict(spark):
+    from lathe.operators import evaluate
+
+    schema = "stream string, offset long, byte_len long, sha256 string"
+    ledger = spark.createDataFrame([("A", 0, 5, "x"), ("A", 5, 5, "y"), ("B", 0, 1, "z"), ("C", 0, 1, "q"), ("C", 0, 1, "q")], schema)
+    found = spark.createDataFrame([("a", 0, 5, "x"), ("a", 5, 6, "y"), ("d", 0, 1, "z"), ("C", 0, 1, "q")], schema)
+    got = {(r["stream"], r["offset"]): r["status"] for r in evaluate.matched_domains(ledger, found).collect()}
+    assert got == {("a", 0): "matched", ("a", 5): "fields_differ", ("b", 0): "only_ledger", ("d", 0): "only_extracted", ("c", 0): "repeated"}
+    rows = spark.createDataFrame([("d", s, v, 0.5) for s in ("model", "display") for v in (0.1, 0.2)] + [("e", "model", 0.1, 0.5), ("e", "display", 0.9, 0.5)], "doc_id string, side string, distance double, tolerance double")
+    assert {r["doc_id"]: r["agrees"] for r in evaluate.outline_verdict(rows, "tolerance").collect()} == {"d": True, "e": False}
+
+
+def test_cylinder_roles(spark):
+    def ring(loop, face, low, high, bottom, top, forward):
+        corners = [(low, bottom), (high, bottom), (high, top), (low, top)]
+        return [("d", face, loop, i, (u + math.pi) % (2 * math.pi) - math.pi, float(v), 2.0) for i, (u, v) in enumerate(corners if forward else corners[::-1])]
+
+    rows = ring("o", "ok", 2.0, 4.5, 0, 9, True) + ring("h", "ok", 3.0, 3.5, 2, 4, False) + ring("o", "bad", 0.0, 1.0, 0, 9, True) + ring("h", "bad", 2.0, 3.0, 2, 4, False)
+    df = spark.createDataFrame(rows, "doc_id string, face string, loop string, i int, angle double, height double, radius double")
+    assert {(r["face"], r["loop"]): r["role"] for r in curves.cylinder_roles(df).collect()} == {("ok", "o"): "outer", ("ok", "h"): "inner", ("bad", "o"): None, ("bad", "h"): None}
+
+
+def test_nurbs_interval():
+    knots, poles = [0, 0, 0, 1, 2, 2, 2], [[0, 0, 0], [1, 2, 0], [2, -1, 0], [4, 0, 0]]
+    p = curves.nurbs_point(2, knots, poles, None, 0.7)
+    assert curves.nurbs_interval(2, knots, poles, None, p) == pytest.approx(0.7, abs=1e-9)
+    assert curves.nurbs_interval(2, knots, poles, None, p + 1) is None and curves.nurbs_interval(2, knots, poles[::-1][:1] * 4, None, p) is None
+
+
+def test_configuration_facts(spark):
+    from lathe.facts import binary, resolve
+
+    configs = spark.createDataFrame([("d", 0, "A", ["B"]), ("d", 1, "B", None), ("e", 0, "X", None)], "doc_id string, configuration_index long, name string, alternate_names array<string>")
+    asked = spark.createDataFrame([("d", "A"), ("d", "B"), ("d", "?"), ("d", None), ("e", "X")], "doc_id string, requested string")
+    got = {(r["doc_id"], r["requested"]): (r["status"], r["indices"]) for r in resolve.selected_configurations(asked, configs).collect()}
+    assert got == {("d", "A"): ("selected", [0]), ("d", "B"): ("ambiguous", []), ("d", "?"): ("missing", []), ("d", None): ("selected", [0, 1]), ("e", "X"): ("selected", [0])}
+    candidates = spark.createDataFrame([("d", "s", 0, 7, None, None, None, None, None)], "doc_id string, stream_path string, ordinal int, configuration_index long, name string, priority int, parent_name string, parent_index long, material string")
+    properties = spark.createDataFrame([("d", "p", 1, "SW-Configuration Name", "Active", "lpstr", "present", "system", "global", None)], "doc_id string, stream_path string, ordinal int, name string, raw_value string, value_type string, value_state string, kind string, scope string, configuration_index long")
+    assert resolve.configurations(resolve.with_name_fallbacks(candidates, properties)).first()["name"] == "Active"
+    raw = b"\x02\x00" + b"".join(b"\xff\xfe\xff" + bytes([len(n)]) + n.encode("utf-16-le") for n in ("S1", "S2")) + b"\0"
+    assert binary.sheet_names(raw) == ["S1", "S2"]
+    names = binary.sheet_name_rows(spark.createDataFrame([("d", bytearray(raw)), ("e", bytearray(b"\x01\x00zz"))], "doc_id string, decoded binary"))
+    sheets = spark.createDataFrame([("d", 0, "S2"), ("d", 1, "S2"), ("d", 2, "other")], "doc_id string, ordinal int, name string")
+    previews = spark.createDataFrame([("d", 1, "Images/Sheet_1")], "doc_id string, ordinal int, path string")
+    assert {r["ordinal"]: r["preview"] for r in resolve.sheet_previews(sheets, names, previews).collect()} == {0: "Images/Sheet_1", 1: None, 2: None}
+    kinds = spark.createDataFrame([("x/a.SLDPRT", "assembly"), ("x/b.sldasm", "assembly")], "doc_id string, document_kind string")
+    assert [(r["announced"], r["document_kind"]) for r in resolve.extension_mismatches(kinds).collect()] == [("part", "assembly")]
