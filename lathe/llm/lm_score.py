@@ -168,6 +168,19 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
     return pieces, weight / weight.sum()
 
 
+def _gathered(batches, rows: int = 200_000):
+    """Batches put together to about ``rows`` rows: the recursion works on all words of one length at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _count(batches):
     held: dict[bytes, int] = {}
 
@@ -191,7 +204,7 @@ def _count(batches):
 def _expected(pieces: list[bytes], log_p: np.ndarray):
     def run(batches):
         lattice, total = Lattice(pieces, log_p), np.zeros(len(pieces))
-        for batch in batches:
+        for batch in _gathered(batches):
             total += lattice.score(batch.column(0), batch.column(1).to_numpy().astype(float))[1]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["piece", "n"])
@@ -202,7 +215,7 @@ def _expected(pieces: list[bytes], log_p: np.ndarray):
 def _score_words(pieces: list[bytes], log_p: np.ndarray):
     def run(batches):
         lattice = Lattice(pieces, log_p)
-        for batch in batches:
+        for batch in _gathered(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.score(batch.column(0))[0])], names=[*batch.schema.names, "lp"])
 
     return run
@@ -250,7 +263,7 @@ def _fill(pieces: list[bytes], log_p: np.ndarray):
 
     def run(batches):
         lattice = Lattice(pieces, log_p)
-        for batch in batches:
+        for batch in _gathered(batches):
             uid, word, n, sums, c, lp = batch.columns
             c = pc.fill_null(c, 0).to_numpy().astype(np.int64)
             n = n.to_numpy()
