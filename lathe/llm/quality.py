@@ -1,7 +1,7 @@
 """Quality rules by repetition coverage.
 
-Words get exact numbers, so the hash of an n-gram is a rolling sum of mixed
-word numbers. Equal hashes inside a document mark an n-gram as duplicated; each
+Words get exact numbers, so the hash of an n-gram is a rolling polynomial of
+mixed word numbers. Equal hashes inside a document mark an n-gram as duplicated; each
 such pair is compared word by word, so a collision cannot count. For each n the
 measure is the share of word characters that lie inside duplicated n-grams
 (each character once); for lines, the share inside repeated lines.
@@ -34,6 +34,8 @@ BASE_WINDOW = 8
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,42 +46,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _windows(code: np.ndarray, n: int) -> np.ndarray:
-    """Rolling hash of every n consecutive words: sum of code * STEP ** place."""
-    out = np.zeros(max(0, len(code) - n + 1), np.uint64)
-    power = np.uint64(1)
-    for j in range(n):
-        out += code[j : j + len(out)] * power
-        power = power * (_STEP | np.uint64(1))
-    return out
-
+def duplicated(number: np.ndarray, doc: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """By n: mask of the words that lie in an n-gram found twice or more in their document.
 
-def duplicated(number: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the words that lie in an n-gram found twice or more in their document."""
-    if len(number) < n:
-        return np.zeros(len(number), bool)
+    The hash of a window is a difference of running sums of code * BASE ** place,
+    divided by BASE ** start (BASE is odd, so it has an inverse mod 2 ** 64). A
+    longer n-gram can only repeat where its shorter start does, so each size
+    looks at the hits of the size before.
+    """
+    words, out = len(number), {}
     with np.errstate(over="ignore"):
-        key = _windows(_mix(number.astype(np.uint64)), n)
-        inside = doc[: len(key)] == doc[n - 1 :]
-        key = _mix(key + _mix(doc[: len(key)].astype(np.uint64)) * _STEP)
-    at = np.flatnonzero(inside)
-    at = at[np.argsort(key[at], kind="stable")]
-    twin = np.flatnonzero(key[at[1:]] == key[at[:-1]])
-    a, b = at[twin], at[twin + 1]
-    same = doc[a] == doc[b]
-    for j in range(n):
-        same &= number[a + j] == number[b + j]
-    if not same.all():  # a 64-bit collision: group the n-grams themselves
-        rows = np.stack([doc[at], *(number[at + j] for j in range(n))], axis=1)
-        _, which, times = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
-        hit = at[times[which.ravel()] > 1]
-    else:
-        hit = np.concatenate([a, b])
-    edge = np.zeros(len(number) + 1, np.int64)
-    starts = np.unique(hit)
-    edge[starts] += 1
-    np.subtract.at(edge, starts + n, 1)
-    return np.cumsum(edge[:-1]) > 0
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, words - 1), _BASE)])) if words else np.zeros(0, np.uint64)
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, words - 1), _INVERSE)])) if words else np.zeros(0, np.uint64)
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(number.astype(np.uint64)) * power)])
+        salt = _mix(doc.astype(np.uint64)) * _STEP
+        at = np.arange(words)
+        for n in sorted(sizes):
+            at = at[at + n <= words]
+            at = at[doc[at] == doc[at + n - 1]]
+            key = _mix((upto[at + n] - upto[at]) * back[at] + salt[at])
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+            twin = np.flatnonzero(key[1:] == key[:-1])
+            a, b = at[twin], at[twin + 1]
+            same = doc[a] == doc[b]
+            for j in range(n):
+                same &= number[a + j] == number[b + j]
+            if same.all():
+                hit = np.zeros(words, bool)
+                hit[a] = hit[b] = True
+                at = np.flatnonzero(hit)
+            else:  # a 64-bit collision: group the n-grams themselves
+                rows = np.stack([doc[at], *(number[at + j] for j in range(n))], axis=1)
+                _, which, times = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+                at = np.sort(at[times[which.ravel()] > 1])
+            edge = np.zeros(words + 1, np.int64)
+            edge[at] += 1
+            edge[at + n] -= 1
+            out[n] = np.cumsum(edge[:-1]) > 0
+    return out
 
 
 def _lines(words: Words, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +135,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_dup_lines"], held = _lines(words, chars)
     total = np.maximum(out["word_chars"], 1)
     out["line_coverage"] = held / total
-    out["n_repeat_words"] = by_row(duplicated(number, words.doc, BASE_WINDOW)).astype(np.int64)
+    inside = duplicated(number, words.doc, tuple({*NGRAM_BOUNDS, BASE_WINDOW}))
+    out["n_repeat_words"] = by_row(inside[BASE_WINDOW]).astype(np.int64)
     for n in NGRAM_BOUNDS:
-        out[f"coverage_{n}"] = by_row(duplicated(number, words.doc, n) * word_chars) / total
+        out[f"coverage_{n}"] = by_row(inside[n] * word_chars) / total
     return out
 
 
