@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.facts import binary, resolve, streams
+from lathe.facts import binary, display, resolve, streams
 from lathe.operators import bom as bom_operators
 from lathe.operators import graph as graph_operators
 from lathe.operators import mesh as mesh_operators
@@ -83,9 +83,12 @@ def drawing_structure(documents: DataFrame, profile: str = "service") -> DataFra
     return streams.rows(files.inventory(scanned), "drawing_records", PROFILES[profile])
 
 
-def display_mesh(documents: DataFrame, pattern: str = "DisplayLists", profile: str = "service") -> DataFrame:
-    scanned = files.inventory(files.entries(documents, limits=PROFILES[profile], wanted=[pattern]))
-    return binary.display_meshes(scanned.filter(F.col("path").rlike(pattern) & F.col("decoded").isNotNull()))
+def display_mesh(documents: DataFrame, pattern: str = "DisplayLists", states: str = "VisualStates$", profile: str = "service") -> DataFrame:
+    """Faces of display streams with colours; see ``facts.display``."""
+    scanned = cut(files.inventory(files.entries(documents, limits=PROFILES[profile], wanted=[pattern, states])))
+    kept = scanned.filter(F.col("decoded").isNotNull())
+    held = kept.filter(F.col("path").rlike(states)).groupBy("doc_id").agg(F.min_by("decoded", "path").alias("decoded"))
+    return display.meshes(kept.filter(F.col("path").rlike(pattern)), held)
 
 
 def evaluate_meshes(vertices: DataFrame, triangles: DataFrame, feature_degrees: float = 30.0) -> DataFrame:

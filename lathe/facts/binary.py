@@ -1,11 +1,10 @@
-"""Binary streams: property sets, previews, display tables, sheet names."""
+"""Binary streams: property sets, previews, sheet names, configuration headers."""
 
 from __future__ import annotations
 
 import struct
 import zlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -188,61 +187,6 @@ def best_preview(checked: DataFrame) -> DataFrame:
     return checked.filter("state = 'valid'").groupBy("doc_id").agg(F.max_by("path", F.struct("rank", "path")).alias("path"))
 
 
-CHANNELS = 6
-
-
-def display_table(raw: bytes, at: int = 0) -> dict | None:
-    """Six channels of (item size, kind, flags, count) and data: strips, positions, normals and three that must agree; None if they don't.
-
-    The first holds strip lengths (4 bytes), the second and third vectors of 12
-    bytes; the others have as many items as there are vertices or none.
-    """
-    channels = []
-    for _ in range(CHANNELS):
-        if at + 16 > len(raw):
-            return None
-        size, _kind, _flags, count = struct.unpack_from("<4I", raw, at)
-        if not size or size > 64 or at + 16 + size * count > len(raw):
-            return None
-        channels.append((size, count, raw[at + 16 : at + 16 + size * count]))
-        at += 16 + size * count
-    (s, n, strips), (p, vertices, points), (q, normals, vectors) = channels[:3]
-    if (s, p, q) != (4, 12, 12) or normals != vertices or any(c not in (0, vertices) for _, c, _ in channels[3:]):
-        return None
-    lengths = np.frombuffer(strips, "<u4")
-    xyz, nrm = np.frombuffer(points, "<f4").reshape(-1, 3), np.frombuffer(vectors, "<f4").reshape(-1, 3)
-    if int(lengths.sum()) != vertices or not np.isfinite(xyz).all() or not np.isfinite(nrm).all():
-        return None
-    return {"strips": lengths, "positions": xyz * np.float32(1000), "normals": nrm, "end": at}
-
-
-def strip_triangles(lengths: np.ndarray) -> np.ndarray:
-    """Vertex triples of consecutive strips; every second triangle of a strip is turned."""
-    out, base = [], 0
-    for n in lengths.tolist():
-        i = np.arange(max(0, n - 2))
-        t = base + np.stack([i, i + 1, i + 2], axis=1)
-        t[1::2, 1:] = t[1::2, :0:-1]
-        out.append(t)
-        base += n
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-
-
-def display_meshes(streams: DataFrame) -> DataFrame:
-    """Packed meshes (positions in millimetres, as 32-bit floats) of streams that hold a display table."""
-
-    def run(batches):
-        for frame in batches:
-            out = []
-            for doc, path, raw in zip(frame["doc_id"], frame["path"], frame["decoded"], strict=True):
-                table = display_table(bytes(raw))
-                if table is not None:
-                    out.append((doc, path, table["positions"].ravel().tolist(), table["normals"].ravel().tolist(), strip_triangles(table["strips"]).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "path", "positions", "normals", "triangles"])
-
-    return streams.select("doc_id", "path", "decoded").mapInPandas(run, "doc_id string, path string, positions array<float>, normals array<float>, triangles array<int>")
-
-
 def sheet_names(raw: bytes) -> list[str]:
     """Names of a sheet-name stream: a count, then FF FE FF, a length and UTF-16 text each; only zeros may follow."""
     if len(raw) < 2:
@@ -273,3 +217,84 @@ def sheet_name_rows(streams: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "ordinal", "name"])
 
     return streams.select("doc_id", "decoded").mapInPandas(run, "doc_id string, ordinal int, name string")
+
+
+class Archive:
+    """Cursor over a serialised object stream."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def take(self, n: int) -> bytes:
+        if self.at + n > len(self.raw):
+            raise ValueError("archive_truncated")
+        self.at += n
+        return self.raw[self.at - n : self.at]
+
+    def number(self, form: str) -> int:
+        return struct.unpack(form, self.take(struct.calcsize(form)))[0]
+
+    def begin(self, name: str) -> None:
+        """A class: declared by name after FFFF, or a tag of one declared before."""
+        tag = self.number("<H")
+        if tag == 0xFFFF:
+            self.number("<H")
+            if self.take(self.number("<H")) != name.encode():
+                raise ValueError("archive_class")
+        elif not tag & 0x8000:
+            raise ValueError("archive_class")
+
+    def count(self) -> int:
+        n = self.number("<H")
+        return self.number("<I") if n == 0xFFFF else n
+
+    def text(self) -> str:
+        """Short text of one byte a sign, or UTF-16 behind FF FE FF."""
+        n = self.number("<B")
+        if n != 0xFF:
+            return self.take(n).decode("utf-8")
+        if self.take(2) != b"\xfe\xff" or (n := self.number("<B")) >= 0xFE:
+            raise ValueError("archive_string")
+        return self.take(2 * n).decode("utf-16-le")
+
+
+def configuration_header(raw: bytes, version: int) -> list[tuple[int, str, int | None]]:
+    """(index, name, parent) of a configuration header; versions 2200 and 7000 hold one record, 19000 several."""
+    if version not in (2200, 7000, 19000):
+        raise ValueError("archive_version")
+    a, out = Archive(raw), []
+    a.begin("dmConfigMgrHeader_c")
+    n = a.count()
+    if version != 19000 and n != 1:
+        raise ValueError("archive_count")
+    for _ in range(n):
+        a.begin("dmConfigHeader_c")
+        a.number("<I")
+        name, index = a.text(), a.number("<I")
+        a.number("<I")
+        if a.text() != name:
+            raise ValueError("archive_names_differ")
+        parent = a.number("<I")
+        out.append((index, name, None if parent == 0xFFFFFFFF else parent))
+        if version == 19000:
+            a.number("<I")
+            a.text()
+            a.text()
+            a.take(16)
+    return out
+
+
+def configuration_rows(streams: DataFrame) -> DataFrame:
+    """Configurations of header streams (doc_id, version, decoded); a stream outside the known layouts gives a row with its fault."""
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for doc, version, raw in zip(frame["doc_id"], frame["version"], frame["decoded"], strict=True):
+                try:
+                    out += [(doc, i, name, parent, None) for i, name, parent in configuration_header(bytes(raw), int(version))]
+                except ValueError as fault:
+                    out.append((doc, None, None, None, str(fault)))
+            yield pd.DataFrame(out, columns=["doc_id", "configuration_index", "name", "parent_index", "fault"]).astype({"configuration_index": "Int64", "parent_index": "Int64"})
+
+    return streams.select("doc_id", "version", "decoded").mapInPandas(run, "doc_id string, configuration_index long, name string, parent_index long, fault string")

@@ -77,9 +77,9 @@ def value_state(value: Column, kind: Column, supported: tuple[str, ...]) -> Colu
 
 
 def packed_rgba(packed: Column) -> Column:
-    """Red, green, blue and alpha (0 to 1) of a packed colour: red lowest, transparency highest."""
+    """Red, green, blue and alpha (0 to 1) of a packed colour, red lowest; saved colours are opaque."""
     byte = lambda k: F.shiftrightunsigned(packed.cast("long"), k).bitwiseAND(F.lit(255))
-    return F.array(*(byte(8 * k) / 255.0 for k in range(3)), (255 - byte(24)) / 255.0)
+    return F.array(*(byte(8 * k) / 255.0 for k in range(3)), F.lit(1.0).cast("double"))
 
 
 def color(face: Column, feature: Column, body: Column) -> Column:

@@ -710,7 +710,7 @@ def color_precedence(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.color(F.when(size % 3 == 0, "face"), F.when(size % 2 == 0, "feature"), F.lit("body")).alias("color"))
 
 
-@query("SELECT s_suppkey, round((v & 255) / 255.0, 6) AS red, round(((v >> 8) & 255) / 255.0, 6) AS green, round(((v >> 16) & 255) / 255.0, 6) AS blue, round((255 - ((v >> 24) & 255)) / 255.0, 6) AS alpha FROM (SELECT s_suppkey, (s_suppkey * 2654435761) & 4294967295 AS v FROM supplier)")
+@query("SELECT s_suppkey, round((v & 255) / 255.0, 6) AS red, round(((v >> 8) & 255) / 255.0, 6) AS green, round(((v >> 16) & 255) / 255.0, 6) AS blue, CAST(1 AS DOUBLE) AS alpha FROM (SELECT s_suppkey, (s_suppkey * 2654435761) & 4294967295 AS v FROM supplier)")
 def packed_rgba(spark, sf_dir):
     v = (F.col("s_suppkey") * F.lit(2654435761)).bitwiseAND(F.lit(4294967295))
     rgba = values.packed_rgba(v)

@@ -10,7 +10,7 @@ import zlib
 import pytest
 
 from lathe import engine
-from lathe.facts import binary, resolve, streams, xmltree
+from lathe.facts import binary, display, resolve, streams, xmltree
 from lathe.sources import containers, files, probe
 from lathe.sources.limits import SERVICE, Limits
 
@@ -224,14 +224,75 @@ def test_previews(spark):
     assert binary.best_preview(rows).first()["path"] == "PreviewPNG"
 
 
-def test_display_table(spark):
-    strips, points = struct.pack("<I", 4), struct.pack("<12f", 0, 0, 0, 1, 0, 0, 0, 1, 0, 1, 1, 0)
-    normals = struct.pack("<12f", *[0, 0, 1] * 4)
-    channel = lambda size, count, data: struct.pack("<4I", size, 1, 0, count) + data
-    raw = channel(4, 1, strips) + channel(12, 4, points) + channel(12, 4, normals) + channel(4, 4, bytes(16)) + channel(4, 0, b"") + channel(4, 0, b"")
-    row = binary.display_meshes(spark.createDataFrame([("d", "DisplayLists", bytearray(raw)), ("e", "DisplayLists", bytearray(raw[:-40]))], "doc_id string, path string, decoded binary")).collect()
-    assert len(row) == 1 and row[0]["triangles"] == [0, 1, 2, 1, 3, 2] and row[0]["positions"][3] == 1000.0
-    assert binary.display_table(channel(4, 1, strips) + channel(12, 3, points[:36]) + channel(12, 3, normals[:36]) + channel(4, 0, b"") * 3) is None
+def channel(form: tuple[int, int, int], count: int, data: bytes) -> bytes:
+    return struct.pack("<4I", *form, count) + data
+
+
+def face_table(x: float = 0.0) -> bytes:
+    points, normals = struct.pack("<12f", x, 0, 0, 1, 0, 0, 0, 1, 0, 1, 1, 0), struct.pack("<12f", *[0, 0, 1] * 4)
+    return (
+        channel(display.STRIPS, 1, struct.pack("<I", 4)) + channel(display.VECTORS, 4, points) + channel(display.VECTORS, 4, normals) + channel((4, 8, 2), 6, struct.pack("<6f", *range(6))) + channel((4, 8, 2), 1, struct.pack("<I", 6)) + channel((1, 8, 2), 6, bytes(6))
+    )
+
+
+def text16(text: str) -> bytes:
+    return display.TEXT_MARK + bytes([len(text)]) + text.encode("utf-16-le")
+
+
+def declared(name: str) -> bytes:
+    return display.CLASS_MARK + struct.pack("<H", len(name)) + name.encode()
+
+
+def test_display_faces(spark):
+    counts = struct.pack("<2I", 2, 1)
+    face = declared(display.FACE_CLASS) + counts + face_table() + text16("moPlaneSurfIdRep_c,7,3")
+    own = declared(display.FACE_CLASS) + counts + face_table(5.0) + text16("moPlaneSurfIdRep_c,8,1") + display.INLINE_MARK + struct.pack("<I", 0x00FF00) + bytes(12) + text16("green")
+    body = declared(display.BODY_CLASS) + display.INLINE_MARK + struct.pack("<I", 0x0000FF) + bytes(12) + text16("red")
+    raw = b"head" + face + own + declared(display.FACE_CLASS) + counts + face_table(9.0) + body
+    record = struct.pack("<6I", display.FEATURE_VERSION, 7, 99, *display.FEATURE_SELECTORS) + display.FEATURE_PREFIX + display.FEATURE_MARK + struct.pack("<I", 0xFF0000)
+    states = declared(display.FEATURE_CLASS) + record
+    assert display.feature_colors(states) == {7: 0xFF0000} and display.feature_colors(states + record[:32] + b"\1\0\0\0") == {}
+    assert [(n, raw[a : a + 4]) for n, a, _, _ in display.classes(raw)] == [(n, display.CLASS_MARK) for n in [display.FACE_CLASS] * 3 + [display.BODY_CLASS]]
+    columns = "doc_id string, path string, decoded binary"
+    rows = display.meshes(spark.createDataFrame([("d", "DisplayLists", bytearray(raw)), ("e", "DisplayLists", bytearray(raw[:60]))], columns), spark.createDataFrame([("d", "VisualStates", bytearray(states))], columns)).orderBy("face").collect()
+    assert [(r["color_source"], r["packed_color"], r["positions"][0], r["surfaces"]) for r in rows] == [
+        ("feature", 0xFF0000, 0.0, ["moPlaneSurfIdRep_c,7,3"]), ("face", 0x00FF00, 5000.0, ["moPlaneSurfIdRep_c,8,1"]), ("body", 0x0000FF, 9000.0, []),
+    ]
+    assert rows[0]["triangles"] == [0, 1, 2, 1, 3, 2]
+    assert display.table(face_table()[:-1], 0) is None and display.table(face_table().replace(struct.pack("<I", 6) + channel((1, 8, 2), 6, b""), struct.pack("<I", 5) + channel((1, 8, 2), 6, b"")), 0) is None
+    whole = engine.display_mesh(table(spark, top=fx.chunk_file(fx.block("Contents/DisplayLists", raw), fx.block("ThirdPtyStore/VisualStates", states))))
+    assert whole.count() == 3
+
+
+def test_tagged_faces():
+    counts, tag = struct.pack("<2I", 2, 1), b"\x05\x80"
+    first = declared(display.FACE_CLASS) + counts + face_table() + tag + counts + face_table(1.0)
+    raw = first + declared("other_c") + b"pad" + tag + counts + face_table(2.0)
+    assert [float(f.positions[0, 0]) for f in display.faces(raw)] == [0.0, 1.0, 2.0]
+    rng = random.Random(2)
+    for _ in range(200):
+        data = bytearray(raw)
+        for _ in range(rng.randrange(1, 9)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        for f in display.faces(bytes(data)):
+            t = display.strip_triangles(f.strips)
+            assert len(f.normals) in (0, len(f.positions)) and (not t.size or t.max() < len(f.positions))
+
+
+def test_configuration_headers(spark):
+    string = lambda s: bytes([len(s)]) + s.encode()
+    wide = lambda s: b"\xff\xfe\xff" + bytes([len(s)]) + s.encode("utf-16-le")
+    begin = lambda n: b"\xff\xff\1\0" + struct.pack("<H", len(n)) + n.encode()
+
+    def record(head, name, index, parent, tail):
+        return head + bytes(4) + name + struct.pack("<2I", index, 5) + name + struct.pack("<I", parent) + (bytes(4) + string("") + string("x") + bytes(16) if tail else b"")
+
+    new = begin("dmConfigMgrHeader_c") + struct.pack("<H", 2) + record(begin("dmConfigHeader_c"), string("Default"), 0, 0xFFFFFFFF, True) + record(b"\3\x80", wide("Größe"), 4, 0, True)
+    assert binary.configuration_header(new, 19000) == [(0, "Default", None), (4, "Größe", 0)]
+    old = begin("dmConfigMgrHeader_c") + struct.pack("<H", 1) + record(begin("dmConfigHeader_c"), string("A"), 2, 1, False)
+    assert binary.configuration_header(old, 7000) == [(2, "A", 1)]
+    rows = binary.configuration_rows(spark.createDataFrame([("d", 19000, bytearray(new)), ("e", 19000, bytearray(new[:-3])), ("f", 7000, bytearray(new)), ("g", 5, bytearray(old))], "doc_id string, version long, decoded binary")).collect()
+    assert {r["doc_id"]: r["fault"] for r in rows} == {"d": None, "e": "archive_truncated", "f": "archive_count", "g": "archive_version"}
 
 
 def test_streams_rows_need_no_other_table(parsed):
