@@ -26,9 +26,10 @@ def keyed_files(files: DataFrame, keys: dict[int, Column], label: str = "label",
     """(step, key, found, labels): files by key, with the first ``most`` labels in order."""
     entries = F.explode(F.array(*(F.struct(F.lit(step).alias("step"), key.alias("key")) for step, key in keys.items())))
     rows = files.select(F.col(label).alias("label"), entries.alias("e")).select("e.step", "e.key", "label").filter(F.col("key").isNotNull()).distinct()
+    # The limit is applied before the exchange too, so a key of very many files sends at most ``most`` rows from each task.
     place = F.row_number().over(Window.partitionBy("step", "key").orderBy("label"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("label"))))
-    return rows.withColumn("place", place).groupBy("step", "key").agg(F.count("*").alias("found"), listed.alias("labels"))
+    firsts = rows.withColumn("place", place).filter(F.col("place") <= most).groupBy("step", "key").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    return rows.groupBy("step", "key").agg(F.count("*").alias("found")).join(firsts, ["step", "key"])
 
 
 def cascade(references: DataFrame, id_col: str, keys: dict[int, Column], by_key: DataFrame, blank: Column) -> DataFrame:
