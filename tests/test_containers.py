@@ -297,3 +297,28 @@ def test_configuration_headers(spark):
 
 def test_streams_rows_need_no_other_table(parsed):
     assert set(streams.TABLES) <= set(parsed.tables)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lathe.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sldprt").write_bytes(fx.document())
+    folder = f"file://{tmp_path}/in"
+
+    def lines(*arguments):
+        assert main([*arguments]) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    assert [r["envelope"] for r in lines("probe", folder)] == ["modern_chunk"]
+    entries = lines("inspect", folder)
+    assert len(entries) == 8
+    assert {r["name"] for r in lines("parse", folder, "--table", "properties")} >= {"Title", "Empty", "Gone", "Odd"}
+    wanted = next(e["entry_id"] for e in entries if e["path"] == "docProps/custom.xml")
+    assert main(["extract", folder, "--entry", wanted, "--output", f"file://{tmp_path}/out.xml"]) == 0
+    assert (tmp_path / "out.xml").read_bytes() == fx.CUSTOM_XML
+    assert lines("drawing", folder) and lines("index", folder) and lines("display", folder) == []
+    (tmp_path / "in" / "bad.sldprt").write_bytes(fx.chunk_file(fx.block("x", b"y", crc=0)))
+    assert main(["inspect", folder, "--strict"]) == 2
