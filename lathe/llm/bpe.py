@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, read, row_number_base
+from .common import Words, buffer_of, chunks, lean, read, row_number_base
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 4096
@@ -303,7 +303,7 @@ def _assemble(path: str):
 def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32 bit), decoded for each row."""
     path = vocabulary or vocabulary_path()
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long_word = F.col("text").rlike(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{{leaf_chars // 4 + 1}}}")
     plain = narrow.filter(~long_word).mapInArrow(_encode(path), "doc_id long, ids binary, decoded string")
     pieces = narrow.filter(long_word).mapInArrow(_pieces(path, leaf_chars), "uid long, unit long, leaf long, doc_id long, whole boolean, text string")

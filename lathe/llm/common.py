@@ -39,9 +39,30 @@ def scratch(spark: SparkSession) -> str:
     return f"{top}/lathe-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Rows in an Arrow batch: texts may be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small; a session with smaller ones keeps them."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are narrow beside the texts they come from, in an eighth of the shuffle partitions.
+
+    Else each partition would become a file of a few kilobytes.
+    """
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again."""
     spark = df.sparkSession
+    df = gathered(df) if narrow else df
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

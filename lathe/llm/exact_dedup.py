@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, read, row_number_base
+from .common import cut, fresh, gathered, lean, read, row_number_base
 
 SALTS = 32
 FLUSH_BYTES = 48 << 20
@@ -77,11 +77,11 @@ def local_groups(flush_bytes: int = FLUSH_BYTES, digest_bytes: int = 32):
 
 def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, flush_bytes: int = FLUSH_BYTES, digest_bytes: int = 32) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, digest."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     local = cut(narrow.mapInArrow(local_groups(flush_bytes, digest_bytes), _LOCAL), "dedup-local")
     salted = local.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts))).groupBy("digest", "salt", "payload").agg(F.max(F.struct("top", "uid")).alias("win"), F.sum("n").alias("n"))
     whole = salted.groupBy("digest", "payload").agg(F.max("win").alias("win"), F.sum("n").alias("n"))
-    by_digest = cut(whole.groupBy("digest").agg(F.max("win").alias("win"), F.sum("n").alias("size"), F.count("*").alias("texts")), "dedup-groups")
+    by_digest = cut(whole.groupBy("digest").agg(F.max("win").alias("win"), F.sum("n").alias("size"), F.count("*").alias("texts")), "dedup-groups", narrow=True)
     members = local.select("digest", "uid", "ids", "top")
     clashing = by_digest.filter("texts > 1").select("digest")
     if clashing.isEmpty():
@@ -115,7 +115,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assignments(read(spark, sf_dir, "documents"))
+    return gathered(assignments(read(spark, sf_dir, "documents")))
 
 
 ORACLE = """

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, cut, lowered, read, row_number_base
+from .common import Words, buffer_of, chunks, cut, lean, lowered, read, row_number_base
 
 PIECES = "piece_bpe_32k.model"
 HELD_MODULO, HELD_REST = 7, 2
@@ -302,7 +302,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     doc_id = F.col(id_col).cast("long")
     held = F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(HELD_MODULO)) == HELD_REST
-    rows = docs.select(doc_id.alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = lean(docs).select(doc_id.alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     model = fit(rows.filter(~F.col("held_out")).select("text"))
     words, n, v = model["words"], model["tokens"], model["distinct"]
     hot = words.filter(F.col("c") >= max(2.0, n / HOT_SHARE)).toArrow()

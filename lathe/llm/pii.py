@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import gathered, read
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 
@@ -125,4 +125,4 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(spans(read(spark, sf_dir, "documents")))
+    return gathered(summary(spans(read(spark, sf_dir, "documents"))))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, fresh, read
+from .common import Words, buffer_of, chunks, fresh, lean, read
 
 #: Largest share of characters in duplicated n-grams, by n.
 NGRAM_BOUNDS = {2: 0.60, 3: 0.45, 5: 0.35, 8: 0.30, 10: 0.30}
@@ -166,7 +166,7 @@ def _run(batches):
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of measures and verdicts for each document."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _LONGS) + ", base_failed boolean, kept boolean, " + ", ".join(f"{c} double" for c in _SHARES)
     return narrow.mapInArrow(_run, schema)
 
@@ -181,7 +181,7 @@ def _keep(batches):
 
 def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns; the text is read once."""
-    return docs.withColumn(fresh(docs, "whole_text"), F.col(text_col).cast("string")).mapInArrow(_keep, docs.schema)
+    return lean(docs).withColumn(fresh(docs, "whole_text"), F.col(text_col).cast("string")).mapInArrow(_keep, docs.schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

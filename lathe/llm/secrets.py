@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, read
+from .common import Words, buffer_of, chunks, lean, read
 
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 20_000
@@ -381,7 +381,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row of counts and spans for each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     field = train(sample(rows, sample_rows))
     return rows.mapInArrow(_run(field), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 

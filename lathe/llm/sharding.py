@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read
+from .common import cut, gathered, lean, read
 
 SHARDS = 24
 SEED = 20250
@@ -114,7 +114,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     """doc_id, size, text_crc32, shard, slot for each row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     dealt = cut(narrow.mapInArrow(_local(seed), "doc_id long, size long, text_crc32 long, task long, place long, key long"), "shard-rows")
     counts = sorted((r["task"], r["n"]) for r in dealt.groupBy("task").agg(F.count("*").alias("n")).collect())
     plan = matrix(np.array([n for _, n in counts], np.int64), shards, seed)
@@ -135,4 +135,4 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shuffle_into_shards(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return gathered(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
