@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, word_count
+from .common import cut, gathered, read, word_count
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -110,40 +110,66 @@ def _round(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": frame["source"], "size": size, "salt": frame["salt"], "n": n, "whole": whole, "extra": extra})
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row, and the columns in ``keep``."""
-    spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(SEED), F.col(id_col).cast("long"), text).alias("draw"), *keep)
-    rows = cut(rows.withColumn("salt", F.pmod(F.shiftright("draw", 7), F.lit(SALTS)).cast("int")), "mix-rows")
-    cells = cut(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-cells")
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list:
+    """id, source, size, draw and salt of each row as expressions."""
+    text, doc_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    draw = F.xxhash64(F.lit(SEED), doc_id, text)
+    return [doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), draw.alias("draw"), F.pmod(F.shiftright(draw, 7), F.lit(SALTS)).cast("int").alias("salt")]
+
+
+def _allot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies of each cell (p_source, p_size, p_salt, n, whole, extra), and facts of each source."""
+    spark = rows.sparkSession
+    cells = cut(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-cells", narrow=True)
     by_source = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")).collect()
     wanted = targets([(r["source"], r["words"]) for r in by_source])
     goals = {r["source"]: (r["words"], wanted[r["source"]], r["words"] / max(r["docs"], 1)) for r in by_source if r["words"]}
     found = _solve(cells, spark, goals)
     facts = [(r["source"], int(r["words"]), float(wanted[r["source"]]), float(r["words"]) / max(r["docs"], 1), float(found.get(r["source"], 0.0))) for r in by_source]
-    table = spark.createDataFrame(facts, "t_source string, source_size long, target double, mean double, at double")
-    with_facts = lambda df: df.join(_hinted(table, len(facts)), F.col("source").eqNullSafe(F.col("t_source")))
+    table = _hinted(spark.createDataFrame(facts, "t_source string, source_size long, target double, mean double, at double"), len(facts))
     rate = F.when(F.col("target") >= LIMIT * F.col("source_size"), float(LIMIT)).otherwise(F.least(F.lit(float(LIMIT)), F.exp(F.least(F.col("at") * F.col("size") / F.col("mean"), F.lit(5.0)))))
-    rated = with_facts(cells.filter("size > 0")).select("source", "size", "salt", "n", rate.alias("rate"))
+    rated = cells.filter("size > 0").join(table, F.col("source").eqNullSafe(F.col("t_source"))).select("source", "size", "salt", "n", rate.alias("rate"))
     plan = rated.groupBy("source").applyInPandas(_round, "source string, size long, salt int, n long, whole long, extra long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id")))
     plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("salt").alias("p_salt"), "n", "whole", "extra")
-    same = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("salt") == F.col("p_salt"))
-    copies = F.coalesce(F.col("whole") + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("rank") <= F.pmod("extra", "n"), 1).otherwise(0), F.lit(0))
-    joined = ranked.join(plan, same, "left").select("doc_id", "source", "size", copies.cast("int").alias("copies"), *keep)
-    return with_facts(joined).select("doc_id", "source", "size", "source_size", "target", "copies", *keep)
+    return cut(plan, "mix-plan", narrow=True), table
 
 
-def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(read(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
+def _same_cell(source: str = "source", size: str = "size", salt: str = "salt"):
+    return F.col(source).eqNullSafe(F.col("p_source")) & (F.col(size) == F.col("p_size")) & (F.col(salt) == F.col("p_salt"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for each row."""
+    rows = cut(docs.select(*_rows(docs, id_col, text_col, source_col)), "mix-rows")
+    plan, table = _allot(rows)
+    copies = F.coalesce(F.col("whole") + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("rank") <= F.pmod("extra", "n"), 1).otherwise(0), F.lit(0))
+    joined = _ranked(rows).join(plan, _same_cell(), "left").select("doc_id", "source", "size", copies.cast("int").alias("copies"))
+    return joined.join(table, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each repeated by its number of copies, with all their columns."""
-    taken = [c for c in docs.columns]
-    packed = docs.select(F.struct(*taken).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    chosen = mix(packed, keep=("_row",))
-    repeated = chosen.filter("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "copies")))
-    return repeated.select("_row.*")
+    """The documents, each repeated by its number of copies, with all their columns.
+
+    Whole rows move once: each cell's allotment becomes a largest draw, to which a
+    row compares its own. Rows that repeat id and text share a draw and are taken
+    or left together.
+    """
+    exprs = _rows(docs, id_col, text_col, source_col)
+    rows = cut(docs.select(*exprs), "mix-rows")
+    plan, _ = _allot(rows)
+    last = _ranked(rows).join(plan, _same_cell()).filter((F.pmod("extra", "n") > 0) & (F.col("rank") == F.pmod("extra", "n")))
+    last = last.select(F.col("p_source").alias("l_source"), F.col("p_size").alias("l_size"), F.col("p_salt").alias("l_salt"), F.col("draw").alias("last"))
+    met = F.col("p_source").eqNullSafe(F.col("l_source")) & (F.col("p_size") == F.col("l_size")) & (F.col("p_salt") == F.col("l_salt"))
+    limits = cut(plan.join(last, met, "left").select("p_source", "p_size", "p_salt", (F.col("whole") + F.floor(F.col("extra") / F.col("n"))).alias("whole"), "last"), "mix-limits", narrow=True)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *exprs)
+    copies = F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)
+    taken = whole.join(limits, _same_cell()).select("row", copies.cast("int").alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gathered(mix(read(spark, sf_dir, "documents"))).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
