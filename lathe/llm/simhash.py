@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, read, row_number_base
+from .common import cut, fresh, gathered, lean, read, row_number_base
 
 RADIUS = 3
 SHINGLE = 3
@@ -85,23 +85,29 @@ FIRST, SECOND = masks(1), masks(2)
 
 
 def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints; star shaped, by blocks."""
-    n = len(fp)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
+    """Star-shaped spanning forest of the links among distinct fingerprints, by blocks.
+
+    Pairs inside what is joined already drop out in numpy, so a dense group costs
+    comparisons but no loop over its pairs.
+    """
+    root = np.arange(len(fp))
+    for a in range(0, len(fp), BLOCK):
+        for b in range(a, len(fp), BLOCK):
             x, y = np.nonzero(np.bitwise_count(fp[a : a + BLOCK, None] ^ fp[None, b : b + BLOCK]) <= RADIUS)
-            for i, j in zip((x + a).tolist(), (y + b).tolist(), strict=True):
-                if i < j and (p := find(i)) != (q := find(j)):
-                    root[max(p, q)] = min(p, q)
-    return [(find(i), i) for i in range(n) if find(i) != i]
+            p, q = root[x + a], root[y + b]
+            apart = p != q
+            if not apart.any():
+                continue
+            pairs = np.unique(np.stack([np.minimum(p, q)[apart], np.maximum(p, q)[apart]], axis=1), axis=0)
+            for i, j in pairs.tolist():
+                while root[i] != i:
+                    i = root[i]
+                while root[j] != j:
+                    j = root[j]
+                root[max(i, j)] = min(i, j)
+            while (root[root] != root).any():
+                root = root[root]
+    return [(int(r), i) for i, r in enumerate(root) if r != i]
 
 
 def _links(batches):
@@ -169,7 +175,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the component of each node that has an edge; every root is a node of it."""
     spark = edges.sparkSession
-    edges = cut(edges.select("a", "b").filter("a <> b"), "edges")
+    edges = cut(edges.select("a", "b").filter("a <> b"), "edges", narrow=True)
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -178,22 +184,22 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
         for _ in range(2):
             step = step.join(jump, "to").select("node", F.col("next").alias("to"))
-        step = cut(step, "moves")
+        step = cut(step, "moves", narrow=True)
         if found is None:
             found = step.withColumnRenamed("to", "root")
         else:
             moved = step.select(F.col("node").alias("root"), "to")
-            found = cut(found.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            found = cut(found.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots", narrow=True)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = cut(edges.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "edges")
+        edges = cut(edges.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "edges", narrow=True)
     return found if found is not None else spark.createDataFrame([], "node long, root long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, uid, fp, component_id for each row; uid numbers the rows as read."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = cut(narrow.mapInArrow(_fingerprints, "doc_id long, uid long, fp long"), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", narrow=True)
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -216,7 +222,7 @@ def _numbered(name: str):
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all their columns."""
     own = fresh(docs, "own_row")
-    numbered = cut(docs.mapInArrow(_numbered(own), docs.select("*", F.lit(0).cast("long").alias(own)).schema), "numbered")
+    numbered = cut(lean(docs).mapInArrow(_numbered(own), docs.select("*", F.lit(0).cast("long").alias(own)).schema), "numbered")
     ids = numbered.select(F.col(own).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     # Components over row numbers, which no two rows share; the smallest document id of each is chosen next.
     found = classes(numbered.select(F.col(own).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
@@ -226,5 +232,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(read(spark, sf_dir, "documents"))
+    found = gathered(classes(read(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
