@@ -432,3 +432,18 @@ def test_configuration_facts(spark):
     assert {r["ordinal"]: r["preview"] for r in resolve.sheet_previews(sheets, names, previews).collect()} == {0: "Images/Sheet_1", 1: None, 2: None}
     kinds = spark.createDataFrame([("x/a.SLDPRT", "assembly"), ("x/b.sldasm", "assembly")], "doc_id string, document_kind string")
     assert [(r["announced"], r["document_kind"]) for r in resolve.extension_mismatches(kinds).collect()] == [("part", "assembly")]
+
+
+def test_binary_functions(spark):
+    from lathe.functions import binary
+
+    df = spark.createDataFrame([(bytearray(b"\x01\x02\xff\xfe\x00\x00\x00\x80\xff\xff\xff\xff\xff\xff\xff\xff"),)], "b binary")
+    b = F.col("b")
+    r = df.select(
+        binary.unsigned(b, 0, 2), binary.unsigned(b, 0, 2, little=False), binary.unsigned(b, 4, 4), binary.unsigned(b, 14, 4), binary.unsigned_text(b, 8), binary.checked_end(F.lit(2**63 - 1), F.lit(1)), binary.checked_end(F.lit(1), F.lit(2), F.lit(3))
+    ).first()
+    assert tuple(r) == (0x0201, 0x0102, 0x80000000, None, str(2**64 - 1), None, 6)
+    labels = spark.createDataFrame([("a/b.sldprt",), ("",), ("/a",), ("C:\\a",), ("a/../b",), ("a//b",)], "l string")
+    assert [x[0] for x in labels.select(binary.label_fault(F.col("l"))).collect()] == [None, "blank", "absolute", "absolute", "leaves_folder", "not_normal"]
+    nested = spark.createDataFrame([], "a string, s struct<host_path:string,x:array<struct<absolute_path:int>>>")
+    assert binary.path_fields(nested) == ["s.host_path", "s.x[].absolute_path"]
