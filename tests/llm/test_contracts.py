@@ -397,3 +397,16 @@ def test_pipeline(spark, sf_dir):
     comp = plain_components([plain_print(x) for x in chosen])
     assert len(set(comp)) == len(comp)
     assert max(Counter(r["doc_id"] for r in out).values()) <= 3
+
+
+@pytest.mark.parametrize("run", [licenses.scan, lambda d: pii.summary(pii.spans(d))])
+def test_native_operators_run_no_python(plain, run):
+    import re as regex
+
+    text = run(plain)._jdf.queryExecution().executedPlan().toString()
+    assert not regex.search("Python|Pandas|Arrow", text)
+
+
+def test_sharding_reruns_agree(plain):
+    first, again = (multiset(sharding.shuffle_into_shards(plain).collect()) for _ in range(2))
+    assert first == again
