@@ -5,16 +5,18 @@ source's mean size, cut off at ``LIMIT`` copies: among all rates between 0 and
 LIMIT whose tokens add up to the source's target, these are nearest to "one copy
 each" in relative entropy. The dual has one lambda for each source and is
 convex; Newton steps (kept inside a shrinking bracket) solve it. Each step is a
-distributed sum over a histogram (source, size, salt), to which documents are
+distributed sum over a histogram (source, size), to which documents are
 aggregated once; rates depend on nothing else.
 
 Rounding: every document takes floor(r) copies, and some documents of each
 histogram cell one more. How many is carried from cell to cell, largest sizes
 first, so that a source's taken words miss its target by about half of its
-smallest document. Which documents is decided by a hash of the id.
+smallest document. A cell's share is split over salts in proportion, and the
+documents of a salt are ranked by a hash; salts grow with the number of rows, so
+that no task ranks a third of the corpus even if it is one size.
 
-The histogram of one source has at most sqrt(2 * words) * SALTS cells, which
-bounds the task that carries the rounding. The driver holds a few numbers for
+The histogram of one source has at most sqrt(2 * words) cells, which bounds the
+task that carries the rounding. The driver holds a few numbers for
 each source, the granularity at which weights are stated.
 
 Defined cases: null text has size 0 and takes 0; sources are ordered by code
@@ -35,7 +37,9 @@ from .common import cut, gathered, read, word_count
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-SALTS = 16
+LEAST_SALTS = 16
+#: Rows of one (source, size) that one task ranks, about.
+ROWS_PER_SALT = 5_000_000
 STEPS = 60
 TOLERANCE = 1e-9
 SEED = 77
@@ -92,7 +96,7 @@ def _solve(cells: DataFrame, spark: SparkSession, goals: dict) -> dict:
 
 def _round(frame: pd.DataFrame) -> pd.DataFrame:
     """Extra copies of each cell of a source, carried from the largest size down."""
-    frame = frame.sort_values(["size", "salt"], ascending=[False, True], kind="stable")
+    frame = frame.sort_values("size", ascending=False, kind="stable")
     size, n, rate = frame["size"].to_numpy(), frame["n"].to_numpy(), frame["rate"].to_numpy()
     whole = np.floor(rate + 1e-9).astype(np.int64)
     extra, owed = np.zeros(len(frame), np.int64), 0.0
@@ -107,20 +111,26 @@ def _round(frame: pd.DataFrame) -> pd.DataFrame:
         more = max(-n[i] * whole[i] - extra[i], min(n[i] * (LIMIT - whole[i]) - extra[i], more))
         extra[i] += more
         owed -= more * size[i]
-    return pd.DataFrame({"source": frame["source"], "size": size, "salt": frame["salt"], "n": n, "whole": whole, "extra": extra})
+    return pd.DataFrame({"source": frame["source"], "size": size, "n": n, "whole": whole, "extra": extra})
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list:
-    """id, source, size, draw and salt of each row as expressions."""
+    """id, source, size and draw of each row as expressions."""
     text, doc_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     draw = F.xxhash64(F.lit(SEED), doc_id, text)
-    return [doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), draw.alias("draw"), F.pmod(F.shiftright(draw, 7), F.lit(SALTS)).cast("int").alias("salt")]
+    return [doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), draw.alias("draw")]
 
 
-def _allot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copies of each cell (p_source, p_size, p_salt, n, whole, extra), and facts of each source."""
+def _salted(rows: DataFrame, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.shiftright("draw", 7), F.lit(salts)).cast("int"))
+
+
+def _allot(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Copies of each salted cell (p_source, p_size, p_salt, n, whole, extra), facts of each source, and the number of salts."""
     spark = rows.sparkSession
-    cells = cut(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-cells", narrow=True)
+    salts = max(LEAST_SALTS, rows.count() // ROWS_PER_SALT)
+    salted = cut(_salted(rows, salts).groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-salted", narrow=True)
+    cells = cut(salted.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-cells", narrow=True)
     by_source = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")).collect()
     wanted = targets([(r["source"], r["words"]) for r in by_source])
     goals = {r["source"]: (r["words"], wanted[r["source"]], r["words"] / max(r["docs"], 1)) for r in by_source if r["words"]}
@@ -128,10 +138,15 @@ def _allot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = [(r["source"], int(r["words"]), float(wanted[r["source"]]), float(r["words"]) / max(r["docs"], 1), float(found.get(r["source"], 0.0))) for r in by_source]
     table = _hinted(spark.createDataFrame(facts, "t_source string, source_size long, target double, mean double, at double"), len(facts))
     rate = F.when(F.col("target") >= LIMIT * F.col("source_size"), float(LIMIT)).otherwise(F.least(F.lit(float(LIMIT)), F.exp(F.least(F.col("at") * F.col("size") / F.col("mean"), F.lit(5.0)))))
-    rated = cells.filter("size > 0").join(table, F.col("source").eqNullSafe(F.col("t_source"))).select("source", "size", "salt", "n", rate.alias("rate"))
-    plan = rated.groupBy("source").applyInPandas(_round, "source string, size long, salt int, n long, whole long, extra long")
-    plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("salt").alias("p_salt"), "n", "whole", "extra")
-    return cut(plan, "mix-plan", narrow=True), table
+    rated = cells.filter("size > 0").join(table, F.col("source").eqNullSafe(F.col("t_source"))).select("source", "size", "n", rate.alias("rate"))
+    plan = rated.groupBy("source").applyInPandas(_round, "source string, size long, n long, whole long, extra long")
+    plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("n").alias("total"), (F.col("whole") + F.floor(F.col("extra") / F.col("n"))).alias("whole"), F.pmod("extra", "n").alias("more"))
+    # What is left of a cell goes to its salts in proportion to their rows, to the last copy.
+    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = salted.filter("size > 0").withColumn("upto", upto).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    share = lambda end: F.expr(f"(cast({end} AS decimal(19, 0)) * cast(more AS decimal(19, 0))) div cast(total AS decimal(19, 0))")
+    parts = parts.select("p_source", "p_size", F.col("salt").alias("p_salt"), "whole", (share("upto") - share("upto - n")).alias("extra"))
+    return cut(parts, "mix-plan", narrow=True), table, salts
 
 
 def _same_cell(source: str = "source", size: str = "size", salt: str = "salt"):
@@ -145,9 +160,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies for each row."""
     rows = cut(docs.select(*_rows(docs, id_col, text_col, source_col)), "mix-rows")
-    plan, table = _allot(rows)
-    copies = F.coalesce(F.col("whole") + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("rank") <= F.pmod("extra", "n"), 1).otherwise(0), F.lit(0))
-    joined = _ranked(rows).join(plan, _same_cell(), "left").select("doc_id", "source", "size", copies.cast("int").alias("copies"))
+    plan, table, salts = _allot(rows)
+    copies = F.coalesce(F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0), F.lit(0))
+    joined = _ranked(_salted(rows, salts)).join(plan, _same_cell(), "left").select("doc_id", "source", "size", copies.cast("int").alias("copies"))
     return joined.join(table, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -160,12 +175,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     exprs = _rows(docs, id_col, text_col, source_col)
     rows = cut(docs.select(*exprs), "mix-rows")
-    plan, _ = _allot(rows)
-    last = _ranked(rows).join(plan, _same_cell()).filter((F.pmod("extra", "n") > 0) & (F.col("rank") == F.pmod("extra", "n")))
+    plan, _, salts = _allot(rows)
+    last = _ranked(_salted(rows, salts)).join(plan, _same_cell()).filter(F.col("rank") == F.col("extra"))
     last = last.select(F.col("p_source").alias("l_source"), F.col("p_size").alias("l_size"), F.col("p_salt").alias("l_salt"), F.col("draw").alias("last"))
     met = F.col("p_source").eqNullSafe(F.col("l_source")) & (F.col("p_size") == F.col("l_size")) & (F.col("p_salt") == F.col("l_salt"))
-    limits = cut(plan.join(last, met, "left").select("p_source", "p_size", "p_salt", (F.col("whole") + F.floor(F.col("extra") / F.col("n"))).alias("whole"), "last"), "mix-limits", narrow=True)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *exprs)
+    limits = cut(plan.join(last, met, "left").select("p_source", "p_size", "p_salt", "whole", "last"), "mix-limits", narrow=True)
+    whole = _salted(docs.select(F.struct(*docs.columns).alias("row"), *exprs), salts)
     copies = F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)
     taken = whole.join(limits, _same_cell()).select("row", copies.cast("int").alias("copies")).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")

@@ -410,3 +410,15 @@ def test_native_operators_run_no_python(plain, run):
 def test_sharding_reruns_agree(plain):
     first, again = (multiset(sharding.shuffle_into_shards(plain).collect()) for _ in range(2))
     assert first == again
+
+
+def test_mixing_with_many_salts(plain, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SALTS", 2)
+    monkeypatch.setattr(mixing, "ROWS_PER_SALT", 7)
+    got = mixing.mix(plain).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    assert all(0 <= r["copies"] <= 3 for r in got) and all(abs(taken[s] - t) <= 0.03 * t for s, t in target.items())
+    assert Counter(r["doc_id"] for r in mixing.mixed(plain).select("doc_id").collect()) == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
