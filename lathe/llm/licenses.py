@@ -27,6 +27,7 @@ from .common import gathered, read
 GAP = 3
 LEAST_COVER = 0.8
 SIZES = (2, 3)
+KELVIN = "\u212a"
 
 #: Words that may stand in a template, by phrase; labels of the base.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
@@ -65,7 +66,7 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The Kelvin sign alone lower-cases to an ASCII letter; it must not.
-    safe = F.when(F.contains(text, F.lit("K")), F.translate(text, "K", "æ")).otherwise(text)
+    safe = F.when(F.contains(text, F.lit(KELVIN)), F.translate(text, KELVIN, "\u00e6")).otherwise(text)
     pieces = F.split(F.lower(safe), _BREAK)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), pieces.alias("w"))
     # Only the first and the last piece can be empty.
