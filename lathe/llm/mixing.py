@@ -146,7 +146,8 @@ def _allot(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     parts = salted.filter("size > 0").withColumn("upto", upto).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     share = lambda end: F.expr(f"(cast({end} AS decimal(19, 0)) * cast(more AS decimal(19, 0))) div cast(total AS decimal(19, 0))")
     parts = parts.select("p_source", "p_size", F.col("salt").alias("p_salt"), "whole", (share("upto") - share("upto - n")).alias("extra"))
-    return cut(parts, "mix-plan", narrow=True), table, salts
+    # Compressed files look small; a table that grows with the input is never broadcast.
+    return cut(parts, "mix-plan", narrow=True).hint("merge"), table, salts
 
 
 def _same_cell(source: str = "source", size: str = "size", salt: str = "salt"):
@@ -179,7 +180,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     last = _ranked(_salted(rows, salts)).join(plan, _same_cell()).filter(F.col("rank") == F.col("extra"))
     last = last.select(F.col("p_source").alias("l_source"), F.col("p_size").alias("l_size"), F.col("p_salt").alias("l_salt"), F.col("draw").alias("last"))
     met = F.col("p_source").eqNullSafe(F.col("l_source")) & (F.col("p_size") == F.col("l_size")) & (F.col("p_salt") == F.col("l_salt"))
-    limits = cut(plan.join(last, met, "left").select("p_source", "p_size", "p_salt", "whole", "last"), "mix-limits", narrow=True)
+    limits = cut(plan.join(last, met, "left").select("p_source", "p_size", "p_salt", "whole", "last"), "mix-limits", narrow=True).hint("merge")
     whole = _salted(docs.select(F.struct(*docs.columns).alias("row"), *exprs), salts)
     copies = F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)
     taken = whole.join(limits, _same_cell()).select("row", copies.cast("int").alias("copies")).filter("copies > 0")
