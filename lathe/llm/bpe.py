@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, lean, read, row_number_base
+from .common import Words, buffer_of, chunks, lean, read, row_number_base, tidied
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 4096
@@ -203,6 +203,7 @@ def _coder(path: str) -> Coder:
 def _encode(path: str):
     """(doc_id, text) to (doc_id, ids, decoded): texts without a long word."""
 
+    @tidied
     def run(batches):
         coder = _coder(path)
         for batch in batches:
@@ -218,6 +219,8 @@ def _encode(path: str):
                     out_ids.append(b"".join([ids[i] for i in own]))
                     out_text.append(b" ".join([shown[i] for i in own if shown[i]] if blank else [shown[i] for i in own]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+        # The worker may serve other work next.
+        coder.cache.clear()
 
     return run
 
@@ -225,6 +228,7 @@ def _encode(path: str):
 def _pieces(path: str, leaf_chars: int):
     """Texts with a long word to rows (uid, unit, leaf, doc_id, whole, text)."""
 
+    @tidied
     def run(batches):
         coder, uid = _coder(path), row_number_base()
         for batch in batches:
@@ -260,6 +264,7 @@ def _pieces(path: str, leaf_chars: int):
 def _leaves(path: str):
     """Encode pieces; a leaf keeps its text and positions, a plain unit only its ids."""
 
+    @tidied
     def run(batches):
         coder = _coder(path)
         for batch in batches:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, gathered, lean, read, row_number_base
+from .common import cut, fresh, gathered, lean, read, row_number_base, tidied
 
 SALTS = 32
 FLUSH_BYTES = 48 << 20
@@ -40,6 +40,7 @@ _LOCAL = "uid long, digest binary, payload binary, ids array<long>, top long, n
 def local_groups(flush_bytes: int = FLUSH_BYTES, digest_bytes: int = 32):
     """mapInArrow function: rows (id, text) to local groups."""
 
+    @tidied
     def run(batches):
         uid, held, size, squeeze = row_number_base(), {}, 0, zstandard.ZstdCompressor(level=1)
 

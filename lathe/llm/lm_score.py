@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, cut, lean, lowered, read, row_number_base
+from .common import Words, buffer_of, chunks, cut, lean, lowered, read, row_number_base, tidied
 
 PIECES = "piece_bpe_32k.model"
 HELD_MODULO, HELD_REST = 7, 2
@@ -181,6 +181,7 @@ def _gathered(batches, rows: int = 200_000):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+@tidied
 def _count(batches):
     held: dict[bytes, int] = {}
 
@@ -202,6 +203,7 @@ def _count(batches):
 
 
 def _expected(pieces: list[bytes], log_p: np.ndarray):
+    @tidied
     def run(batches):
         lattice, total = Lattice(pieces, log_p), np.zeros(len(pieces))
         for batch in _gathered(batches):
@@ -213,6 +215,7 @@ def _expected(pieces: list[bytes], log_p: np.ndarray):
 
 
 def _score_words(pieces: list[bytes], log_p: np.ndarray):
+    @tidied
     def run(batches):
         lattice = Lattice(pieces, log_p)
         for batch in _gathered(batches):
@@ -227,6 +230,7 @@ _SUMS = "struct<doc_id:long,held_out:boolean,n_tokens:long,known:long,base:doubl
 def _score_docs(hot):
     """Documents to sums over hot words, and (uid, word, n) for the others."""
 
+    @tidied
     def run(batches):
         table, uid = hot.value, row_number_base()
         words_of, gain, lp = table["words"], table["gain"], table["lp"]
@@ -261,6 +265,7 @@ def _score_docs(hot):
 def _fill(pieces: list[bytes], log_p: np.ndarray):
     """Score the words that training never saw, and weigh by count."""
 
+    @tidied
     def run(batches):
         lattice = Lattice(pieces, log_p)
         for batch in _gathered(batches):

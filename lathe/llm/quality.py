@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, fresh, lean, read
+from .common import Words, buffer_of, chunks, fresh, lean, read, tidied
 
 #: Largest share of characters in duplicated n-grams, by n.
 NGRAM_BOUNDS = {2: 0.60, 3: 0.45, 5: 0.35, 8: 0.30, 10: 0.30}
@@ -155,6 +155,7 @@ _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SHARES = ("line_coverage", *(f"coverage_{n}" for n in NGRAM_BOUNDS))
 
 
+@tidied
 def _run(batches):
     for batch in batches:
         for part in chunks(batch, "_text"):
@@ -171,6 +172,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return narrow.mapInArrow(_run, schema)
 
 
+@tidied
 def _keep(batches):
     for batch in batches:
         for part in chunks(batch, batch.schema.names[-1]):

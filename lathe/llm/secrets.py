@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, lean, read
+from .common import Words, buffer_of, chunks, lean, read, tidied
 
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 20_000
@@ -278,10 +278,13 @@ def train(texts: list[str], seed: int = 3) -> Field:
     pair = real[:, 1:] & real[:, :-1]
     np.add.at(seen[1], (truth[:, :-1][pair], truth[:, 1:][pair]), 1.0)
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    # Words with the same features share one row of sums.
+    kinds, kind_of = np.unique(active, axis=0, return_inverse=True)
+    kind_of = kind_of.ravel()
     soft = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
     for step in range(1, STEPS + 1):
         weights, moves = theta
-        flat = weights[active].sum(axis=1)
+        flat = weights[kinds].sum(axis=1)[kind_of]
         e = np.where(real[..., None], flat[index], 0.0)
         alpha, beta = np.zeros((longest, rows, 3)), np.zeros((longest, rows, 3))
         alpha[0] = e[:, 0]
@@ -294,7 +297,8 @@ def train(texts: list[str], seed: int = 3) -> Field:
         hoped = [np.zeros_like(weights), np.zeros_like(moves)]
         posterior = p[words.doc, place]
         for c in range(3):
-            hoped[0][:, c] = np.bincount(active.ravel(), weights=np.repeat(posterior[:, c], active.shape[1]), minlength=WIDTH)
+            mass = np.bincount(kind_of, weights=posterior[:, c], minlength=len(kinds))
+            hoped[0][:, c] = np.bincount(kinds.ravel(), weights=np.repeat(mass, kinds.shape[1]), minlength=WIDTH)
         for t in range(1, longest):
             both = alpha[t - 1][:, :, None] + moves + (e[:, t] + beta[t])[:, None, :] - z[:, None, None]
             hoped[1] += (np.exp(both) * real[:, t, None, None]).sum(axis=0)
@@ -360,6 +364,7 @@ def scan_texts(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
 
 
 def _run(field: Field):
+    @tidied
     def run(batches):
         shown = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         for batch in batches:

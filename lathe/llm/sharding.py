@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, gathered, lean, read
+from .common import cut, gathered, lean, read, tidied
 
 SHARDS = 24
 SEED = 20250
@@ -90,6 +90,7 @@ def _large_draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarra
 def _local(seed: int):
     """Read a task's rows, and permute them."""
 
+    @tidied
     def run(batches):
         from pyspark import TaskContext
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, gathered, lean, read, row_number_base
+from .common import cut, fresh, gathered, lean, read, row_number_base, tidied
 
 RADIUS = 3
 SHINGLE = 3
@@ -60,6 +60,7 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
+@tidied
 def _fingerprints(batches):
     uid = row_number_base()
     for batch in batches:
@@ -110,6 +111,7 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r), i) for i, r in enumerate(root) if r != i]
 
 
+@tidied
 def _links(batches):
     """Sorted stream of (table, key, fp) to links (a, b). A bucket may span batches."""
     rest: list[np.ndarray] = []
@@ -210,6 +212,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _numbered(name: str):
     """Add a row number as the last column."""
 
+    @tidied
     def run(batches):
         uid = row_number_base()
         for batch in batches:
