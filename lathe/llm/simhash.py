@@ -42,17 +42,22 @@ WIDE = 2048
 BLOCK = 1024
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle of ``size`` words in order; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     edges = [0]
     for w in words:
         edges.append(edges[-1] + len(w) + 1)
-    n = min(SHINGLE, len(words))
-    h = np.fromiter((xxhash.xxh64_intdigest(flat[a : b - 1], SEED) for a, b in zip(edges, edges[n:])), np.uint64)  # noqa: B905
+    n = min(size, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(flat[a : b - 1], SEED) for a, b in zip(edges, edges[n:])), np.uint64)  # noqa: B905
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    h = shingle_hashes(text, SHINGLE)
     step, ones = 1 << 16, np.zeros(64, np.int64)
     for at in range(0, len(h), step):
         ones += np.unpackbits(h[at : at + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -222,14 +227,20 @@ def _numbered(name: str):
     return run
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all their columns."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more=None) -> DataFrame:
+    """The document with the smallest id of each component, with all their columns.
+
+    ``more`` takes (row, text) and (row, c) and gives (row, c) with further components joined.
+    """
     own = fresh(docs, "own_row")
     numbered = cut(lean(docs).mapInArrow(_numbered(own), docs.select("*", F.lit(0).cast("long").alias(own)).schema), "numbered")
     ids = numbered.select(F.col(own).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     # Components over row numbers, which no two rows share; the smallest document id of each is chosen next.
     found = classes(numbered.select(F.col(own).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    ranked = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")).join(ids, "row")
+    place = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))
+    if more is not None:
+        place = more(numbered.select(F.col(own).alias("row"), F.col(text_col).cast("string").alias("text")), cut(place, "place", narrow=True))
+    ranked = place.join(ids, "row")
     best = ranked.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("best"))
     return numbered.join(best, numbered[own] == best["best"], "left_semi").select(docs.columns)
 
