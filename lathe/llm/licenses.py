@@ -47,13 +47,27 @@ NOTICES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+#: Short notices, (label, words), which count only whole: one word of them tells licenses apart.
+SHORT = [
+    ("mit", "under the mit license"),
+    ("mit", "spdx license identifier mit"),
+    ("bsd", "under the bsd license"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("mpl-2.0", "mozilla public license version 2 0"),
+    ("mpl-2.0", "mozilla public license v 2 0"),
+    ("mpl-2.0", "mozilla public license 2 0"),
+    ("apache-2.0", "apache license version 2 0"),
+    ("apache-2.0", "apache license 2 0"),
+]
+
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """One row for each k-gram of each template."""
     rows = []
-    for n, (label, text) in enumerate([*PHRASES.items(), *NOTICES.items()]):
+    for n, (label, text) in enumerate([*PHRASES.items(), *NOTICES.items(), *SHORT]):
         words = text.split()
         k = min(len(words), SIZES[-1])
         rows += [(n, label, n < len(PHRASES), len(words), k, i, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
@@ -101,7 +115,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.min(F.when(F.col("base") & (F.col("hits") == F.col("size") - F.col("k") + 1), F.col("diagonal"))).alias("low"),
         F.max(F.when(F.col("base") & (F.col("hits") == F.col("size") - F.col("k") + 1), F.col("diagonal"))).alias("high"),
     )
-    own = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("cover") >= LEAST_COVER)
+    own = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("cover") >= F.when(F.col("template") >= len(PHRASES) + len(NOTICES), 1.0).otherwise(LEAST_COVER))
     labels = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
     return spans.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sum("places").cast("long").alias("n_base"),
