@@ -2,11 +2,11 @@
 
 Words between ASCII white space are encoded on their own, which equals encoding
 the whole text: the vocabulary's normaliser and splitter never look across white
-space. Distinct words of a task go through the tokenizers library once.
+space. Distinct words of a worker go through the tokenizers library once.
 
 A word above ``leaf_chars`` (text without a break) is normalised whole and cut in
 halves until pieces fit; pieces are rows that any task may encode. Then halves
-are joined up the tree: the text around each cut is encoded again in a window
+are joined up the tree, whose lower levels are rows of any task too: the text around each cut is encoded again in a window
 that doubles until it agrees with both sides, and the window replaces the tokens
 between the points of agreement. Two encodings agree at a byte position if
 
@@ -26,21 +26,30 @@ empty result.
 
 from __future__ import annotations
 
-import hashlib
+import json
 import threading
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, lean, read, row_number_base, tidied
+from .common import Words, buffer_of, chunks, lean, lowered, read, row_number_base, tidied
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 4096
 FIRST_WINDOW = 16
-CACHE_WORDS = 400_000
+#: Leaves, then nodes, that one task joins before they move on.
+FAN_IN = 64
+#: Fixed values of the vocabulary file: where a file states just these, its splits inside plain words are known beforehand.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: A word between other words in one call of the library; words that hold it go alone.
+SEPARATOR = "\x01"
+WORDS_AT_ONCE = 500
+#: Bound of a worker's table of words; WORD_BYTES is what an entry takes beside its signs.
+CACHE_BYTES = 96 << 20
+WORD_BYTES = 120
 
 _local = threading.local()
 
@@ -51,37 +60,180 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _splits_known(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (told.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split.get("pattern") == {"Regex": SPLITS}
+
+
+#: 0 white space, 1 letter, 2 digit, 3 other sign of printable ASCII, 4 anything else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[ord("0") : ord("9") + 1] = 2
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+
+
 class Coder:
-    """A vocabulary file opened for whole words and for pieces of normalised text."""
+    """A vocabulary file opened for whole words and for pieces of normalised text.
+
+    Words seen before are held as numbers into one flat array of ids, for the
+    life of the worker; above ``CACHE_BYTES`` the table starts anew.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        if self._ids(" a  b ") != self._ids("a") + self._ids("b"):
+            raise ValueError(f"{path} encodes white space; words cannot be encoded on their own")
         self.piece = Tokenizer.from_file(path)
         self.piece.no_truncation()
         self.piece.no_padding()
         self.normalizer = self.piece.normalizer
         self.piece.normalizer = normalizers.Sequence([])
         self.piece.encode_special_tokens = True
-        size = self.whole.get_vocab_size()
-        self.token = [self.whole.id_to_token(i) or "" for i in range(size)]
+        self.size = self.whole.get_vocab_size()
+        self.token = [self.whole.id_to_token(i) or "" for i in range(self.size)]
+        # Token i followed by a blank; token i alone is number size + i.
+        self.shown = pa.array([f"{t} ".encode() for t in self.token] + [t.encode() for t in self.token], pa.large_binary())
         self.length = np.array([len(t.removesuffix("</w>")) for t in self.token], np.int64)
         self.special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def words(self, found: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32 bit, tokens joined by blanks) of each word."""
-        new = [w for w in found if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = found
-        for w, e in zip(new, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.cache[w] = (np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids]).encode())
-        return [self.cache[w] for w in found]
+        alone = self._ids(SEPARATOR)
+        self.separator = alone[0] if len(alone) == 1 and self._ids(f"a {SEPARATOR} a") == self._ids("a") + alone + self._ids("a") else None
+        self.parted = _splits_known(path)
+        # One split each: no normaliser, no pattern to run.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.no_truncation()
+        self.letters.no_padding()
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.array([t.endswith("</w>") for t in self.token])
+        self.odd = np.zeros(256, bool)
+        self.odd[[ord("'"), *(t.encode()[0] for t in self.special)]] = True
+        self.forget()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def forget(self) -> None:
+        """Empty the table of words."""
+        self.number: dict[bytes, int] = {}
+        self.flat, self.at, self.bytes = np.zeros(1 << 16, np.uint32), np.zeros((1 << 15) + 1, np.int64), 0
+
+    def _new(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each word): many words to a call, told apart by where they end."""
+        letters = np.fromiter((w.isalpha() and w.islower() for w in found), bool, len(found)) & self.parted
+        marks = [m.encode() for m in (SEPARATOR, *self.special)] if self.separator is not None else [b""]
+        own = ~letters
+        own[own] = [any(m in found[i] for m in marks) for i in np.flatnonzero(own)]
+        counts, parts, order = np.zeros(len(found), np.int64), [], []
+        for chosen, coder, mark in ((letters, self.letters, None), (~letters & ~own, self.whole, SEPARATOR), (own, self.whole, "")):
+            at = np.flatnonzero(chosen)
+            if not len(at):
+                continue
+            words = [found[i].decode("utf-8", "replace") for i in at]
+            if mark == "":
+                texts = words
+            else:
+                between = f" {mark} " if mark else " "
+                texts = [between.join([*words[i : i + WORDS_AT_ONCE], ""]) for i in range(0, len(words), WORDS_AT_ONCE)]
+            coded = [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+            flat = np.concatenate([np.array(x, np.uint32) for x in coded])
+            if mark is None:
+                counts[at] = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+            elif mark:
+                ends = np.flatnonzero(flat == self.separator)
+                counts[at] = np.diff(ends, prepend=-1) - 1
+                flat = np.delete(flat, ends)
+            else:
+                counts[at] = [len(x) for x in coded]
+            parts.append(flat)
+            order.append(at)
+        # Words of each kind, put back in the order they came in.
+        order, flat = np.concatenate(order), np.concatenate(parts)
+        size = counts[order]
+        place = np.empty(len(found), np.int64)
+        place[order] = np.cumsum(size) - size
+        return flat[np.repeat(place - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))], counts
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """Numbers of the words in the table, to which new words are added."""
+        known = self.number
+        new = [w for w in found if w not in known]
+        if new and self.bytes > CACHE_BYTES:
+            self.forget()
+            known, new = self.number, list(dict.fromkeys(found))
+        if new:
+            flat, count = self._new(new)
+            had, used = len(known), int(self.at[len(known)])
+            while used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while had + len(new) >= len(self.at):
+                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.flat[used : used + len(flat)] = flat
+            self.at[had + 1 : had + len(new) + 1] = used + np.cumsum(count)
+            known.update(zip(new, range(had, had + len(new)), strict=True))
+            self.bytes += sum(map(len, new)) + WORD_BYTES * len(new) + 4 * len(flat)
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, place of each word's first and, at last, the number of all)."""
+        start = self.at[number]
+        count = self.at[number + 1] - start
+        place = np.concatenate([[0], np.cumsum(count)])
+        return self.flat[np.repeat(start - place[:-1], count) + np.arange(place[-1])], place
+
+    def words(self, found: list[bytes]) -> np.ndarray:
+        """Ids of words that follow each other."""
+        return self.gather(self.numbers(found))[0] if found else np.zeros(0, np.uint32)
+
+    def decode(self, ids: np.ndarray, place: np.ndarray) -> pa.Array:
+        """Texts of the ids from each place to the next: tokens joined by blanks."""
+        at = ids.astype(np.int64)
+        at[place[1:][place[1:] > place[:-1]] - 1] += self.size
+        told = self.shown.take(pa.array(at))
+        ends = np.frombuffer(told.buffers()[1], np.int64)[told.offset : told.offset + len(at) + 1][place]
+        if ends[-1] >= 1 << 31:
+            raise ValueError("the decoded text exceeds 2 GB, the bound of a value")
+        return pa.StringArray.from_buffers(len(place) - 1, pa.py_buffer(ends.astype(np.int32)), told.buffers()[2])
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(numbers of the parts of all texts, distinct parts, each text's first part and, at last, the number of all).
+
+        Parts are words. Words of printable ASCII and of the letters U+00C0 to
+        U+024F are split further where the vocabulary is known to split: into
+        runs of letters, single digits and runs of other signs, and A-Z become
+        lower case; so fewer of them differ. Words with an apostrophe, which may
+        start a contraction, or with a sign that starts a special token, stay whole.
+        """
+        words = Words(data, offsets)
+        if not self.parted or not len(words.start):
+            number, distinct = words.encoded()
+            return number, distinct, words.first
+        kind = _KIND[data]
+        pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
+        letter = np.flatnonzero((pair >= 0xC380) & (pair <= 0xC98F) & ((pair & 0xC0) == 0x80) & (pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0))
+        kind[letter] = kind[letter + 1] = 1
+        kind[self.odd[data]] = 4
+        whole = np.bitwise_or.reduceat(kind == 4, words.start)
+        whole = np.repeat(whole, words.end - words.start)
+        solid = np.flatnonzero(words.solid)
+        kind, plain = kind[solid], lowered(data[solid])
+        plain[whole] = data[solid[whole]]
+        head = np.ones(len(solid), bool)
+        head[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        head[whole] = False
+        size = words.end - words.start
+        head[np.cumsum(size) - size] = True
+        start = np.flatnonzero(head)
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(solid)).astype(np.int64)), pa.py_buffer(plain)])
+        found = texts.dictionary_encode()
+        first = np.searchsorted(start, np.searchsorted(solid, offsets))
+        return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary, first
 
     def normalize(self, text: str) -> str:
         return self.normalizer.normalize_str(text) if self.normalizer else text
@@ -119,39 +271,40 @@ class Piece:
 
     def __init__(self, data: bytes, ids: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray):
         self.data, self.ids, self.start, self.end, self.head = data, ids, start, end, head
+        self.first = np.flatnonzero(head)
+        self.kinds: dict[int, bool | None] = {}
 
     def part(self, a: int, b: int, shift: int) -> tuple[np.ndarray, ...]:
         return self.ids[a:b], self.start[a:b] + shift, self.end[a:b] + shift, self.head[a:b]
 
-    def run(self, i: int, shift: int) -> str | None:
-        """Letters or other signs, if token i's split is all of one kind."""
-        a = i
-        while not self.head[a]:
-            a -= 1
-        b = i + 1
-        while b < len(self.ids) and not self.head[b]:
-            b += 1
-        text = self.data[self.start[a] - shift : self.end[b - 1] - shift].decode("utf-8", "replace")
-        letters = {c.isalpha() for c in text}
-        return str(letters) if len(letters) == 1 and not any(c.isnumeric() for c in text) else None
+    def kind(self, i: int) -> bool | None:
+        """Of token i's split: all letters (True), no letter (False), or neither, or with numbers (None)."""
+        n = int(np.searchsorted(self.first, i, "right")) - 1
+        if n not in self.kinds:
+            a, b = self.first[n], self.first[n + 1] if n + 1 < len(self.first) else len(self.ids)
+            text = self.data[self.start[a] : self.end[b - 1]].decode("utf-8", "replace")
+            letters = text.isalpha()
+            pure = (letters or not any(map(str.isalpha, text))) and not any(map(str.isnumeric, text))
+            self.kinds[n] = letters if pure else None
+        return self.kinds[n]
 
 
 def _meet(side: Piece, shift: int, window: Piece, at: int, low: int, high: int, from_left: bool) -> tuple[int, int] | None:
     """(index in side, index in window) of a point where both agree. at: the window's place in the text; positions in (low, high) may be used."""
-    where = {int(p) + shift: i for i, p in enumerate(side.start)}
+    a, b = np.searchsorted(side.start, [low - shift, high - shift])
+    where = {p + shift: i for i, p in enumerate(side.start[a:b].tolist(), int(a))}
     order = range(len(window.ids)) if from_left else range(len(window.ids) - 1, -1, -1)
     for j in order:
         p = int(window.start[j]) + at
         i = where.get(p)
-        if i is None or not low <= p < high:
+        if i is None:
             continue
         if side.head[i] and window.head[j]:
             return i, j
-        last_w = j == len(window.ids) - 1
-        last_s = i == len(side.ids) - 1
-        if side.ids[i] == window.ids[j] and not last_w and not last_s and low < p:
-            kind = side.run(i, 0)
-            if kind and kind == window.run(j, 0):
+        last = j == len(window.ids) - 1 or i == len(side.ids) - 1
+        if side.ids[i] == window.ids[j] and not last and low < p:
+            kind = side.kind(i)
+            if kind is not None and kind == window.kind(j):
                 return i, j
     return None
 
@@ -208,19 +361,11 @@ def _encode(path: str):
         coder = _coder(path)
         for batch in batches:
             for part in chunks(batch, "text"):
-                words = Words(*buffer_of(part.column(1)))
-                number, distinct = words.encoded()
-                coded = coder.words(distinct.to_pylist())
-                ids, shown, number = [c[0] for c in coded], [c[1] for c in coded], number.tolist()
-                blank = any(not x for x in shown)
-                out_ids, out_text = [], []
-                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    own = number[a:b]
-                    out_ids.append(b"".join([ids[i] for i in own]))
-                    out_text.append(b" ".join([shown[i] for i in own if shown[i]] if blank else [shown[i] for i in own]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
-        # The worker may serve other work next.
-        coder.cache.clear()
+                number, distinct, first = coder.parts(*buffer_of(part.column(1)))
+                ids, place = coder.gather(coder.numbers(distinct.to_pylist())[number])
+                place = place[first]
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(4 * place), pa.py_buffer(ids.astype("<u4", copy=False))])
+                yield pa.RecordBatch.from_arrays([part.column(0), packed.cast(pa.binary()), coder.decode(ids, place)], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -271,8 +416,7 @@ def _leaves(path: str):
             ids, start, head = [], [], []
             for whole, text in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 if whole:
-                    coded = coder.words(text.encode().split())
-                    ids.append(np.frombuffer(b"".join(c[0] for c in coded), "<u4").astype(np.int64))
+                    ids.append(coder.words(text.encode().split()).astype(np.int64))
                     start.append(None)
                     head.append(None)
                 else:
@@ -285,35 +429,62 @@ def _leaves(path: str):
     return run
 
 
+def _piece(coder: Coder, text: str, ids, start, head) -> Piece:
+    ids, start = np.asarray(ids, np.int64), np.asarray(start, np.int64)
+    return Piece(text.encode(), ids, start, start + coder.length[ids], np.asarray(head, bool))
+
+
+def _joined(path: str):
+    """Neighbouring nodes of one unit to the node above them, a row like theirs; plain units stay."""
+
+    def run(frame):
+        import pandas as pd
+
+        if len(frame) > 1:
+            coder = _coder(path)
+            frame = frame.sort_values("leaf")
+            whole = concatenate(coder, [_piece(coder, r.text, r.ids, r.start, r.head) for r in frame.itertuples()])
+            frame = frame.head(1).assign(text=[whole.data.decode()], ids=pd.Series([whole.ids], frame.index[:1]), start=pd.Series([whole.start], frame.index[:1]), head=pd.Series([whole.head], frame.index[:1]))
+        return frame.assign(leaf=frame["leaf"] // FAN_IN)
+
+    return run
+
+
 def _assemble(path: str):
+    """What is left of each text, joined to one row."""
+
     def run(frame):
         import pandas as pd
 
         coder, out = _coder(path), []
         for _, unit in frame.sort_values(["unit", "leaf"]).groupby("unit", sort=True):
-            if unit["whole"].iloc[0]:
+            if len(unit) == 1:
                 out.append(np.asarray(unit["ids"].iloc[0], np.int64))
-                continue
-            leaves = []
-            for r in unit.itertuples():
-                ids, start = np.asarray(r.ids, np.int64), np.asarray(r.start, np.int64)
-                leaves.append(Piece(r.text.encode(), ids, start, start + coder.length[ids], np.asarray(r.head, bool)))
-            out.append(concatenate(coder, leaves).ids)
+            else:
+                out.append(concatenate(coder, [_piece(coder, r.text, r.ids, r.start, r.head) for r in unit.itertuples()]).ids)
         ids = np.concatenate(out) if out else np.zeros(0, np.int64)
-        return pd.DataFrame({"doc_id": pd.array([frame["doc_id"].iloc[0]], "Int64"), "ids": [ids.astype("<u4").tobytes()], "decoded": [" ".join([coder.token[i] for i in ids])]})
+        decoded = coder.decode(ids, np.array([0, len(ids)]))[0].as_py()
+        return pd.DataFrame({"doc_id": pd.array([frame["doc_id"].iloc[0]], "Int64"), "ids": [ids.astype("<u4").tobytes()], "decoded": [decoded]})
 
     return run
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32 bit), decoded for each row."""
+    """doc_id, ids (little-endian unsigned 32 bit), decoded for each row.
+
+    A vocabulary that encodes white space (byte-level ones do) is refused.
+    """
     path = vocabulary or vocabulary_path()
     narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    long_word = F.col("text").rlike(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{{leaf_chars // 4 + 1}}}")
+    long_word = F.col("text").rlike(rf"(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D]{{{leaf_chars // 4 + 1}}}")
     plain = narrow.filter(~long_word).mapInArrow(_encode(path), "doc_id long, ids binary, decoded string")
     pieces = narrow.filter(long_word).mapInArrow(_pieces(path, leaf_chars), "uid long, unit long, leaf long, doc_id long, whole boolean, text string")
-    coded = pieces.repartition("uid", "unit", "leaf").mapInArrow(_leaves(path), "uid long, unit long, leaf long, doc_id long, whole boolean, text string, ids array<long>, start array<long>, head array<boolean>")
-    joined = coded.groupBy("uid").applyInPandas(_assemble(path), "doc_id long, ids binary, decoded string")
+    columns = "uid long, unit long, leaf long, doc_id long, whole boolean, text string, ids array<long>, start array<long>, head array<boolean>"
+    nodes = pieces.repartition("uid", "unit", "leaf").mapInArrow(_leaves(path), columns)
+    # Two levels of the tree, each spread by rows; the last task of a text joins nodes of FAN_IN ** 2 leaves.
+    for _ in range(2):
+        nodes = nodes.groupBy("uid", "unit", F.floor(F.col("leaf") / FAN_IN).alias("node")).applyInPandas(_joined(path), columns)
+    joined = nodes.groupBy("uid").applyInPandas(_assemble(path), "doc_id long, ids binary, decoded string")
     return plain.unionByName(joined)
 
 
