@@ -13,15 +13,17 @@ histogram cell one more. How many is carried from cell to cell, largest sizes
 first, so that a source's taken words miss its target by about half of its
 smallest document. A cell's share is split over salts in proportion, and the
 documents of a salt are ranked by a hash; salts grow with the number of rows, so
-that no task ranks a third of the corpus even if it is one size.
+that no task ranks a third of the corpus even if it is one size, and rows that
+repeat id and text are counted first.
 
 The histogram of one source has at most sqrt(2 * words) cells, which bounds the
 task that carries the rounding. The driver holds a few numbers for
 each source, the granularity at which weights are stated.
 
 Defined cases: null text has size 0 and takes 0; sources are ordered by code
-point, null last; rows that repeat share a cell and take copies one by one; an
-empty table gives an empty result.
+point, null last; rows that repeat id and text share a draw, and if only some of
+them may take one more copy, exactly so many do; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -154,16 +156,47 @@ def _same_cell(source: str = "source", size: str = "size", salt: str = "salt"):
     return F.col(source).eqNullSafe(F.col("p_source")) & (F.col(size) == F.col("p_size")) & (F.col(salt) == F.col("p_salt"))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id")))
+def _limits(rows: DataFrame, plan: DataFrame, salts: int) -> DataFrame:
+    """Of each salted cell: whole, the last draw that takes one more copy (``last``), the rows that have it (``ties``) and how many of them take it (``take``).
+
+    Rows of one draw are counted before they are ranked, so a text that repeats
+    under one id is one row here, however often it stands in the table.
+    """
+    groups = _salted(rows, salts).groupBy("source", "size", "salt", "draw").agg(F.count("*").alias("ties"))
+    upto = F.sum("ties").over(Window.partitionBy("source", "size", "salt").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = groups.withColumn("before", upto - F.col("ties")).join(plan, _same_cell())
+    last = met.filter((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("ties")))
+    last = last.select(F.col("p_source").alias("l_source"), F.col("p_size").alias("l_size"), F.col("p_salt").alias("l_salt"), F.col("draw").alias("last"), "ties", (F.col("extra") - F.col("before")).alias("take"))
+    same = F.col("p_source").eqNullSafe(F.col("l_source")) & (F.col("p_size") == F.col("l_size")) & (F.col("p_salt") == F.col("l_salt"))
+    return cut(plan.join(last, same, "left").select("p_source", "p_size", "p_salt", "whole", "last", "ties", "take"), "mix-limits", narrow=True).hint("merge")
+
+
+def _copied(rows: DataFrame, limits: DataFrame, kept: list[str]) -> DataFrame:
+    """``kept`` and copies of each row (columns source, size, salt, draw); rows without words take none.
+
+    If only some rows of the last draw take one more copy, equal ones are counted
+    and take it in the order of their other columns.
+    """
+    met = rows.join(limits, _same_cell(), "left")
+    part = F.coalesce((F.col("draw") == F.col("last")) & (F.col("take") < F.col("ties")), F.lit(False))
+    more = F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)
+    out = met.filter(~part).select(*kept, F.coalesce(F.col("whole") + more, F.lit(0)).cast("int").alias("copies"))
+    torn = limits.filter("take < ties")
+    if torn.isEmpty():
+        return out
+    tied = rows.join(torn, _same_cell() & (F.col("draw") == F.col("last")))
+    alike = tied.groupBy("p_source", "p_size", "p_salt", "whole", "take", *kept).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("p_source", "p_size", "p_salt").orderBy(*kept).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = alike.withColumn("before", F.sum("n").over(order) - F.col("n"))
+    each = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    return out.unionByName(each.select(*kept, (F.col("whole") + F.when(F.col("before") + F.col("i") <= F.col("take"), 1).otherwise(0)).cast("int").alias("copies")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies for each row."""
     rows = cut(docs.select(*_rows(docs, id_col, text_col, source_col)), "mix-rows")
     plan, table, salts = _allot(rows)
-    copies = F.coalesce(F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0), F.lit(0))
-    joined = _ranked(_salted(rows, salts)).join(plan, _same_cell(), "left").select("doc_id", "source", "size", copies.cast("int").alias("copies"))
+    joined = _copied(_salted(rows, salts), _limits(rows, plan, salts), ["doc_id", "source", "size"])
     return joined.join(table, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -171,19 +204,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The documents, each repeated by its number of copies, with all their columns.
 
     Whole rows move once: each cell's allotment becomes a largest draw, to which a
-    row compares its own. Rows that repeat id and text share a draw and are taken
-    or left together.
+    row compares its own. Columns must be of types that can be grouped.
     """
     exprs = _rows(docs, id_col, text_col, source_col)
     rows = cut(docs.select(*exprs), "mix-rows")
     plan, _, salts = _allot(rows)
-    last = _ranked(_salted(rows, salts)).join(plan, _same_cell()).filter(F.col("rank") == F.col("extra"))
-    last = last.select(F.col("p_source").alias("l_source"), F.col("p_size").alias("l_size"), F.col("p_salt").alias("l_salt"), F.col("draw").alias("last"))
-    met = F.col("p_source").eqNullSafe(F.col("l_source")) & (F.col("p_size") == F.col("l_size")) & (F.col("p_salt") == F.col("l_salt"))
-    limits = cut(plan.join(last, met, "left").select("p_source", "p_size", "p_salt", "whole", "last"), "mix-limits", narrow=True).hint("merge")
     whole = _salted(docs.select(F.struct(*docs.columns).alias("row"), *exprs), salts)
-    copies = F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)
-    taken = whole.join(limits, _same_cell()).select("row", copies.cast("int").alias("copies")).filter("copies > 0")
+    taken = _copied(whole, _limits(rows, plan, salts), ["row"]).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
