@@ -19,12 +19,13 @@ by arithmetic); the other (document, word, count) triples join the word table.
 Defined cases: null and empty texts are one end token; without training
 documents V and N are 0 and only the prior scores; a null id hashes as the empty
 string; repeated rows are scored one by one; an empty table gives an empty
-result; texts of any length are scored whole.
+result; texts of any length are scored whole, an unbroken word of megabytes too.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,12 @@ PIECES = "piece_bpe_32k.model"
 HELD_MODULO, HELD_REST = 7, 2
 HOT_SHARE = 500_000
 PRIOR_TOKENS = 1000.0
-LONGEST_PIECE = 24
 FLUSH_WORDS = 500_000
 START = b"\xe2\x96\x81"
 ROWS = 20_000
+#: Words above this many bytes are scored on their own, in blocks of BLOCK bytes.
+LONG_WORD = 1024
+BLOCK = 1 << 15
 
 
 class Lattice:
@@ -52,6 +55,7 @@ class Lattice:
         rng = np.random.default_rng(5)
         self.code = rng.integers(1, 2**63 - 1, 256, dtype=np.uint64)
         self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.longest = max(map(len, pieces))
         self.power = np.ones(self.longest + 1, np.uint64)
         with np.errstate(over="ignore"):
@@ -122,6 +126,72 @@ class Lattice:
                     counts += np.bincount(which[hit], weights=share[hit], minlength=len(counts))
         return alpha[size]
 
+    def _arcs(self, prefix: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, length, piece) of all pieces that end in (low, high], by end; prefix holds hashes of prefixes less than ``longest`` before low on."""
+        start = max(0, low + 1 - self.longest)
+        found = []
+        with np.errstate(over="ignore"):
+            for length in range(1, self.longest + 1):
+                ends = np.arange(max(low + 1, length), high + 1)
+                if not len(ends):
+                    break
+                which = self.find(prefix[ends - start] - prefix[ends - length - start] * self.power[length])
+                hit = np.flatnonzero(which >= 0)
+                found.append((ends[hit], np.full(len(hit), length), which[hit]))
+        end, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return end[order], length[order], piece[order]
+
+    def _prefixes(self, data: np.ndarray, start: int, high: int) -> np.ndarray:
+        """Hashes of data[start:start], ..., data[start:high]."""
+        with np.errstate(over="ignore"):
+            size = high - start
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, self.base)]))
+            back = np.cumprod(np.full(size, self.inverse)) if size else np.zeros(0, np.uint64)
+            return np.concatenate([[np.uint64(0)], np.cumsum(self.code[data[start:high]] * back) * power[1:]])
+
+    def _blocks(self, data: np.ndarray, backwards: bool = False):
+        """(end, length, piece) of the arcs of each block of one word."""
+        lows = range(0, len(data), BLOCK)
+        for low in reversed(lows) if backwards else lows:
+            high = min(low + BLOCK, len(data))
+            yield self._arcs(self._prefixes(data, max(0, low + 1 - self.longest), high), low, high)
+
+    def _alone(self, data: np.ndarray, weight: float | None, counts: np.ndarray | None) -> float:
+        """The same recursion over one long word: arcs come by the block, so memory is 16 bytes for each byte of the word."""
+        alpha = array("d", bytes(8 * (len(data) + 1)))
+        exp, log = math.exp, math.log
+
+        def add(into, at, terms):
+            top = max(terms)
+            into[at] = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
+
+        for end, length, piece in self._blocks(data):
+            at, terms = -1, []
+            for e, n, lp in zip(end.tolist(), length.tolist(), self.log_p[piece].tolist(), strict=True):
+                if e != at:
+                    if terms:
+                        add(alpha, at, terms)
+                    at, terms = e, []
+                terms.append(alpha[e - n] + lp)
+            add(alpha, at, terms)
+        total = alpha[len(data)]
+        if counts is not None:
+            beta = array("d", [-math.inf]) * len(data) + array("d", [0.0])
+            ahead = np.frombuffer(alpha)
+            for end, length, piece in self._blocks(data, backwards=True):
+                # Arcs by their start, last ones first: all arcs out of a place come after those that lead on from their ends.
+                order = np.lexsort((-length, length - end))
+                end, length, piece = end[order], length[order], piece[order]
+                lp = self.log_p[piece]
+                for e, n, p in zip(end.tolist(), length.tolist(), lp.tolist(), strict=True):
+                    old, new = beta[e - n], p + beta[e]
+                    top = old if old > new else new
+                    beta[e - n] = top + log(exp(old - top) + exp(new - top)) if old > -math.inf else new
+                share = weight * np.exp(ahead[end - length] + lp + np.frombuffer(beta)[end] - total)
+                counts += np.bincount(piece, weights=share, minlength=len(counts))
+        return total
+
     def score(self, words: pa.Array, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each word's marginal; with weights, also expected piece counts."""
         data, offsets = buffer_of(words)
@@ -135,6 +205,11 @@ class Lattice:
             if not len(group):
                 continue
             size = int(sizes[group[0]])
+            if size > LONG_WORD:
+                for n in group:
+                    word = np.concatenate([head, data[offsets[n] : offsets[n + 1]]])
+                    out[n] = self._alone(word, None if weight is None else float(weight[n]), counts)
+                continue
             step = max(1, ROWS * 12 // (size + len(START)))
             if counts is not None:
                 step = max(1, step // 4)
@@ -159,8 +234,7 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or "▁" in piece[1:]:
             continue
         raw = piece.encode()
-        if len(raw) <= LONGEST_PIECE:
-            rank[raw] = min(rank.get(raw, math.inf), max(0.0, -model.get_score(i)))
+        rank[raw] = min(rank.get(raw, math.inf), max(0.0, -model.get_score(i)))
     for b in range(256):
         rank.setdefault(bytes([b]), 1e6)
     pieces = sorted(rank)
