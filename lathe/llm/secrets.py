@@ -378,10 +378,17 @@ def _run(field: Field):
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> list[str]:
-    """Texts of at most ``rows`` documents of at most ``longest`` bytes, chosen by a hash of the id; reads only as many partitions as it takes."""
-    fits = F.octet_length("text").between(1, longest)
-    chosen = docs.filter(fits & (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)).select("text").limit(rows)
-    return [r["text"] for r in chosen.collect()]
+    """Texts of at most ``rows`` documents of at most ``longest`` bytes: those with the smallest hashes of id and text.
+
+    The number of documents gives a threshold under which about four times as
+    many hashes lie; only texts below it are ordered, wherever they stand, so the
+    sample is the same however the table is split.
+    """
+    share = min(1.0, 4 * rows / max(1, docs.count()))
+    draw = F.xxhash64("doc_id", "text")
+    low, span = -(1 << 63), 1 << 64
+    near = docs.filter(F.octet_length("text").between(1, longest)).withColumn("draw", draw).filter(F.col("draw") <= F.lit(min((1 << 63) - 1, low + int(share * span))))
+    return [r["text"] for r in near.select("draw", "text").orderBy("draw", "text").limit(rows).collect()]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
