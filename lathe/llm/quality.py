@@ -6,10 +6,15 @@ such pair is compared word by word, so a collision cannot count. For each n the
 measure is the share of word characters that lie inside duplicated n-grams
 (each character once); for lines, the share inside repeated lines.
 
-Rules: a document goes if it has fewer than ``min_words`` words, if over 30 % of
+Short n-grams (up to ``SHORT`` words) are looked for within stretches of
+``STRETCH`` words, in which a text is cut from its start: in clean prose the share
+of any repeated word pair grows with the length of what is looked at, and would
+else condemn every very long text. Longer n-grams and lines count over the whole
+text.
+
+Rules: a document goes if it has fewer than ``MIN_WORDS`` words, if over 30 % of
 its words lie in repeated 8-word windows (these two are the base), or if a
-coverage exceeds its bound in ``NGRAM_BOUNDS`` or ``LINE_BOUND``. The bounds
-only apply from ``MIN_RULE_WORDS`` words on, where a share means something.
+coverage exceeds its bound in ``NGRAM_BOUNDS`` or ``LINE_BOUND``.
 
 Defined cases: null and empty texts have no words and fail; very long texts are
 handled whole (memory is about 60 bytes for each byte of the longest text);
@@ -28,6 +33,7 @@ from .common import Words, buffer_of, chunks, fresh, lean, read, tidied
 #: Largest share of characters in duplicated n-grams, by n.
 NGRAM_BOUNDS = {2: 0.60, 3: 0.45, 5: 0.35, 8: 0.30, 10: 0.30}
 LINE_BOUND = 0.40
+SHORT, STRETCH = 3, 4000
 MIN_WORDS = 20
 BASE_WINDOW = 8
 
@@ -135,7 +141,14 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_dup_lines"], held = _lines(words, chars)
     total = np.maximum(out["word_chars"], 1)
     out["line_coverage"] = held / total
-    inside = duplicated(number, words.doc, tuple({*NGRAM_BOUNDS, BASE_WINDOW}))
+    sizes = {*NGRAM_BOUNDS, BASE_WINDOW}
+    if rows and words.count.max() <= STRETCH:
+        inside = duplicated(number, words.doc, tuple(sizes))
+    else:
+        parts = -(-words.count // STRETCH)
+        place = np.arange(len(number)) - words.first[words.doc]
+        stretch = (np.cumsum(parts) - parts)[words.doc] + place // STRETCH
+        inside = duplicated(number, stretch, tuple(n for n in sizes if n <= SHORT)) | duplicated(number, words.doc, tuple(n for n in sizes if n > SHORT))
     out["n_repeat_words"] = by_row(inside[BASE_WINDOW]).astype(np.int64)
     for n in NGRAM_BOUNDS:
         out[f"coverage_{n}"] = by_row(inside[n] * word_chars) / total
