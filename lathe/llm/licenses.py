@@ -3,14 +3,17 @@
 Every rolling k-gram hash of a document's words (k = 2, 3) is joined to the
 positions of the same hash in the templates, with the words themselves compared
 too, so a match is never a hash collision. A match at document word p and
-template word t votes for the diagonal p - t. Votes are summed by diagonal,
-neighbouring diagonals of a template (up to GAP words apart, where a copy has
-words added or left out) are merged, and a span counts if its words cover
-enough of the template.
+template word t votes for the diagonal p - t. Votes are summed by diagonal, and
+neighbouring diagonals of a template, at most DRIFT words apart from first to
+last, make a span, where a copy has words added or left out. A span is verified
+in the order of the template: only matches that stand one behind the other in
+the document count, they must cover enough of the template's words, and all
+words that are numbers (a license's version) must be among them. The bounded
+drift also bounds the span's length by that of the template.
 
 The base phrases are templates of their own: a phrase stands where one diagonal
-has all of its k-grams. The template table is a few hundred rows fixed in this
-file, which bounds the broadcast.
+has all of its k-grams. This file's templates are a few hundred k-grams; others
+may be given as a table, which is broadcast only below a checked size.
 
 Defined cases: null counts as empty (no words, score 0); documents without
 votes keep one row; a document that repeats a license gives its label once;
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import gathered, read
 
-GAP = 3
+DRIFT = 8
 LEAST_COVER = 0.8
+#: Largest table of template k-grams that is broadcast.
+BROADCAST_GRAMS = 200_000
 SIZES = (2, 3)
 KELVIN = "\u212a"
 
@@ -61,67 +66,108 @@ SHORT = [
     ("apache-2.0", "apache license 2 0"),
 ]
 
+#: Whole texts of short public licenses, (label, words).
+TEXTS = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+]
+
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """One row for each k-gram of each template."""
-    rows = []
-    for n, (label, text) in enumerate([*PHRASES.items(), *NOTICES.items(), *SHORT]):
-        words = text.split()
-        k = min(len(words), SIZES[-1])
-        rows += [(n, label, n < len(PHRASES), len(words), k, i, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
-    table = spark.createDataFrame(rows, "template int, label string, base boolean, size int, k int, at int, gram string")
-    return table.withColumn("h", F.xxhash64("gram"))
+def builtin() -> list[tuple[str, str, bool, float]]:
+    """(label, words, is base, least cover) of the templates in this file."""
+    return (
+        [(label, text, True, 1.0) for label, text in PHRASES.items()] + [(label, text, False, LEAST_COVER) for label, text in NOTICES.items()]
+        + [(label, text, False, LEAST_COVER) for label, text in TEXTS] + [(label, text, False, 1.0) for label, text in SHORT]
+    )
 
 
-def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, doc_id, n_words and the template position of each match; one row without a match for each document."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # The Kelvin sign alone lower-cases to an ASCII letter; it must not.
+def templates(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """One row for each k-gram of each template: those of this file, then those of ``more`` (label, text, least_cover)."""
+    table = spark.createDataFrame([(n, *row) for n, row in enumerate(builtin())], "template long, label string, text string, base boolean, least double")
+    if more is not None:
+        ids = F.monotonically_increasing_id() + F.lit(len(builtin()))
+        table = table.unionByName(more.select(ids.alias("template"), "label", "text", F.lit(False).alias("base"), F.col("least_cover").alias("least")))
+    words = table.select("template", "label", "base", "least", _words(F.col("text")).alias("t")).filter(F.size("t") > 1)
+    k = F.least(F.size("t"), F.lit(SIZES[-1]))
+    # Words with a digit tell versions apart: a span without one of them isn't this license.
+    places = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i).rlike("^[0-9]+$"))
+    sized = words.select("template", "label", "base", "least", F.size("t").alias("size"), k.alias("k"), places.alias("must"), "t")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("k") + 1), lambda i: F.array_join(F.slice("t", i, F.col("k")), " ")))
+    return sized.select("template", "label", "base", "least", "size", "k", "must", at.alias("at", "gram")).withColumn("h", F.xxhash64("gram"))
+
+
+def _words(text) -> F.Column:
+    """Words of a text, A-Z lower-cased. The Kelvin sign alone lower-cases to an ASCII letter; it must not."""
     safe = F.when(F.contains(text, F.lit(KELVIN)), F.translate(text, KELVIN, "\u00e6")).otherwise(text)
-    pieces = F.split(F.lower(safe), _BREAK)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), pieces.alias("w"))
     # Only the first and the last piece can be empty.
-    rows = rows.select("doc_id", "uid", F.filter("w", lambda x: x != "").alias("w"))
+    return F.filter(F.split(F.lower(safe), _BREAK), lambda x: x != "")
+
+
+def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """uid, doc_id, n_words and the template position of each match; one row without a match for each document."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), _words(text).alias("w"))
     placed = rows.select("doc_id", "uid", F.size("w").alias("n_words"), "w", F.posexplode_outer("w").alias("pos", "word"))
     second, third = F.try_element_at("w", F.col("pos") + 2), F.try_element_at("w", F.col("pos") + 3)
     gram = F.explode(F.array(F.concat(F.col("word"), F.lit(" "), second), F.concat(F.col("word"), F.lit(" "), second, F.lit(" "), third)))
     grams = placed.select("doc_id", "uid", "n_words", "pos", gram.alias("gram"))
-    table = F.broadcast(templates(spark).withColumnRenamed("gram", "known"))
+    table = templates(docs.sparkSession, more).withColumnRenamed("gram", "known")
+    if more is None or table.count() <= BROADCAST_GRAMS:
+        table = F.broadcast(table)
     met = grams.withColumn("gh", F.xxhash64("gram")).join(table, (F.col("gh") == F.col("h")) & (F.col("gram") == F.col("known")), "left")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    return met.filter(F.col("template").isNotNull() | first).select("uid", "doc_id", "n_words", "pos", "template", "label", "base", "size", "k", "at")
+    return met.filter(F.col("template").isNotNull() | first).select("uid", "doc_id", "n_words", "pos", "template", "label", "base", "least", "size", "k", "must", "at")
+
+
+def _covered() -> F.Column:
+    """Number of template words that the matches of a span cover, and whether all words that must be there are.
+
+    Matches (at, pos) are taken in the order of the template; one counts if it
+    stands behind the last that did. The column ``near`` holds the matches of the
+    diagonals of one span.
+    """
+    start = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("seen"))
+    k = F.col("k")
 
+    def step(done, m):
+        fresh = F.least(k, m["at"] - done["at"])
+        moves = (m["pos"] > done["pos"]) & (m["at"] > done["at"])
+        reach = F.filter("must", lambda w: (w >= m["at"]) & (w < m["at"] + k))
+        one = F.struct(m["at"].alias("at"), m["pos"].alias("pos"), (done["n"] + F.when(done["at"] < 0, k).otherwise(fresh)).alias("n"), F.array_union(done["seen"], reach).alias("seen"))
+        return F.when(moves, one).otherwise(done)
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: words, base places, labels and score."""
-    found = votes(docs, id_col, text_col).repartition("uid")
+    return F.aggregate(F.array_sort("near"), start, step)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """One row for each document: words, base places, labels and score.
+
+    ``more``: further templates (label, text, least_cover), whole license texts
+    say; they are broadcast up to ``BROADCAST_GRAMS`` k-grams, else they join by
+    shuffle.
+    """
+    found = votes(docs, id_col, text_col, more).repartition("uid")
     diagonal = F.col("pos") - F.col("at")
     by_diagonal = found.groupBy("uid", "template", diagonal.alias("diagonal")).agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("size").alias("size"), F.first("k").alias("k"),
-        F.count_distinct("at").alias("hits"), F.array_sort(F.collect_set("at")).alias("ats"),
-    )
-    order = Window.partitionBy("uid", "template").orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= GAP, 0).otherwise(1)
-    islands = by_diagonal.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # Template words that the span's verified k-grams cover.
-    reach = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("k") - 1))))
-    spans = islands.withColumn("covers", F.when(F.col("template").isNotNull(), reach)).groupBy("uid", "template", "island").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("covers")))) / F.first("size")).alias("cover"),
-        F.count_if(F.col("base") & (F.col("hits") == F.col("size") - F.col("k") + 1)).alias("places"),
-        F.min(F.when(F.col("base") & (F.col("hits") == F.col("size") - F.col("k") + 1), F.col("diagonal"))).alias("low"),
-        F.max(F.when(F.col("base") & (F.col("hits") == F.col("size") - F.col("k") + 1), F.col("diagonal"))).alias("high"),
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("least").alias("least"), F.first("size").alias("size"),
+        F.first("k").alias("k"), F.first("must").alias("must"), F.count_distinct("at").alias("hits"), F.collect_set(F.struct("at", "pos")).alias("matches"),
     )
-    own = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("cover") >= F.when(F.col("template") >= len(PHRASES) + len(NOTICES), 1.0).otherwise(LEAST_COVER))
+    # A span is a diagonal with those at most DRIFT words behind it: a copy may have words added or left out, but not everywhere.
+    span = Window.partitionBy("uid", "template").orderBy("diagonal").rangeBetween(Window.currentRow, DRIFT)
+    spans = by_diagonal.withColumn("near", F.flatten(F.collect_list("matches").over(span))).withColumn("got", F.when(F.col("template").isNotNull() & ~F.col("base"), _covered()))
+    place = F.col("base") & (F.col("hits") == F.col("size") - F.col("k") + 1)
+    cover = F.when(place, F.lit(1.0)).otherwise(F.col("got.n") / F.col("size"))
+    own = place | (~F.col("base") & (cover >= F.col("least")) & (F.size(F.array_except("must", "got.seen")) == 0))
     labels = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
     return spans.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sum("places").cast("long").alias("n_base"),
-        F.min("low").cast("long").alias("first_word"), F.max("high").cast("long").alias("last_word"),
-        labels(F.col("base") & own).alias("base_labels"), labels(own).alias("labels"),
-        F.coalesce(F.max(F.when(own, F.least(F.col("cover"), F.lit(1.0)))), F.lit(0.0)).alias("score"),
+        F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.count_if(place).cast("long").alias("n_base"),
+        F.min(F.when(place, F.col("diagonal"))).cast("long").alias("first_word"), F.max(F.when(place, F.col("diagonal"))).cast("long").alias("last_word"),
+        labels(place).alias("base_labels"), labels(own).alias("labels"), F.coalesce(F.max(F.when(own, F.least(cover, F.lit(1.0)))), F.lit(0.0)).alias("score"),
     ).drop("uid")
 
 
