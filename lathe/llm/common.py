@@ -12,6 +12,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import uuid
 
 import numpy as np
@@ -32,14 +33,19 @@ CHUNK_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; one under /tmp only where none is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where none is set, a session in one process (master ``local``) takes a folder
+    under /tmp; on a cluster this raises, since executors would not share it.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = found.get() if found.isDefined() else None
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/lathe-{spark.sparkContext.applicationId}"
 
 
