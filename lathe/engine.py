@@ -6,15 +6,19 @@ has diagnostics of severity error.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.facts import binary, display, resolve, streams
+from lathe.functions import paths
 from lathe.operators import bom as bom_operators
+from lathe.operators import evaluate as evaluate_operators
 from lathe.operators import graph as graph_operators
 from lathe.operators import mesh as mesh_operators
+from lathe.operators import project
 from lathe.operators.numbering import cut
 from lathe.sources import files
 from lathe.sources import probe as probing
@@ -57,20 +61,20 @@ def extract(documents: DataFrame, entry_id: str, decoded: bool = True, profile:
     return files.extract(files.entries(documents, limits=PROFILES[profile], wanted=[entry_id]), entry_id, decoded)
 
 
-def parse(documents: DataFrame, profile: str = "service", strict: bool = False) -> Parsed:
-    """Containers are read once; every fact table comes from the one table of entries."""
+def parse(documents: DataFrame, profile: str = "service", strict: bool = False, embedded: bool = False) -> Parsed:
+    """Containers are read once; every fact table comes from the one table of entries. ``embedded``: documents inside documents too."""
     limits = PROFILES[profile]
     wanted = [p for p, _, _ in streams.TABLES.values()] + [r"SummaryInformation$", r"-Properties$", r"Preview"]
-    scanned = cut(files.entries(documents, limits=limits, wanted=wanted))
+    scanned = files.embedded_closure(documents, wanted=wanted, limits=limits) if embedded else cut(files.entries(documents, limits=limits, wanted=wanted))
     found = files.inventory(scanned)
     raw = {name: streams.rows(found, name, limits) for name in streams.TABLES}
     components = resolve.components(raw["header_files"], raw["models"], raw["root_models"], raw["model_references"])
     legacy = found.filter(F.col("path").rlike("SummaryInformation$|-Properties$") & F.col("decoded").isNotNull())
     faults = streams.faults(found, limits)
     tables = raw | {
-        "components": components, "references": resolve.references(components, raw["header_files"], raw["views"]), "configurations": resolve.configurations(resolve.with_name_fallbacks(raw["config_candidates"], raw["properties"])), "document_kinds": resolve.document_kinds(raw["kind_candidates"]),
+        "components": components, "external_references": resolve.external_references(raw["header_files"]), "view_references": resolve.view_references(raw["views"]), "references": resolve.references(components, raw["header_files"], raw["views"]), "configurations": resolve.configurations(resolve.with_name_fallbacks(raw["config_candidates"], raw["properties"])), "document_kinds": resolve.document_kinds(raw["kind_candidates"]),
         "versions": resolve.versions(found), "units": resolve.units(raw["properties"]), "sheets": resolve.sheets(raw["sheets"]), "legacy_properties": binary.property_sets(legacy),
-        "previews": binary.previews(found.filter(F.col("path").rlike("Preview") & F.col("decoded").isNotNull())), "coverage": resolve.stream_coverage(found, faults), "faults": faults,
+        "previews": binary.previews(found.filter(F.col("path").rlike("Preview") & F.col("decoded").isNotNull())), "coverage": resolve.stream_coverage(found, faults), "faults": faults, "parse_status": _parse_status(scanned, faults),
     }
     result = Parsed(found, files.diagnostics(scanned), tables)
     if strict and not result.diagnostics.filter("severity = 'error'").isEmpty():
@@ -78,6 +82,15 @@ def parse(documents: DataFrame, profile: str = "service", strict: bool = False)
     return result
 
 
+def _parse_status(scanned: DataFrame, faults: DataFrame) -> DataFrame:
+    """(doc_id, parse_status): malformed with an error, unsupported without a decoded stream that is read, partial with a fault, else parsed."""
+    worst = scanned.filter("entry_id IS NULL").select("doc_id", F.exists("diagnostics", lambda d: d["severity"] == "error").alias("error"))
+    read = scanned.filter(F.col("decoded").isNotNull()).select("doc_id", F.lit(True).alias("read")).distinct()
+    odd = faults.select("doc_id", F.lit(True).alias("odd")).distinct()
+    status = F.when(F.col("error"), "malformed").when(F.col("read").isNull(), "unsupported").when(F.col("odd"), "partial").otherwise("parsed")
+    return worst.join(read, "doc_id", "left").join(odd, "doc_id", "left").select("doc_id", status.alias("parse_status"))
+
+
 def drawing_structure(documents: DataFrame, profile: str = "service") -> DataFrame:
     scanned = files.entries(documents, limits=PROFILES[profile], wanted=[f"^{streams.KEYWORDS}$"])
     return streams.rows(files.inventory(scanned), "drawing_records", PROFILES[profile])
@@ -95,12 +108,68 @@ def evaluate_meshes(vertices: DataFrame, triangles: DataFrame, feature_degrees:
     return mesh_operators.quantities(triangles, vertices, feature_degrees)
 
 
+def evaluate(edges: DataFrame, mesh_rows: DataFrame, configurations: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Edges, points, bounds, summary and losses of decoded topology; see ``operators.evaluate`` for its columns."""
+    return evaluate_operators.evaluate(edges, mesh_rows, configurations, evaluate_operators.EvaluationOptions(**options))
+
+
 def index(spark: SparkSession, roots: list[str], profile: str = "service") -> DataFrame:
+    """The files below folders; see ``index_project`` for what they hold."""
     return files.index(files.list_files(spark, roots, PROFILES[profile]), PROFILES[profile])
 
 
+def _project(spark: SparkSession, options: project.ProjectOptions, profile: str) -> tuple[Parsed, DataFrame]:
+    """Parsed documents below the project's folders, and (path, container, embedded_name) of each."""
+    limits = PROFILES[profile]
+    listed = files.list_files(spark, list(project.host_folders(options)), limits)
+    documents = listed.filter(F.col("length") <= limits.input_bytes).select("path", "content")
+    facts = parse(documents, profile, embedded=True)
+    names = F.regexp_extract("doc_id", "#[^#]*$", 0)
+    inner = names != ""
+    held = facts["parse_status"].select(
+        F.col("doc_id").alias("path"), F.when(inner, F.expr("substring(doc_id, 1, length(doc_id) - length(regexp_extract(doc_id, '#[^#]*$', 0)))")).alias("container"),
+        F.when(inner, F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"\.[^.]*$", "")).alias("embedded_name"),
+    )
+    return facts, held
+
+
+def _absolute(path: str) -> str:
+    """A local path from the root; paths with a scheme stay."""
+    return path if "://" in path or path.startswith("file:") else os.path.abspath(path)
+
+
+def _options(root: str, given: dict) -> project.ProjectOptions:
+    searches = tuple(map(_absolute, given.pop("search_directories", ())))
+    mappings = given.pop("windows_prefix_mappings", ())
+    pairs = mappings.items() if isinstance(mappings, dict) else mappings
+    return project.ProjectOptions(_absolute(root), searches, tuple((p, _absolute(t)) for p, t in pairs), **given)
+
+
+def scan_project(spark: SparkSession, root: str, project_root: str | None = None, profile: str = "service", **options) -> project.Graph:
+    """The graph of the documents that ``root`` reaches.
+
+    options: configuration, search_directories, windows_prefix_mappings,
+    follow_suppressed. The project's folder is by default the root's own.
+    """
+    root = _absolute(root)
+    chosen = _options(project_root or root.rpartition("/")[0], options)
+    facts, held = _project(spark, chosen, profile)
+    same = paths.host_key(F.col("path")) == F.lit(paths.host_text(root))
+    found = [r["path"] for r in held.filter(F.col("container").isNull() & same).select("path").limit(2).collect()]
+    if len(found) != 1:
+        raise FileNotFoundError(f"{root!r} is not a document below {chosen.project_root!r}")
+    return project.scan(facts, held, chosen, found, PROFILES[profile])
+
+
+def index_project(spark: SparkSession, project_root: str, profile: str = "service", **options) -> project.Graph:
+    """The graph of every document below a folder; each is a root."""
+    chosen = _options(project_root, options)
+    facts, held = _project(spark, chosen, profile)
+    return project.scan(facts, held, chosen, None, PROFILES[profile])
+
+
 def scan(edges: DataFrame, roots: DataFrame, follow_suppressed: bool = False, profile: str = "service") -> DataFrame:
-    """Labels of resolved edges in traversal order; see ``operators.resolve`` for how references become edges."""
+    """Labels of resolved edges in traversal order; ``scan_project`` starts from files."""
     limits = PROFILES[profile]
     return graph_operators.label(edges, roots, follow_suppressed, limits.reference_depth, limits.edges)
 

@@ -22,6 +22,32 @@ def lexical(path: Column) -> Column:
     return F.array_join(folded, "/")
 
 
+def host(path: Column) -> Column:
+    """A host path without a ``file:`` scheme."""
+    return F.regexp_replace(path, r"^file:/*", "/")
+
+
+def host_key(path: Column) -> Column:
+    """Key under which absolute host paths compare: no scheme, lexical, folded."""
+    return fold(lexical(host(path)))
+
+
+def normalized(path: str) -> str:
+    """``normalize`` of a plain string."""
+    return "/".join(p for p in path.replace("\\", "/").split("/") if p not in ("", "."))
+
+
+def host_text(path: str) -> str:
+    """``host_key`` of a plain string: a folder from the configuration."""
+    kept: list[str] = []
+    for part in normalized(path.removeprefix("file:")).split("/"):
+        if part == "..":
+            kept = kept[:-1]
+        elif part:
+            kept.append(part)
+    return "/".join(kept).lower()
+
+
 def trim_drive(path: Column) -> Column:
     """Without a leading drive letter and slashes."""
     return F.ltrim(F.regexp_replace(path, r"^[A-Za-z]:", ""), F.lit("/\\"))

@@ -46,8 +46,14 @@ def root_configuration(nodes: DataFrame, root: str, name: str | None) -> int:
     return found[0]
 
 
-def expand(edges: DataFrame, nodes: DataFrame, root: str, configuration: int, options: BomOptions = BomOptions()) -> DataFrame:  # noqa: B008
-    """Occurrence rows; the root is row 0."""
+def expand(edges: DataFrame, nodes: DataFrame, root: str, configuration: int, options: BomOptions = BomOptions(), numbered: bool = True) -> DataFrame:  # noqa: B008
+    """Occurrence rows; the root is row 0.
+
+    Not ``numbered``: without id and parent_id, which spares the sort, where the
+    cap isn't met; items and their counts need neither. Beyond the cap the rows
+    are the first in source order; the parent of the first row left out has the
+    state ``limit_reached``, as have rows that ``max_depth`` keeps from growing.
+    """
     spark = edges.sparkSession
     facts = nodes.select(F.col("id").alias("target_node_id"), "document_kind", F.col("path").alias("document_path"), "configurations")
     joined = edges.join(facts, "target_node_id", "left")
@@ -81,8 +87,8 @@ def expand(edges: DataFrame, nodes: DataFrame, root: str, configuration: int, op
         "chain_suppressed", "chain_excluded", "under_suppressed", "counted",
     ]
     done = level = cut(level.select(columns))
-    rows = 1
-    for _ in range(options.max_depth):
+    rows, most, edge = 1, options.max_occurrences, None
+    for depth in range(options.max_depth + 1):
         up = level.filter("children_state = 'expanded'").select(
             F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.col("node_id").alias("from_node"), F.col("configuration_index").alias("from_configuration"),
             F.col("chain_suppressed").alias("up_suppressed"), F.col("chain_excluded").alias("up_excluded"), F.col("under_suppressed").alias("up_under"),
@@ -92,16 +98,37 @@ def expand(edges: DataFrame, nodes: DataFrame, root: str, configuration: int, op
             "is_suppressed", "exclude_from_bom", "is_virtual", "children_state", "configuration_index",
             (F.col("up_suppressed") | F.col("cut_suppressed")).alias("chain_suppressed"), (F.col("up_excluded") | F.col("cut_excluded")).alias("chain_excluded"), (F.col("up_under") | F.col("own_suppressed")).alias("under_suppressed"),
         ).withColumn("counted", ~(F.col("chain_suppressed") | F.col("chain_excluded")))
+        if depth == options.max_depth:
+            # Rows that would still grow say so.
+            cut_off = down.select(F.col("parent_path").alias("path"), F.lit(True).alias("grows")).distinct()
+            done = done.join(cut_off, "path", "left").withColumn("children_state", F.when(F.col("grows"), "limit_reached").otherwise(F.col("children_state"))).select(columns)
+            break
         level = cut(down.select(columns))
         found = level.count()
         if not found:
             break
         done = done.unionByName(level)
         rows += found
-        # Deeper levels never push earlier rows out of the first N at this depth by more than N rows.
-        if options.max_occurrences is not None and rows > 50 * options.max_occurrences:
-            break
-    return _identify(done, options.max_occurrences)
+        if most is not None and rows > most:
+            # Only the first rows in source order are wanted, and one more, behind which expansion stops.
+            edge = _place(done, most)
+            done = done.filter(_key("parent_path", "path") <= edge)
+            level = level.filter(F.col("path") < edge["parent_path"])
+    if not numbered and edge is None:
+        return done.drop("parent_path", "path", "chain_suppressed", "chain_excluded")
+    return _identify(done, most)
+
+
+def _key(parent: str, own: str) -> Column:
+    """Source order: ancestors' ordinals, then the own ones."""
+    return F.struct(F.col(parent).alias("parent_path"), F.col(own).alias("path"))
+
+
+def _place(rows: DataFrame, n: int) -> Column:
+    """Key of row ``n`` (from 0) in source order, as a literal."""
+    row = number(rows.select("parent_path", "path"), ["parent_path", "path"], "n").filter(F.col("n") == n).first()
+    ordinals = lambda path: F.array(*map(F.lit, path)).cast("array<int>")
+    return F.struct(ordinals(row["parent_path"]).alias("parent_path"), ordinals(row["path"]).alias("path"))
 
 
 def _identify(rows: DataFrame, most: int | None) -> DataFrame:
@@ -135,10 +162,24 @@ def items(occurrences: DataFrame, ids: bool = True) -> DataFrame:
         F.first("document_path", ignorenulls=True).alias("document_path"),
     ]
     if ids:
+        # One list for each item: fit for what one reads, not for items that occur by the billion.
         aggs.append(F.array_sort(F.collect_list("id")).alias("occurrence_ids"))
     return rows.groupBy("node_id", name.alias("unresolved_name"), F.col("referenced_configuration").alias("configuration")).agg(*aggs)
 
 
+def item_occurrences(occurrences: DataFrame) -> DataFrame:
+    """(item columns, id): the places of each item as rows, for any number of them."""
+    from lathe.functions import paths
+
+    name = F.when(F.col("node_id").isNull(), paths.fold(paths.basename(F.col("stored_path"))))
+    return occurrences.filter("depth > 0").select("node_id", name.alias("unresolved_name"), F.col("referenced_configuration").alias("configuration"), "id")
+
+
+def ordered(items_rows: DataFrame) -> DataFrame:
+    """Items by document path, unresolved name and configuration, nulls first."""
+    return items_rows.orderBy(*(F.asc_nulls_first(c) for c in ("document_path", "unresolved_name", "configuration")))
+
+
 def summary(occurrences: DataFrame) -> DataFrame:
     """Counts of occurrences by their state."""
     rows = occurrences.filter("depth > 0")

@@ -23,7 +23,7 @@ from .numbering import cut
 class EvaluationOptions:
     chord_tolerance: float = 0.01
     most_segments: int = 512
-    tangent_degrees: float = 1.0
+    tangent_degrees: float = 0.5
     feature_degrees: float = 30.0
     configuration: str | None = None
 

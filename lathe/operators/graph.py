@@ -21,10 +21,10 @@ DEPTH_CAP = 256
 def reach(roots: DataFrame, edges: DataFrame, most: int = DEPTH_CAP) -> DataFrame:
     """(node, depth): nodes reached from the roots (column node) over edges (source, target), at their least depth."""
     found = frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    links = edges.select(F.col("source").alias("node"), "target").distinct()
+    links = cut(edges.select(F.col("source").alias("node"), "target").filter("node <> target").distinct())
     for depth in range(1, most + 1):
         step = frontier.select("node").join(links, "node").select(F.col("target").alias("node")).distinct()
-        frontier = cut(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -36,7 +36,8 @@ def least_depth(visits: DataFrame) -> DataFrame:
     return visits.groupBy("node").agg(F.min("depth").alias("minimum_depth"), F.bool_or("is_root").alias("is_root"))
 
 
-_LABELS = "project string, edge_id string, source string, reference_id long, target string, traversal_status string"
+_NAMES = ["project", "edge_id", "source", "reference_id", "target", "depth", "traversal_status", "rejected"]
+_LABELS = "project string, edge_id string, source string, reference_id long, target string, depth int, traversal_status string, rejected boolean"
 
 
 def _walk(follow_suppressed: bool, depth_cap: int, edge_cap: int):
@@ -52,7 +53,7 @@ def _walk(follow_suppressed: bool, depth_cap: int, edge_cap: int):
         for r in frame[frame["source"].notna()].sort_values("reference_id").itertuples():
             by_source.setdefault(r.source, []).append(r)
         roots = frame[frame["root_order"].notna()].sort_values("root_order")["node"].tolist()
-        project, out = frame["project"].iloc[0], []
+        project, out, over = frame["project"].iloc[0], [], False
         loaded: set[str] = set()
         documents: set[str] = set()
         configurations: set[tuple[str, int]] = set()
@@ -73,37 +74,45 @@ def _walk(follow_suppressed: bool, depth_cap: int, edge_cap: int):
             return take
 
         for root in roots:
-            stack = [(root, iter(due(root, None)))]
-            while stack:
+            path, stack = {root}, [(root, iter(due(root, None)))]
+            while stack and not over:
                 node, rest = stack[-1]
                 edge = next(rest, None)
                 if edge is None:
                     stack.pop()
+                    path.discard(node)
                     continue
                 if len(out) >= edge_cap:
-                    return pd.DataFrame(out, columns=["project", "edge_id", "source", "reference_id", "target", "traversal_status"])
+                    over = True
+                    break
                 target = None if edge.target is None or pd.isna(edge.target) else edge.target
+                depth = len(stack) - 1
                 if target is None:
                     label = "unresolved"
-                elif edge.is_suppressed is True and not follow_suppressed:
+                elif not follow_suppressed and not pd.isna(edge.is_suppressed) and edge.is_suppressed:
                     label = "suppressed"
-                elif any(target == n for n, _ in stack):
+                elif target in path:
                     label = "cycle"
-                elif len(stack) - 1 >= depth_cap:
+                elif depth >= depth_cap:
                     label = "depth_limited"
                 else:
                     label = "reused" if target in loaded else "followed"
-                out.append((project, f"edge:{len(out):08d}", node, int(edge.reference_id), target, label))
+                out.append((project, f"edge:{len(out):08d}", node, int(edge.reference_id), target, depth, label))
                 if label in ("followed", "reused"):
                     asked = edge.requested
+                    path.add(target)
                     stack.append((target, iter(due(target, None if asked is None else [int(x) for x in asked]))))
-        return pd.DataFrame(out, columns=["project", "edge_id", "source", "reference_id", "target", "traversal_status"])
+        return pd.DataFrame([(*row, over) for row in out] or ([(project, None, None, None, None, None, None, True)] if over else []), columns=_NAMES)
 
     return run
 
 
 def label(edges: DataFrame, roots: DataFrame, follow_suppressed: bool = False, depth_cap: int = DEPTH_CAP, edge_cap: int = EDGE_CAP) -> DataFrame:
-    """Edges of each project with ids and traversal labels, in depth-first order.
+    """Edges of each project with ids, the depth of their source and traversal labels, in depth-first order.
+
+    ``rejected`` is true for all edges of a project that has more than the cap;
+    such a project has the first ``edge_cap`` edges only (and one row without an
+    edge if the cap is 0), so its graph isn't whole.
 
     edges: project, source, reference_id, configuration, target, requested array<long>, is_suppressed.
     roots: project, node, root_order.

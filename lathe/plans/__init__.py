@@ -1 +1,3 @@
-"""lathe.plans"""
+"""Queries over the driver's tables; importing this registers all of them."""
+
+from . import catalog, resolution, solids  # noqa: F401

@@ -6,46 +6,34 @@ semantics onto columns of the same shape, over whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions import paths, values
 from lathe.operators import bom, conflicts, delta, graph, intervals, mesh, nearest, resolve, topology
 from lathe.sources import probe
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
-    return add
+# ---- container probing --------------------------------------------------------
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Every text gets one of nine beginnings, by its id: none, the three kinds of container (one behind other bytes), beginnings cut short, and one that comes too late.
+_STARTS = ("", "D0CF11E0A1B11AE1", "504B0304", "504B0506", "140006000800", "6162637820140006000800", "D0CF11E0", "504B", "20" * 70 + "140006000800")
+_KINDS = "['unknown', 'ole2_cfb', 'zip_opc', 'zip_opc', 'modern_chunk', 'modern_chunk', 'unknown', 'unknown', 'unknown']"
+_PROBED = f"""SELECT '{{0}}' AS source, id, CASE WHEN id % 9 IN (1, 2, 3, 4, 5) THEN 'recognized' WHEN n = 0 OR whole IN ('D0CF11E0', '504B') THEN 'malformed' ELSE 'unrecognized' END AS status, n AS byte_len, {_KINDS}[id % 9 + 1] AS envelope
+FROM (SELECT id, octet_length(encode(t)) + len(start) // 2 AS n, CASE WHEN octet_length(encode(t)) = 0 THEN start ELSE '' END AS whole FROM (SELECT {{1}} AS id, {{2}} AS t, {list(_STARTS)}[{{1}} % 9 + 1] AS start FROM {{0}}))"""
 
 
-# ---- container probing --------------------------------------------------------
+@query(_PROBED.format("documents", "doc_id", "text") + " UNION ALL " + _PROBED.format("pages", "page_id", "html"))
+def probe_envelope(spark, sf_dir):
+    start = F.element_at(F.array(*map(F.lit, _STARTS)), (F.col("id") % 9 + 1).cast("int"))
 
+    def begun(name, key, text):
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).alias("id"), F.col(text).cast("binary").alias("raw"))
+        return rows.select("source", "id", F.concat(F.unhex(start), "raw").alias("content"))
 
-@query("""
-SELECT 'documents' AS source, doc_id AS id,
-  CASE WHEN octet_length(encode(text)) = 0 THEN 'malformed' WHEN text LIKE 'PK%' THEN 'malformed' ELSE 'unrecognized' END AS status, CAST(octet_length(encode(text)) AS BIGINT) AS byte_len, 'unknown' AS envelope FROM documents
-UNION ALL
-SELECT 'pages', page_id, CASE WHEN octet_length(encode(html)) = 0 THEN 'malformed' WHEN html LIKE 'PK%' THEN 'malformed' ELSE 'unrecognized' END, CAST(octet_length(encode(html)) AS BIGINT), 'unknown' FROM pages
-""")
-def probe_envelope(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"))
-    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").cast("binary").alias("content"))
-    return probe.probe(d.unionByName(p)).select("source", "id", "status", "byte_len", "envelope")
+    return probe.probe(begun("documents", "doc_id", "text").unionByName(begun("pages", "page_id", "html"))).select("source", "id", "status", "byte_len", "envelope")
 
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS byte_len, sha256(text) AS sha256 FROM documents")
@@ -54,9 +42,15 @@ def inventory_entries(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(raw).cast("bigint").alias("byte_len"), F.sha2(raw, 256).alias("sha256"))
 
 
-@query()
+# The checksum's table of 256 entries, and one step for each byte.
+_CRC = """WITH RECURSIVE shifted AS (SELECT range AS b, range AS v, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM shifted WHERE k < 8),
+t AS (SELECT list(v ORDER BY b) AS t FROM shifted WHERE k = 8), h AS (SELECT page_id, hex(encode(url)) AS h FROM pages)
+SELECT page_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c, b) & 255 + 1])), 4294967295) AS crc32 FROM h, t"""
+
+
+@query(_CRC.replace("t[xor(c, b) & 255 + 1]", "t[(xor(c, b) & 255) + 1]"))
 def inventory_crc(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+    return table(spark, sf_dir, "pages").select("page_id", F.crc32(F.col("url").cast("binary")).alias("crc32"))
 
 
 @query("""
@@ -95,9 +89,12 @@ def path_basename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), paths.fold(name).alias("folded"))
 
 
-@query("SELECT page_id, 'a/b/c/' || page_id AS path FROM pages")
+@query(f"""SELECT page_id, array_to_string(CASE page_id % 3 WHEN 0 THEN list_append(q[1:-2], CAST(page_id AS VARCHAR)) WHEN 1 THEN q ELSE list_append([], CAST(page_id AS VARCHAR)) END, '/') AS path
+FROM (SELECT page_id, list_filter(p, lambda x: x <> '' AND x <> '.') AS q FROM ({_URL}))""")
 def path_lexical(spark, sf_dir):
-    odd = F.concat(F.lit("/a//x/../b/./y/z/../../c/"), F.col("page_id").cast("string"))
+    """Paths that go back one folder, none in sum, or beyond the top."""
+    page, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    odd = F.when(k == 0, F.concat("url", F.lit("/..//./"), page)).when(k == 1, F.concat("url", F.lit("/x/y/../.."))).otherwise(F.concat("url", F.lit("/.." * 40 + "/"), page))
     return table(spark, sf_dir, "pages").select("page_id", paths.lexical(odd).alias("path"))
 
 
@@ -131,45 +128,6 @@ def prefix_longest_match(spark, sf_dir):
 
 # ---- reference resolution --------------------------------------------------------
 
-_RESOLVED = """
-WITH files AS (SELECT DISTINCT p_brand || '/' || p_name || '/' || p_size AS label, lower(p_brand || '/' || p_name || '/' || p_size) AS k1, lower(p_brand || '/' || p_name) AS k2 FROM part WHERE p_type <> 'ECONOMY'),
-refs AS (SELECT p_partkey AS ref_id, lower(p_brand || '/' || p_name || '/' || p_size) AS k1, lower(p_brand || '/' || p_name) AS k2, p_size = 13 AS blank FROM part),
-hits AS (SELECT ref_id, 1 AS step, label FROM refs JOIN files USING (k1) WHERE NOT blank UNION ALL SELECT ref_id, 2, label FROM refs JOIN files USING (k2) WHERE NOT blank),
-best AS (SELECT ref_id, min(step) AS step FROM hits GROUP BY ref_id),
-found AS (SELECT ref_id, step, CAST(count(DISTINCT label) AS BIGINT) AS candidate_count, list_sort(list(DISTINCT label)) AS labels FROM hits JOIN best USING (ref_id, step) GROUP BY ref_id, step),
-resolved AS (SELECT ref_id, CASE WHEN blank THEN 'no_stored_path' WHEN step IS NULL THEN 'missing' WHEN candidate_count = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
-  CAST(step AS INTEGER) AS step, coalesce(candidate_count, 0) AS candidate_count, coalesce(labels, []) AS labels FROM refs LEFT JOIN found USING (ref_id))
-"""
-
-
-def _resolution(spark, sf_dir, most: int = 1024) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    label = F.concat_ws("/", "p_brand", "p_name", "p_size")
-    files = part.filter("p_type <> 'ECONOMY'").select(label.alias("label"))
-    folded = paths.fold(paths.normalize(F.col("label")))
-    two = lambda k: F.array_join(F.slice(F.split(k, "/"), 1, 2), "/")
-    by_key = resolve.keyed_files(files, {1: folded, 2: two(folded)}, most=most)
-    stored = F.upper(F.concat_ws("\\", "p_brand", "p_name", "p_size"))
-    refs = part.select(F.col("p_partkey").alias("ref_id"), F.when(F.col("p_size") == 13, "  ").otherwise(stored).alias("stored_path"))
-    key = paths.fold(paths.normalize(F.col("stored_path")))
-    return resolve.cascade(refs, "ref_id", {1: key, 2: two(key)}, by_key, F.trim("stored_path") == "")
-
-
-@query(_RESOLVED + "SELECT ref_id, status, step, candidate_count, CASE WHEN candidate_count = 1 THEN labels[1] END AS resolved FROM resolved")
-def resolve_cascade(spark, sf_dir):
-    return _resolution(spark, sf_dir).select("ref_id", "status", "step", "candidate_count", "resolved")
-
-
-@query(_RESOLVED + "SELECT status, step, CAST(count(*) AS BIGINT) AS n FROM resolved GROUP BY status, step")
-def resolve_status_counts(spark, sf_dir):
-    return _resolution(spark, sf_dir).groupBy("status", "step").agg(F.count("*").alias("n"))
-
-
-@query(_RESOLVED + "SELECT ref_id, candidate_count, array_to_string(labels[1:2], ';') AS candidates FROM resolved")
-def candidate_truncation(spark, sf_dir):
-    return _resolution(spark, sf_dir, most=2).select("ref_id", "candidate_count", F.array_join("candidates", ";").alias("candidates"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, expected, p_type AS actual FROM (SELECT *, CASE l_linestatus WHEN 'O' THEN 'ECONOMY' WHEN 'F' THEN 'SMALL' END AS expected FROM lineitem)
 JOIN part ON p_partkey = l_partkey WHERE expected <> p_type
@@ -301,9 +259,9 @@ def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return nodes, all_edges
 
 
-def _occurrences(spark, sf_dir, most: int | None = None) -> DataFrame:
+def _occurrences(spark, sf_dir, most: int | None = None, numbered: bool = True) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    return bom.expand(edges, nodes, "world", 0, bom.BomOptions(max_occurrences=most))
+    return bom.expand(edges, nodes, "world", 0, bom.BomOptions(max_occurrences=most), numbered)
 
 
 _OCC = "'occ:' || lpad(CAST(a.n AS VARCHAR), 8, '0') AS id, 'occ:' || lpad(CAST(b.n AS VARCHAR), 8, '0') AS parent_id"
@@ -321,7 +279,7 @@ FROM ranked WHERE depth > 0"""
 
 @query(_BOM + _ITEMS + " GROUP BY 1, 2")
 def bom_items(spark, sf_dir):
-    out = bom.items(_occurrences(spark, sf_dir), ids=False)
+    out = bom.items(_occurrences(spark, sf_dir, numbered=False), ids=False)
     return out.select("node_id", "unresolved_name", "quantity", "suppressed_quantity", "excluded_quantity", "minimum_depth", "document_kind", "document_path")
 
 
@@ -332,7 +290,7 @@ def bom_part_items(spark, sf_dir):
 
 @query(_BOM + "SELECT state AS children_state, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(*) FILTER (counted) AS BIGINT) AS counted, CAST(max(depth) AS INTEGER) AS maximum_depth FROM ranked WHERE depth > 0 GROUP BY state")
 def bom_summary(spark, sf_dir):
-    return bom.summary(_occurrences(spark, sf_dir))
+    return bom.summary(_occurrences(spark, sf_dir, numbered=False))
 
 
 @query(_BOM + f"SELECT {_OCC}, a.node_id FROM ranked a JOIN ranked b ON b.path = a.up WHERE a.depth > 0 AND b.n = 1")
@@ -483,8 +441,8 @@ def range_partition_audit(spark, sf_dir):
 @query(f"""SELECT user_id, s AS "start", e AS "end", CASE WHEN e <= s THEN 'empty' ELSE 'outside' END AS reason FROM (SELECT *, (SELECT max(epoch_us(ts)) FROM events) AS upper FROM ({_SPANS})) WHERE e <= s OR e > upper""")
 def range_faults(spark, sf_dir):
     spans, _ = _spans(spark, sf_dir)
-    last = spans.agg(F.max("start").alias("upper"))
-    bounds = spans.select("user_id").distinct().crossJoin(F.broadcast(last)).withColumn("lower", F.lit(0).cast("long"))
+    last = spans.agg(F.max("start").alias("upper")).first()["upper"]
+    bounds = spans.select("user_id").distinct().withColumns({"lower": F.lit(0).cast("long"), "upper": F.lit(last).cast("long")})
     return intervals.faulty(spans, bounds, ["user_id"])
 
 

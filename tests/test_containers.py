@@ -308,8 +308,8 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in" / "a.sldprt").write_bytes(fx.document())
     folder = f"file://{tmp_path}/in"
 
-    def lines(*arguments):
-        assert main([*arguments]) == 0
+    def lines(*arguments, code=0):
+        assert main([*arguments]) == code
         return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
 
     assert [r["envelope"] for r in lines("probe", folder)] == ["modern_chunk"]
@@ -319,6 +319,6 @@ def test_command_line(spark, tmp_path, capsys):
     wanted = next(e["entry_id"] for e in entries if e["path"] == "docProps/custom.xml")
     assert main(["extract", folder, "--entry", wanted, "--output", f"file://{tmp_path}/out.xml"]) == 0
     assert (tmp_path / "out.xml").read_bytes() == fx.CUSTOM_XML
-    assert lines("drawing", folder) and lines("index", folder) and lines("display", folder) == []
+    assert lines("drawing", folder) and lines("index", folder, "--summary", code=1) and lines("display", folder) == []
     (tmp_path / "in" / "bad.sldprt").write_bytes(fx.chunk_file(fx.block("x", b"y", crc=0)))
     assert main(["inspect", folder, "--strict"]) == 2

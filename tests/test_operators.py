@@ -77,28 +77,52 @@ def test_numbering(spark):
 # ---- resolution and graph ----------------------------------------------------------
 
 
-def cascade(spark, files, refs, roots=(), searches=(), mappings=()):
+def cascade(spark, files, refs, roots=(), searches=(), mappings=(), most=1024):
     f = spark.createDataFrame([(p, p) for p in files], "host_path string, label string")
     r = spark.createDataFrame([(n, p, d) for n, (p, d) in enumerate(refs)], "id int, stored string, document string")
     keys, file_keys = resolve.path_steps(F.col("stored"), F.col("document"), list(roots), list(searches), list(mappings))
-    out = resolve.cascade(r, "id", keys, resolve.keyed_files(f, file_keys), F.coalesce(F.trim("stored"), F.lit("")) == "")
-    return [(x["status"], None if x["step"] is None else resolve.BASES[x["step"] // 100], x["candidate_count"], x["resolved"]) for x in out.orderBy("id").collect()]
+    out = resolve.cascade(r, "id", keys, resolve.keyed_files(f, file_keys), F.coalesce(F.trim("stored"), F.lit("")) == "", most)
+    return [(x["status"], None if x["step"] is None else resolve.BASES[x["step"]], x["candidate_count"], x["resolved"] or (x["candidates"] or None)) for x in out.orderBy("id").collect()]
 
 
-def test_cascade(spark):
-    files = ["proj/a/bolt.sldprt", "proj/b/Bolt.SLDPRT", "proj/a/sub/nut.sldprt", "lib/washer.sldprt", "lib/deep/only.sldprt"]
-    doc = "proj/a/top.sldasm"
+@pytest.mark.parametrize("top", ["", "/", "file:///", "file:/"])
+def test_cascade(spark, top):
+    files = [top + p for p in ("proj/a/bolt.sldprt", "proj/b/Bolt.SLDPRT", "proj/a/sub/nut.sldprt", "lib/washer.sldprt", "lib/deep/only.sldprt")]
+    doc = top + "proj/a/top.sldasm"
     got = cascade(
         spark, files,
-        [("sub\\NUT.sldprt", doc), ("D:\\old\\bolt.sldprt", doc), ("D:\\old\\bolt.sldprt", "proj/c/x.sldasm"), ("W:\\store\\deep\\only.sldprt", doc), ("washer.sldprt", doc), ("nothing.sldprt", doc), (" ", doc), ("/lib/washer.sldprt", doc), ("..\\b\\bolt.sldprt", doc)],
-        roots=["proj"], searches=["lib"], mappings=[("W:\\", "elsewhere"), ("W:\\store", "lib")],
+        [("sub\\NUT.sldprt", doc), ("D:\\old\\bolt.sldprt", doc), ("D:\\old\\bolt.sldprt", top + "proj/c/x.sldasm"), ("W:\\store\\deep\\only.sldprt", doc), ("washer.sldprt", doc), ("nothing.sldprt", doc), (" ", doc), ("/lib/washer.sldprt", doc), ("..\\b\\bolt.sldprt", doc),
+         ("Z:\\gone\\only.sldprt", doc), ("b\\bolt.sldprt", top + "else/x.sldasm"), (None, doc)],
+        roots=[top + "proj"], searches=[top + "lib"], mappings=[("W:\\", top + "elsewhere"), ("W:\\store", top + "lib")],
     )
     assert got == [
-        ("resolved", "document_relative", 1, "proj/a/sub/nut.sldprt"), ("resolved", "document_directory_basename", 1, "proj/a/bolt.sldprt"), ("ambiguous", "project_root_basename", 2, None), ("resolved", "windows_prefix_mapping", 1, "lib/deep/only.sldprt"),
-        ("resolved", "search_directory_relative", 1, "lib/washer.sldprt"), ("missing", None, 0, None), ("no_stored_path", None, 0, None), ("resolved", "host_absolute", 1, "lib/washer.sldprt"), ("resolved", "document_relative", 1, "proj/b/Bolt.SLDPRT"),
+        ("resolved", "document_relative", 1, files[2]), ("resolved", "document_directory_basename", 1, files[0]), ("ambiguous", "project_root_basename", 2, files[:2]), ("resolved", "windows_prefix_mapping", 1, files[4]),
+        ("resolved", "search_directory_relative", 1, files[3]), ("missing", None, 0, None), ("no_stored_path", None, 0, None), ("resolved", "host_absolute", 1, files[3]), ("resolved", "document_relative", 1, files[1]),
+        ("resolved", "search_directory_basename", 1, files[4]), ("resolved", "project_root_relative", 1, files[1]), ("no_stored_path", None, 0, None),
     ]
 
 
+def test_folders_of_one_rule_share_a_step(spark):
+    files = ["/s1/x/p.sldprt", "/s2/x/p.sldprt", "/s1/only.sldprt", "/m1/q.sldprt", "/m2/q.sldprt"]
+    got = cascade(
+        spark, files, [("x\\p.sldprt", "/proj/t.sldasm"), ("C:\\old\\p.sldprt", "/proj/t.sldasm"), ("only.sldprt", "/proj/t.sldasm"), ("W:\\lib\\q.sldprt", "/proj/t.sldasm"), ("w:/LIB/sub/../q.sldprt", "/proj/t.sldasm")],
+        roots=["/proj"], searches=["/s1", "/s2"], mappings=[("W:\\lib", "/m1"), ("W:/lib/", "/m2"), ("W:\\", "/m1/none")],
+    )
+    assert got == [
+        ("ambiguous", "search_directory_relative", 2, files[:2]), ("ambiguous", "search_directory_basename", 2, files[:2]), ("resolved", "search_directory_relative", 1, files[2]),
+        ("ambiguous", "windows_prefix_mapping", 2, files[3:]), ("ambiguous", "windows_prefix_mapping", 2, files[3:]),
+    ]
+    assert cascade(spark, files, [("p.sldprt", "/proj/t.sldasm")], searches=["/s1", "/s2"], most=1) == [("ambiguous", "search_directory_basename", 2, files[:1])]
+
+
+def test_embedded_names_come_first(spark):
+    files = spark.createDataFrame([("/p/pin.sldprt", "pin.sldprt", None, None), (None, "top#VirtualComp/1", "/p/top.sldasm", "Pin"), (None, "other#VirtualComp/1", "/p/other.sldasm", "Pin")], "host_path string, label string, container string, embedded_name string")
+    refs = spark.createDataFrame([(0, "C:\\tmp\\Pin^top.sldprt", "/p/top.sldasm", True), (1, "C:\\tmp\\pin.sldprt", "/p/top.sldasm", False), (2, "C:\\tmp\\pin.sldprt", "/p/else.sldasm", True)], "id int, stored string, document string, is_virtual boolean")
+    keys, file_keys = resolve.path_steps(F.col("stored"), F.col("document"), ["/p"], [], [], F.col("is_virtual"))
+    got = resolve.cascade(refs, "id", keys, resolve.keyed_files(files, file_keys), F.lit(False)).orderBy("id").collect()
+    assert [(resolve.BASES[r["step"]], r["resolved"]) for r in got] == [("embedded_virtual_component", "top#VirtualComp/1"), ("document_directory_basename", "pin.sldprt"), ("document_directory_basename", "pin.sldprt")]
+
+
 def labelled(spark, edges, roots, **options):
     rows = [("p", s, n, c, t, q, bool(sup)) for n, (s, c, t, q, sup) in enumerate(edges)]
     e = spark.createDataFrame(rows, "project string, source string, reference_id long, configuration long, target string, requested array<long>, is_suppressed boolean")
@@ -115,6 +139,14 @@ def test_traversal_labels(spark):
     assert len(labelled(spark, edges, ["top"], edge_cap=2)) == 2
 
 
+def test_edge_cap_rejects(spark):
+    e = spark.createDataFrame([(p, "a", n, 0, f"b{n}", None, False) for p in ("x", "y") for n in range(3 if p == "x" else 2)], "project string, source string, reference_id long, configuration long, target string, requested array<long>, is_suppressed boolean")
+    r = spark.createDataFrame([("x", "a", 0), ("y", "a", 0)], "project string, node string, root_order long")
+    got = graph.label(e, r, edge_cap=2).groupBy("project", "rejected").count().collect()
+    assert {tuple(x) for x in got} == {("x", True, 2), ("y", False, 2)}
+    assert {x["rejected"] for x in graph.label(e, r, edge_cap=0).collect()} == {True}
+
+
 def test_configurations_are_emitted_once(spark):
     edges = [("top", 0, "sub", [0], 0), ("top", 0, "sub", [1], 0), ("top", 0, "sub", [0], 0), ("sub", 0, "a", None, 0), ("sub", 1, "b", None, 0), ("sub", None, "ref", None, 0)]
     assert labelled(spark, edges, ["top"]) == [("top", "sub", "followed"), ("sub", "ref", "followed"), ("sub", "a", "followed"), ("top", "sub", "reused"), ("sub", "b", "followed"), ("top", "sub", "reused")]
@@ -178,6 +210,49 @@ def test_bom_order_on_random_trees(spark):
             assert [r["node_id"] for r in got] == want
 
 
+def plain_bom(children, cap):
+    """(node, state) in source order; expansion stops at the first row beyond the cap."""
+    rows, stack = [["n0", "expanded"]], [0]
+    while stack:
+        at = stack.pop()
+        kids = []
+        for kid in children[rows[at][0]]:
+            if len(rows) >= cap:
+                rows[at][1] = "limit_reached"
+                return [tuple(r) for r in rows]
+            kids.append(len(rows))
+            rows.append([kid, "expanded"])
+        stack += reversed(kids)
+    return [tuple(r) for r in rows]
+
+
+def capped(spark, children, cap, **options):
+    nodes = [(n, "assembly", n, [(0, "D")]) for n in children]
+    edges = [(f"{n}.{i}", n, 0, i, t, "followed", None, t, None, None, None) for n, ts in children.items() for i, t in enumerate(ts)]
+    out = bom.expand(spark.createDataFrame(edges, EDGE), spark.createDataFrame(nodes, NODE), "n0", 0, bom.BomOptions(max_occurrences=cap, **options))
+    return [(r["node_id"], r["children_state"]) for r in out.orderBy("id").collect()]
+
+
+def test_bom_cap_on_a_lopsided_tree(spark):
+    children = {"n0": ["c1", "c2"], "c1": ["d1"], "c2": [f"x{i}" for i in range(600)]} | {f"d{i}": [f"d{i + 1}"] for i in range(1, 5)} | {"d5": []} | {f"x{i}": [] for i in range(600)}
+    for cap in (1, 2, 6, 9, 700):
+        assert capped(spark, children, cap) == plain_bom(children, cap), cap
+
+
+def test_bom_cap_on_random_trees(spark):
+    rng = random.Random(3)
+    for cap in (2, 5, 17):
+        children = {f"n{n}": [f"n{rng.randrange(n + 1, 8)}" for _ in range(rng.choice((0, 1, 1, 5)))] if n < 7 else [] for n in range(8)}
+        if any(children.values()):
+            assert capped(spark, children, cap) == plain_bom(children, cap), (cap, children)
+
+
+def test_bom_depth_cap_is_told(spark):
+    children = {f"n{i}": [f"n{i + 1}"] for i in range(4)} | {"n4": []}
+    assert capped(spark, children, None, max_depth=2) == [("n0", "expanded"), ("n1", "expanded"), ("n2", "limit_reached")]
+    assert capped(spark, children, None, max_depth=4) == [(f"n{i}", "expanded") for i in range(5)]
+
+
 # ---- differences, conflicts ----------------------------------------------------------
 
 
