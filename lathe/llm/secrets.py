@@ -3,8 +3,9 @@
 The field tags each word O (outside), B (secret begins) or I (inside). Scores
 come from the word's shape (length, digits, case, hex, signs, changes between
 kinds of signs), the kinds of the two words before and the one after (key word,
-assignment sign, other), features of the whole file (share of digits and of code
-signs), and label transitions. It is trained by gradient ascent on exact
+assignment sign, other), which words stand before and after (their letters,
+hashed to ``IDENTITIES`` numbers), features of the whole file (share of digits
+and of code signs), and label transitions. It is trained by gradient ascent on exact
 log-likelihood (forward-backward): background words come from at most
 ``SAMPLE_ROWS`` documents, labels from the base patterns in them and from secrets
 that are generated and planted among them.
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, lean, read, tidied
+from .common import Words, buffer_of, chunks, lean, lowered, read, tidied
 
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 20_000
@@ -77,10 +78,12 @@ _CODE[list(b"={}();<>[]\"")] = 1
 SHAPES = (10, 6, 4, 2, 4, 7, 4, 10 * 6 * 4)
 NEARS = 6  # none, other, assignment sign alone, key word, key word with sign, ends with sign
 FILES = (4, 3)
+#: Hashed identities of a neighbour; 0 is none.
+IDENTITIES = 256
 
 
 def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([np.zeros(1, np.uint64 if values.dtype == np.uint64 else np.int64), np.cumsum(values)])
     return total[end] - total[start]
 
 
@@ -93,7 +96,8 @@ def shape_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     digits, upper, lower, signs = (_sums(kind == k, start, end) for k in range(4))
     change = np.zeros(len(data), np.int64)
     if len(data):
-        change[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != 3) & (kind[:-1] != 3)
+        own = np.where(kind == 4, 2, kind)  # an accent inside a word is no change
+        change[1:] = (own[1:] != own[:-1]) & (own[1:] != 3) & (own[:-1] != 3)
         inner = offsets[:-1][offsets[:-1] < len(data)]
         change[inner] = 0
     length = np.searchsorted(_LENGTHS, size, "right")
@@ -115,14 +119,31 @@ def shape_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return features, near
 
 
-def file_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    size = np.maximum(np.diff(offsets), 1)
-    digits = _sums(_CLASS[data] == 0, offsets[:-1], offsets[1:]) / size
-    code = _sums(_CODE[data], offsets[:-1], offsets[1:]) / size
-    return np.stack([np.searchsorted([0.0001, 0.02, 0.1], digits, "right"), np.searchsorted([0.005, 0.05], code, "right")], axis=1)
+def identities(words: pa.Array) -> np.ndarray:
+    """1 to IDENTITIES of each word: a hash of its letters in lower case, in order."""
+    data, offsets = buffer_of(words)
+    low = lowered(data)
+    letter = ((low >= 97) & (low <= 122)) | (low >= 128)
+    # Place of each letter among its word's letters.
+    upto = np.concatenate([[0], np.cumsum(letter)])
+    place = upto[:-1] - np.repeat(upto[offsets[:-1]], np.diff(offsets))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, int(place.max(initial=0))), np.uint64(0xD1342543DE82EF95))]))
+        key = _sums(np.where(letter, (low.astype(np.uint64) + np.uint64(1)) * power[place], np.uint64(0)).astype(np.uint64), offsets[:-1], offsets[1:])
+        return 1 + ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % IDENTITIES
+
+
+def file_sums(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(bytes, digits, code signs) of each text."""
+    return np.stack([np.diff(offsets), _sums(_CLASS[data] == 0, offsets[:-1], offsets[1:]), _sums(_CODE[data], offsets[:-1], offsets[1:])], axis=1)
+
+
+def file_features(sums: np.ndarray) -> np.ndarray:
+    size = np.maximum(sums[:, 0], 1)
+    return np.stack([np.searchsorted([0.005, 0.02, 0.1], sums[:, 1] / size, "right"), np.searchsorted([0.005, 0.05], sums[:, 2] / size, "right")], axis=1)
 
 
-_AT = np.cumsum([0, *SHAPES, NEARS, NEARS, NEARS, *FILES])
+_AT = np.cumsum([0, *SHAPES, NEARS, NEARS, NEARS, *FILES, IDENTITIES + 1, IDENTITIES + 1])
 WIDTH = int(_AT[-1])
 
 
@@ -153,7 +174,8 @@ class Field:
         one, two, after = _neighbours(near[number], doc)
         n = len(SHAPES)
         file = w[_AT[n + 3] + files[:, 0]] + w[_AT[n + 4] + files[:, 1]]
-        return own[number] + w[_AT[n] + one] + w[_AT[n + 1] + two] + w[_AT[n + 2] + after] + file[doc]
+        before_id, _, after_id = _neighbours(identities(distinct)[number], doc)
+        return own[number] + w[_AT[n] + one] + w[_AT[n + 1] + two] + w[_AT[n + 2] + after] + file[doc] + w[_AT[n + 5] + before_id] + w[_AT[n + 6] + after_id]
 
     def viterbi(self, e: np.ndarray) -> list[int]:
         """Best labels of one document."""
@@ -177,7 +199,7 @@ class Field:
     def tag(self, words: Words) -> dict[int, list[int]]:
         """Labels of each document that isn't O throughout by the bound."""
         number, distinct = words.encoded()
-        e = self.emissions(distinct, number, words.doc, file_features(words.data, words.offsets))
+        e = self.emissions(distinct, number, words.doc, file_features(file_sums(words.data, words.offsets)))
         hot = e[:, 1:].max(axis=1) - e[:, 0] + self.slack >= 0 if len(e) else np.zeros(0, bool)
         return {d: self.viterbi(e[words.first[d] : words.first[d + 1]]) for d in np.unique(words.doc[hot]).tolist()}
 
@@ -185,6 +207,10 @@ class Field:
 # ---- training -------------------------------------------------------------
 
 WINDOW, PLANTS, STEPS, RATE, RIDGE = 24, 2500, 160, 0.15, 2e-4
+#: Identities are many and each is rare; their weights are held down more.
+IDENTITY_RIDGE = 0.05
+#: A tagged stretch of fewer signs is no secret.
+LEAST_CHARS = 8
 
 
 def _invent(rng: np.random.Generator) -> str:
@@ -210,21 +236,22 @@ def _invent(rng: np.random.Generator) -> str:
     return body
 
 
-def training_lines(texts: list[str], seed: int = 3) -> tuple[list[str], list[list[tuple[int, int]]]]:
-    """Lines of about WINDOW words, and the spans of secrets in each."""
+def training_lines(texts: list[str], seed: int = 3) -> tuple[list[str], list[list[tuple[int, int]]], np.ndarray]:
+    """Lines of about WINDOW words, the spans of secrets in each, and the sums of the whole files that they stand in, secret included."""
     rng = np.random.default_rng(seed)
-    pool = [w for t in texts for w in [t.split()] if len(w) >= 4]
-    if not pool:
-        pool = ["the part was drawn in 2019 by hand and then +49 151 2345 for 4711 pieces (see page 12) at info@example.org".split()]
-    lines, spans = [], []
+    held = [t for t in texts if len(t.split()) >= 4] or ["the part was drawn in 2019 by hand and then +49 151 2345 for 4711 pieces (see page 12) at info@example.org"]
+    pool = [t.split() for t in held]
+    sums = file_sums(*buffer_of(pa.array(held, pa.string())))
+    lines, spans, files = [], [], []
     for n in range(PLANTS):
-        words = pool[int(rng.integers(len(pool)))]
+        source = int(rng.integers(len(pool)))
+        words, added = pool[source], ""
         at = int(rng.integers(max(1, len(words) - WINDOW)))
         own = words[at : at + WINDOW]
         marks = []
         if n % 2 == 0:
             place = int(rng.integers(len(own) + 1))
-            secret = _invent(rng)
+            secret = added = _invent(rng)
             before = " ".join(own[:place])
             line = " ".join([*own[:place], secret, *own[place:]])
             start = len(before) + (1 if before else 0)
@@ -234,18 +261,20 @@ def training_lines(texts: list[str], seed: int = 3) -> tuple[list[str], list[lis
         marks += [(s, e) for s, _, e in base_spans(line) if not any(s < y and x < e for x, y in marks)]
         lines.append(line)
         spans.append(sorted(marks))
-    return lines, spans
+        files.append(sums[source] + file_sums(*buffer_of(pa.array([added])))[0])
+    return lines, spans, np.array(files)
 
 
-def _design(lines: list[str]) -> tuple[Words, np.ndarray]:
+def _design(lines: list[str], sums: np.ndarray) -> tuple[Words, np.ndarray]:
     """Words and active feature numbers (words x active)."""
     words = Words(*buffer_of(pa.array(lines, pa.string())))
     number, distinct = words.encoded()
     features, near = shape_features(distinct)
     one, two, after = _neighbours(near[number], words.doc)
-    files = file_features(words.data, words.offsets)[words.doc]
+    files = file_features(sums)[words.doc]
+    before_id, _, after_id = _neighbours(identities(distinct)[number], words.doc)
     n = len(SHAPES)
-    columns = [*(_AT[i] + features[number, i] for i in range(n)), _AT[n] + one, _AT[n + 1] + two, _AT[n + 2] + after, _AT[n + 3] + files[:, 0], _AT[n + 4] + files[:, 1]]
+    columns = [*(_AT[i] + features[number, i] for i in range(n)), _AT[n] + one, _AT[n + 1] + two, _AT[n + 2] + after, _AT[n + 3] + files[:, 0], _AT[n + 4] + files[:, 1], _AT[n + 5] + before_id, _AT[n + 6] + after_id]
     return words, np.stack(columns, axis=1)
 
 
@@ -263,8 +292,10 @@ def _labels(words: Words, lines: list[str], spans: list[list[tuple[int, int]]])
 
 def train(texts: list[str], seed: int = 3) -> Field:
     """Fit by Adam on the exact log-likelihood; all sequences advance together."""
-    lines, spans = training_lines(texts, seed)
-    words, active = _design(lines)
+    lines, spans, files = training_lines(texts, seed)
+    words, active = _design(lines, files)
+    ridge = [np.full((WIDTH, 1), RIDGE), np.full((3, 1), RIDGE)]
+    ridge[0][_AT[len(SHAPES) + 5] :] = IDENTITY_RIDGE
     gold = _labels(words, lines, spans)
     rows, longest = words.rows, int(words.count.max())
     place = np.arange(len(gold)) - words.first[words.doc]
@@ -303,7 +334,7 @@ def train(texts: list[str], seed: int = 3) -> Field:
             both = alpha[t - 1][:, :, None] + moves + (e[:, t] + beta[t])[:, None, :] - z[:, None, None]
             hoped[1] += (np.exp(both) * real[:, t, None, None]).sum(axis=0)
         for k in range(2):
-            grad = (seen[k] - hoped[k]) / rows - RIDGE * theta[k]
+            grad = (seen[k] - hoped[k]) / rows - ridge[k] * theta[k]
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad**2
             theta[k] = theta[k] + RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -357,7 +388,7 @@ def scan_texts(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
             first = words.first[d]
             a, b = _trim(raw, int(words.start[first + i] - offsets[d]), int(words.end[first + j - 1] - offsets[d]))
             s, e = len(raw[:a].decode()), len(raw[:b].decode())
-            if e > s and not any(s < y and x < e for x, _, y in base):
+            if e - s >= LEAST_CHARS and not any(s < y and x < e for x, _, y in base):
                 found.append((s, 3, e))
         out.append(sorted(found))
     return out
