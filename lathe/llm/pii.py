@@ -34,9 +34,17 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[a-z]?+",
 }
 
+# Length of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 #: What a text must hold before its pattern is tried; cheap to test.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}"}
 
@@ -70,6 +78,18 @@ def mod97(text: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, x: F.pmod(F.when(x > 9, a * 100 + x).otherwise(a * 10 + x), F.lit(97))) == 1
 
 
+def _account(found: Column) -> Column:
+    """An account number cut to its country's length, as words in capitals may follow it; empty if it doesn't end there or the country has none."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    out = F.lit("")
+    for n, countries in by_length.items():
+        own = F.regexp_extract(found, rf"^((?:\x20?[A-Z0-9]){{{n}}})(?![A-Za-z0-9])", 1)
+        out = F.when(F.substr(found, F.lit(1), F.lit(2)).isin(*countries), own).otherwise(out)
+    return out
+
+
 def _valid(kind: Column, found: Column) -> Column:
     n = F.length(_digits(found))
     part = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -78,7 +98,7 @@ def _valid(kind: Column, found: Column) -> Column:
         .when(kind == "ip", found.rlike(rf"^{part}\.{part}\.{part}\.{part}$"))
         .when(kind == "card", n.between(13, 19) & luhn(found))
         .when(kind == "phone", n.between(9, 15))
-        .when(kind == "iban", F.length(F.replace(found, F.lit(" "), F.lit(""))).between(15, 34) & mod97(found))
+        .when(kind == "iban", (found != "") & mod97(found))
         .otherwise(False)
     )
 
@@ -102,11 +122,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     order = Window.partitionBy("uid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.char_length("found")
     placed = each.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
-    kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.when(F.col("k") >= 0, F.col("k") + 1))
+    kind = F.when(F.col("k") >= 0, F.get(F.array(*(F.lit(k) for k in KINDS)), F.col("k")))
     near = F.lit(False)
     for i, k in enumerate(KINDS):
         near = F.when(F.col("k") == i, F.col("near").rlike(CONTEXT[k])).otherwise(near)
-    named = placed.withColumn("kind", kind)
+    # Places are counted with whole matches; only then is an account number cut.
+    named = placed.withColumn("kind", kind).withColumn("found", F.when(F.col("kind") == "iban", _account(F.col("found"))).otherwise(F.col("found")))
+    named = named.withColumn("end", F.when(F.col("kind") == "iban", F.col("start") + size).otherwise(F.col("end")))
     kept = named.filter((F.col("k") < 0) | _valid(F.col("kind"), F.col("found")))
     checked = F.col("kind").isin("ip", "card", "iban").cast("int") * 0.3
     return kept.select("uid", "doc_id", "k", "kind", "start", "end", "found", F.when(F.col("k") >= 0, F.lit(0.5) + checked + near.cast("int") * 0.2).alias("score"))

@@ -371,6 +371,14 @@ def test_iban(spark):
     assert r["n_iban"] == 2 and r["top_score"] == pytest.approx(1.0)
 
 
+def test_iban_before_other_words(spark):
+    good = "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {good} BIC COBADEFFXXX.", f"{good} I will", f"{good.replace(' ', '')} PLEASE", f"{good.replace(' ', '')}please", f"{good.replace(' ', '')}X and more", f"ZZ89 {good[5:]}", f"x {good} Please {good}"]
+    got = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("kind = 'iban'").orderBy("doc_id", "start").collect()
+    flat = good.replace(" ", "")
+    assert [(r["doc_id"], r["found"], r["start"], r["end"]) for r in got] == [(0, good, 5, 32), (1, good, 0, 27), (2, flat, 0, 22), (6, good, 2, 29), (6, good, 37, 64)]
+
+
 @pytest.mark.parametrize("name", ["dedup", "quality", "bpe", "secrets", "licenses", "lm", "sharding", "mixing", "simhash", "pii"])
 def test_empty_table(spark, name):
     none = spark.createDataFrame([], SCHEMA)
