@@ -67,14 +67,14 @@ def parse(documents: DataFrame, profile: str = "service", strict: bool = False,
     wanted = [p for p, _, _ in streams.TABLES.values()] + [r"SummaryInformation$", r"-Properties$", r"Preview"]
     scanned = files.embedded_closure(documents, wanted=wanted, limits=limits) if embedded else cut(files.entries(documents, limits=limits, wanted=wanted))
     found = files.inventory(scanned)
-    raw = {name: streams.rows(found, name, limits) for name in streams.TABLES}
+    raw = streams.tables(found, limits)
     components = resolve.components(raw["header_files"], raw["models"], raw["root_models"], raw["model_references"])
     legacy = found.filter(F.col("path").rlike("SummaryInformation$|-Properties$") & F.col("decoded").isNotNull())
-    faults = streams.faults(found, limits)
+    faults = raw["faults"]
     tables = raw | {
         "components": components, "external_references": resolve.external_references(raw["header_files"]), "view_references": resolve.view_references(raw["views"]), "references": resolve.references(components, raw["header_files"], raw["views"]), "configurations": resolve.configurations(resolve.with_name_fallbacks(raw["config_candidates"], raw["properties"])), "document_kinds": resolve.document_kinds(raw["kind_candidates"]),
         "versions": resolve.versions(found), "units": resolve.units(raw["properties"]), "sheets": resolve.sheets(raw["sheets"]), "legacy_properties": binary.property_sets(legacy),
-        "previews": binary.previews(found.filter(F.col("path").rlike("Preview") & F.col("decoded").isNotNull())), "coverage": resolve.stream_coverage(found, faults), "faults": faults, "parse_status": _parse_status(scanned, faults),
+        "previews": binary.previews(found.filter(F.col("path").rlike("Preview") & F.col("decoded").isNotNull())), "coverage": resolve.stream_coverage(found, faults), "parse_status": _parse_status(scanned, faults),
     }
     result = Parsed(found, files.diagnostics(scanned), tables)
     if strict and not result.diagnostics.filter("severity = 'error'").isEmpty():

@@ -1,7 +1,8 @@
 """Rows of facts from XML streams: one small reader for each table.
 
 ``rows(streams, table)`` takes streams (doc_id, entry_id, path, decoded), lets
-only those through whose path the table reads, and parses them in Arrow batches.
+only those through whose path the table reads, and parses them in Arrow batches;
+``tables(streams)`` gives all tables from one pass.
 Rows stay close to the source; joining, ranking and settling conflicts is done
 on the tables (``facts.resolve``).
 """
@@ -10,11 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.operators.numbering import cut
 from lathe.sources.limits import SERVICE, Limits
 
 from .xmltree import Node, XmlFault, parse
@@ -193,7 +196,7 @@ def _names(columns: str) -> list[str]:
 
 
 def rows(streams: DataFrame, table: str, limits: Limits = SERVICE) -> DataFrame:
-    """Rows of one table from the streams that it reads; streams that cannot be parsed give none (see ``faults``)."""
+    """Rows of one table from the streams that it reads; streams that cannot be parsed give none (see ``tables``)."""
     pattern, columns, reader = TABLES[table]
     names = ["doc_id", "stream_path", *_names(columns)]
     whole = [c.strip().split()[0] for c in columns.replace("<", " <").split(",") if c.strip().split()[-1] in ("int", "long")]
@@ -213,19 +216,46 @@ def rows(streams: DataFrame, table: str, limits: Limits = SERVICE) -> DataFrame:
     return chosen.mapInPandas(run, f"doc_id string, stream_path string, {columns}")
 
 
-def faults(streams: DataFrame, limits: Limits = SERVICE) -> DataFrame:
-    """(doc_id, stream_path, code) of XML streams that cannot be used."""
-    pattern = "|".join(p for p, _, _ in TABLES.values())
+def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]:
+    """All tables and ``faults``, from one pass in which each stream is parsed once.
+
+    The pass writes rows tagged by table, each in its table's own struct column;
+    a table is then a filter and one column of that.
+    """
+    patterns = {name: re.compile(pattern) for name, (pattern, _, _) in TABLES.items()}
+    names = {name: _names(columns) for name, (_, columns, _) in TABLES.items()}
+    order = ["tag", "doc_id", "stream_path", "code", *TABLES]
+    blank = dict.fromkeys(order)
 
     def run(batches):
         for frame in batches:
             out = []
-            for doc, path, data in zip(frame["doc_id"], frame["path"], frame["decoded"], strict=True):
+            for doc, entry, path, data in zip(frame["doc_id"], frame["entry_id"], frame["path"], frame["decoded"], strict=True):
+                raw = bytes(data)
                 try:
-                    parse(bytes(data), limits.xml_bytes, limits.xml_nodes, limits.depth)
+                    root = parse(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
                 except XmlFault as fault:
-                    out.append((doc, path, str(fault)))
-            yield pd.DataFrame(out, columns=["doc_id", "stream_path", "code"])
-
-    chosen = streams.filter(F.col("path").rlike(pattern) & F.col("decoded").isNotNull()).select("doc_id", "path", "decoded")
-    return chosen.mapInPandas(run, "doc_id string, stream_path string, code string")
+                    out.append(blank | {"tag": "faults", "doc_id": doc, "stream_path": path, "code": str(fault)})
+                    continue
+                for name, (_, _, reader) in TABLES.items():
+                    if patterns[name].search(path):
+                        out += [blank | {"tag": name, "doc_id": doc, "stream_path": path, name: dict(zip(names[name], row, strict=True))} for row in reader(root, path, entry, raw)]
+            yield pd.DataFrame(out, columns=order, dtype=object)
+
+    chosen = streams.filter(F.col("path").rlike("|".join(p for p, _, _ in TABLES.values())) & F.col("decoded").isNotNull()).select("doc_id", "entry_id", "path", "decoded")
+    schema = "tag string, doc_id string, stream_path string, code string, " + ", ".join(f"{name} struct<{_struct(columns)}>" for name, (_, columns, _) in TABLES.items())
+    tagged = cut(chosen.mapInPandas(run, schema))
+    found = {name: tagged.filter(F.col("tag") == name).select("doc_id", "stream_path", f"{name}.*") for name in TABLES}
+    return found | {"faults": tagged.filter("tag = 'faults'").select("doc_id", "stream_path", "code")}
+
+
+def _struct(columns: str) -> str:
+    """Column definitions as fields of a struct type."""
+    out, depth, start = [], 0, 0
+    for at, c in enumerate(columns + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, _, kind = columns[start:at].strip().partition(" ")
+            out.append(f"`{name}`: {kind}")
+            start = at + 1
+    return ", ".join(out)
