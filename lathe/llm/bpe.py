@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffer_of, chunks, lean, lowered, read, row_number_base, tidied
+from .common import Words, buffer_of, chunks, lean, lowered, numbered, read, row_number_base, tidied
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 4096
@@ -354,7 +354,7 @@ def _coder(path: str) -> Coder:
 
 
 def _encode(path: str):
-    """(doc_id, text) to (doc_id, ids, decoded): texts without a long word."""
+    """(doc_id, text, others) to (doc_id, ids, decoded, others): texts without a long word."""
 
     @tidied
     def run(batches):
@@ -365,25 +365,27 @@ def _encode(path: str):
                 ids, place = coder.gather(coder.numbers(distinct.to_pylist())[number])
                 place = place[first]
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(4 * place), pa.py_buffer(ids.astype("<u4", copy=False))])
-                yield pa.RecordBatch.from_arrays([part.column(0), packed.cast(pa.binary()), coder.decode(ids, place)], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), packed.cast(pa.binary()), coder.decode(ids, place), *part.columns[2:]], names=["doc_id", "ids", "decoded", *part.schema.names[2:]])
 
     return run
 
 
 def _pieces(path: str, leaf_chars: int):
-    """Texts with a long word to rows (uid, unit, leaf, doc_id, whole, text)."""
+    """Texts with a long word (doc_id, text, uid if they are numbered) to rows (uid, unit, leaf, doc_id, whole, text)."""
 
     @tidied
     def run(batches):
         coder, uid = _coder(path), row_number_base()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = batch.column(2).to_pylist() if batch.num_columns > 2 else range(uid, uid + batch.num_rows)
+            uid += batch.num_rows
+            for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own, strict=True):
                 rows, unit, short = [], 0, []
 
                 def flush():
                     nonlocal unit, short
                     if short:
-                        rows.append((uid, unit, 0, key, True, b" ".join(short).decode()))
+                        rows.append((n, unit, 0, key, True, b" ".join(short).decode()))
                         unit, short = unit + 1, []
 
                 for word in text.encode().split():
@@ -393,12 +395,11 @@ def _pieces(path: str, leaf_chars: int):
                     flush()
                     for special, piece in coder.split_special(word.decode()):
                         if special:
-                            rows.append((uid, unit, 0, key, True, piece))
+                            rows.append((n, unit, 0, key, True, piece))
                         else:
-                            rows.extend((uid, unit, n, key, False, leaf) for n, leaf in enumerate(halves(coder.normalize(piece), leaf_chars)))
+                            rows.extend((n, unit, place, key, False, leaf) for place, leaf in enumerate(halves(coder.normalize(piece), leaf_chars)))
                         unit += 1
                 flush()
-                uid += 1
                 columns = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["uid", "unit", "leaf", "doc_id", "whole", "text"])
@@ -464,28 +465,33 @@ def _assemble(path: str):
                 out.append(concatenate(coder, [_piece(coder, r.text, r.ids, r.start, r.head) for r in unit.itertuples()]).ids)
         ids = np.concatenate(out) if out else np.zeros(0, np.int64)
         decoded = coder.decode(ids, np.array([0, len(ids)]))[0].as_py()
-        return pd.DataFrame({"doc_id": pd.array([frame["doc_id"].iloc[0]], "Int64"), "ids": [ids.astype("<u4").tobytes()], "decoded": [decoded]})
+        return pd.DataFrame({"uid": [frame["uid"].iloc[0]], "doc_id": pd.array([frame["doc_id"].iloc[0]], "Int64"), "ids": [ids.astype("<u4").tobytes()], "decoded": [decoded]})
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32 bit), decoded for each row.
+def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32 bit), decoded for each row; ``whole``: and the row itself as a struct ``row``.
 
     A vocabulary that encodes white space (byte-level ones do) is refused.
     """
     path = vocabulary or vocabulary_path()
-    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = [F.struct(*docs.columns).alias("row")] if whole else []
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
+    out = narrow.select("doc_id", F.lit(b"").alias("ids"), F.lit("").alias("decoded"), *(["row"] if whole else [])).schema
     long_word = F.col("text").rlike(rf"(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D]{{{leaf_chars // 4 + 1}}}")
-    plain = narrow.filter(~long_word).mapInArrow(_encode(path), "doc_id long, ids binary, decoded string")
-    pieces = narrow.filter(long_word).mapInArrow(_pieces(path, leaf_chars), "uid long, unit long, leaf long, doc_id long, whole boolean, text string")
+    plain = narrow.filter(~long_word).mapInArrow(_encode(path), out)
+    held = numbered(narrow.filter(long_word), "uid") if whole else narrow.filter(long_word)
+    pieces = held.drop("row").mapInArrow(_pieces(path, leaf_chars), "uid long, unit long, leaf long, doc_id long, whole boolean, text string")
     columns = "uid long, unit long, leaf long, doc_id long, whole boolean, text string, ids array<long>, start array<long>, head array<boolean>"
     nodes = pieces.repartition("uid", "unit", "leaf").mapInArrow(_leaves(path), columns)
     # Two levels of the tree, each spread by rows; the last task of a text joins nodes of FAN_IN ** 2 leaves.
     for _ in range(2):
         nodes = nodes.groupBy("uid", "unit", F.floor(F.col("leaf") / FAN_IN).alias("node")).applyInPandas(_joined(path), columns)
-    joined = nodes.groupBy("uid").applyInPandas(_assemble(path), "doc_id long, ids binary, decoded string")
-    return plain.unionByName(joined)
+    joined = nodes.groupBy("uid").applyInPandas(_assemble(path), "uid long, doc_id long, ids binary, decoded string")
+    if whole:
+        joined = joined.join(held.select("uid", "row"), "uid")
+    return plain.unionByName(joined.drop("uid"))
 
 
 def unpack(ids: bytes) -> list[int]:

@@ -182,6 +182,19 @@ def row_number_base() -> int:
     return (context.partitionId() if context else 0) << 40
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder with a row number as its last column."""
+
+    @tidied
+    def run(batches):
+        uid = row_number_base()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(uid, uid + batch.num_rows))], names=[*batch.schema.names, name])
+            uid += batch.num_rows
+
+    return cut(lean(df).mapInArrow(run, df.select("*", F.lit(0).cast("long").alias(name)).schema), "numbered")
+
+
 def word_count(text) -> F.Column:
     """Number of words as a JVM expression; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, gathered, lean, read, row_number_base, tidied
+from .common import cut, fresh, gathered, lean, numbered, read, row_number_base, tidied
 
 RADIUS = 3
 SHINGLE = 3
@@ -214,35 +214,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(by_print, "fp").select("doc_id", "uid", "fp", "component_id")
 
 
-def _numbered(name: str):
-    """Add a row number as the last column."""
-
-    @tidied
-    def run(batches):
-        uid = row_number_base()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(uid, uid + batch.num_rows))], names=[*batch.schema.names, name])
-            uid += batch.num_rows
-
-    return run
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more=None) -> DataFrame:
     """The document with the smallest id of each component, with all their columns.
 
     ``more`` takes (row, text) and (row, c) and gives (row, c) with further components joined.
     """
     own = fresh(docs, "own_row")
-    numbered = cut(lean(docs).mapInArrow(_numbered(own), docs.select("*", F.lit(0).cast("long").alias(own)).schema), "numbered")
-    ids = numbered.select(F.col(own).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    rows = numbered(docs, own)
+    ids = rows.select(F.col(own).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     # Components over row numbers, which no two rows share; the smallest document id of each is chosen next.
-    found = classes(numbered.select(F.col(own).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    found = classes(rows.select(F.col(own).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     place = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))
     if more is not None:
-        place = more(numbered.select(F.col(own).alias("row"), F.col(text_col).cast("string").alias("text")), cut(place, "place", narrow=True))
+        place = more(rows.select(F.col(own).alias("row"), F.col(text_col).cast("string").alias("text")), cut(place, "place", narrow=True))
     ranked = place.join(ids, "row")
     best = ranked.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("best"))
-    return numbered.join(best, numbered[own] == best["best"], "left_semi").select(docs.columns)
+    return rows.join(best, rows[own] == best["best"], "left_semi").select(docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,24 @@ def test_words_equal_the_library(monkeypatch, cache_bytes):
 def test_vocabulary_with_white_space_is_refused():
     with pytest.raises(ValueError, match="white space"):
         bpe.Coder(bpe.vocabulary_path("byte_bpe_50k.json"))
+
+
+def test_whole_rows_stay_with_their_ids(spark):
+    rows = [(1, "a b", "x"), (None, None, "y"), (3, "q" * 9000 + " and " + "z!" * 900, "z"), (3, "q" * 9000, "w"), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
+    got = bpe.encode(docs, whole=True, leaf_chars=200).collect()
+    alone = {r["doc_id"]: r for r in bpe.encode(docs.filter("ids <> 'w'")).collect()}
+    assert sorted(map(str, (tuple(r["row"]) for r in got))) == sorted(map(str, rows))
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    for r in got:
+        assert bpe.unpack(r["ids"]) == library.encode(r["row"]["text"] or "", add_special_tokens=False).ids
+    assert bpe.unpack(alone[1]["ids"]) == library.encode("a b", add_special_tokens=False).ids
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == [] and (name == "bpe" or out.columns == docs.columns), name
