@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and gives it to the next stage.
-Mixing repeats and drops rows by their number of copies. The last stage adds the
-encoding to each document.
+Mixing repeats and drops rows by their number of copies. The last stage adds
+n_tokens, ids and the digests of ids and decoded text to the documents' columns.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(docs)
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, whole=True)
+    n_tokens, decoded = (F.octet_length("ids") / 4).cast("long"), F.sha2(F.col("decoded").cast("binary"), 256)
+    return coded.select("row.*", n_tokens.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
 
 
 STAGES = [
