@@ -42,6 +42,14 @@ def coverage(streams: DataFrame, keys: list[str], column: str, size: str) -> Dat
     return streams.groupBy(*keys).agg(*aggs)
 
 
+def consistent(covered: DataFrame, keys: list[str], totals: DataFrame) -> DataFrame:
+    """Do the classes of ``coverage`` add up to the totals (keys, streams, bytes) of each key? A key without coverage doesn't."""
+    total = lambda what: sum((F.col(f"{c}_{what}") for c in CLASSES[1:]), F.col(f"{CLASSES[0]}_{what}"))
+    sums = covered.select(*keys, total("streams").alias("_streams"), total("bytes").alias("_bytes"))
+    same = (F.col("streams") == F.col("_streams")) & (F.col("bytes") == F.col("_bytes"))
+    return totals.join(sums, keys, "left").select(*keys, F.coalesce(same, F.lit(False)).alias("consistent"))
+
+
 def loss_book(losses: DataFrame) -> DataFrame:
     """One row for each code: how often, and its severity."""
     return losses.groupBy("code").agg(F.count("*").alias("n"), F.min("severity").alias("severity"))

@@ -87,6 +87,63 @@ def nurbs_point(degree: int, knots, poles, weights, t: float) -> np.ndarray:
     return share @ poles[own] / share.sum()
 
 
+def nurbs_derivative(degree: int, knots, poles, weights, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Point and first derivative of a rational B-spline curve.
+
+    The derivative of a B-spline is one of a degree less over differences of its
+    weighted poles; the quotient rule takes the weight back out.
+    """
+    knots, poles = np.asarray(knots, float), np.asarray(poles, float)
+    weights = np.ones(len(poles)) if weights is None else np.asarray(weights, float)
+    lifted = np.column_stack([poles * weights[:, None], weights])
+    span, value = basis(degree, knots, t)
+    whole = value @ lifted[span - degree : span + 1]
+    point = whole[:-1] / whole[-1]
+    if degree == 0:
+        return point, np.zeros_like(point)
+    width = knots[degree + 1 : degree + len(poles)] - knots[1 : len(poles)]
+    steps = degree * np.diff(lifted, axis=0) / np.where(width > 0, width, 1)[:, None]
+    steps[width <= 0] = 0.0
+    low, slope = basis(degree - 1, knots[1:-1], t)
+    change = slope @ steps[low - degree + 1 : low + 1]
+    return point, (change[:-1] - point * change[-1]) / whole[-1]
+
+
+def nurbs_surface(degrees, knots, poles, weights, u: float, v: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Point and both first derivatives of a rational surface; poles and weights by rows along u."""
+    poles = np.asarray(poles, float)
+    weights = np.ones(poles.shape[:2]) if weights is None else np.asarray(weights, float)
+    lifted = np.concatenate([poles * weights[..., None], weights[..., None]], axis=2)
+    across = [nurbs_derivative(degrees[1], knots[1], row, None, v) for row in lifted]
+    whole, du = nurbs_derivative(degrees[0], knots[0], np.array([p for p, _ in across]), None, u)
+    dv, _ = nurbs_derivative(degrees[0], knots[0], np.array([d for _, d in across]), None, u)
+    point = whole[:-1] / whole[-1]
+    return point, (du[:-1] - point * du[-1]) / whole[-1], (dv[:-1] - point * dv[-1]) / whole[-1]
+
+
+def nurbs_normal(degrees, knots, poles, weights, u: float, v: float) -> np.ndarray | None:
+    """Unit normal of a free surface; None where the derivatives are parallel."""
+    _, du, dv = nurbs_surface(degrees, knots, poles, weights, u, v)
+    normal = np.cross(du, dv)
+    size = float(np.linalg.norm(normal))
+    return normal / size if size > 0 else None
+
+
+def derivatives(curves_: DataFrame) -> DataFrame:
+    """Points and derivatives of curves (id, degree, knots, poles, weights, parameter)."""
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples():
+                weights = None if r.weights is None else np.array(r.weights, float)
+                point, change = nurbs_derivative(int(r.degree), r.knots, np.array([list(p) for p in r.poles], float), weights, r.parameter)
+                rows.append((r.id, r.parameter, *point, *change))
+            yield pd.DataFrame(rows, columns=["id", "parameter", "x", "y", "z", "dx", "dy", "dz"])
+
+    return curves_.mapInPandas(run, "id string, parameter double, x double, y double, z double, dx double, dy double, dz double")
+
+
 def adaptive(point, low: float, high: float, tolerance: float, most: int = 512) -> tuple[list[float], bool]:
     """Parameters whose chords stay within the tolerance of the curve's middle points.
 

@@ -16,6 +16,51 @@ def multiset(before: DataFrame, after: DataFrame, signature: list[str]) -> DataF
     )
 
 
+def exemplified(before: DataFrame, after: DataFrame, signature: list[str], order: list[str]) -> DataFrame:
+    """``multiset``, with the first row (by ``order``) of each signature as an exemplar struct: of the side that has it, the earlier version's first."""
+    sides = before.withColumn("_b", F.lit(1)).unionByName(after.withColumn("_b", F.lit(0)))
+    rows = sides.groupBy(*signature).agg(
+        F.sum("_b").alias("b"), F.sum(1 - F.col("_b")).alias("a"), F.min(F.when(F.col("_b") == 1, _first(before, signature, order))).alias("was"), F.min(F.when(F.col("_b") == 0, _first(before, signature, order))).alias("now")
+    )
+    return rows.select(
+        *signature, F.least("a", "b").alias("kept"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("removed"), F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("added"), F.coalesce("was", "now").alias("exemplar")
+    )
+
+
+def _first(df: DataFrame, signature: list[str], order: list[str]):
+    return F.struct(*order, *(c for c in df.columns if c not in (*signature, *order)))
+
+
+def counted(statuses: DataFrame) -> DataFrame:
+    """(status, n): how many keys of ``carriers`` were preserved, changed, removed and added."""
+    return statuses.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that stand more than once, which a keyed comparison doesn't allow."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, measure, n): sums of the counts of each part of a comparison, in one table.
+
+    Parts are results of ``multiset``, ``records``, ``exemplified`` (columns of
+    counts) or ``carriers`` (a column status).
+    """
+    measures = ("kept", "preserved", "changed", "removed", "added")
+    out = None
+    for name, df in parts.items():
+        if "status" in df.columns:
+            rows = df.groupBy(F.col("status").alias("measure")).agg(F.count("*").alias("n"))
+        else:
+            own = [m for m in measures if m in df.columns]
+            entries = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("n")) for m in own)))
+            rows = df.select(entries.alias("e")).groupBy(F.when(F.col("e.measure") == "kept", "preserved").otherwise(F.col("e.measure")).alias("measure")).agg(F.sum("e.n").alias("n"))
+        rows = rows.select(F.lit(name).alias("part"), "measure", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out.filter("n > 0")
+
+
 def records(before: DataFrame, after: DataFrame, key: list[str], content: str) -> DataFrame:
     """preserved, changed, removed and added rows.
 

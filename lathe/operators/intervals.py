@@ -1,10 +1,10 @@
 """Interval algebra on half-open ranges [start, end), by key.
 
 Union is gaps and islands: a row opens an island where it starts after every
-earlier end of its key; touching ranges merge. Rows of one key meet in one task;
-``union`` first merges inside hashed time slices when ``slice_width`` is given,
-so a key that holds a third of all rows is merged in pieces and only islands
-meet.
+earlier end of its key; touching ranges merge. The whole extent is cut into slices
+and ranges at their borders, so a key that holds a third of all rows is merged
+slice by slice; across slices only islands that touch a border meet, at most two
+for each slice.
 """
 
 from __future__ import annotations
@@ -21,13 +21,25 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def union(df: DataFrame, keys: list[str], slice_width: int | None = None) -> DataFrame:
-    """Disjoint, non-touching ranges that cover the same points; empty ranges vanish."""
+def union(df: DataFrame, keys: list[str], slices: int = 64) -> DataFrame:
+    """Disjoint, non-touching ranges that cover the same points; empty ranges vanish.
+
+    Slices need ends of an integral type; others are merged by key alone.
+    """
     rows = df.select(*keys, "start", "end").filter(F.col("end") > F.col("start"))
-    if slice_width:
-        sliced = rows.withColumn("slice", F.floor(F.col("start") / slice_width))
-        rows = _islands(sliced, [*keys, "slice"]).drop("slice")
-    return _islands(rows, keys)
+    if slices <= 1 or {rows.schema[c].dataType.typeName() for c in ("start", "end")} - {"byte", "short", "integer", "long"}:
+        return _islands(rows, keys)
+    extent = rows.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
+    if extent["low"] is None:
+        return rows
+    low, width = extent["low"], max(1, -(-(extent["high"] - extent["low"]) // slices))
+    number = F.explode(F.expr(f"sequence((start - {low}L) div {width}L, (end - 1 - {low}L) div {width}L)"))
+    begin = F.lit(low) + F.col("slice") * F.lit(width)
+    cut = rows.withColumn("slice", number).select(*keys, "slice", F.greatest("start", begin).alias("start"), F.least("end", begin + F.lit(width)).alias("end"))
+    merged = _islands(cut, [*keys, "slice"])
+    at_border = (F.col("start") == begin) | (F.col("end") == begin + F.lit(width))
+    whole = _islands(merged.filter(at_border).drop("slice"), keys)
+    return merged.filter(~at_border).drop("slice").unionByName(whole).select(*keys, *(F.col(c).cast(rows.schema[c].dataType).alias(c) for c in ("start", "end")))
 
 
 def complement(islands: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:

@@ -78,6 +78,19 @@ def quantities(triangles: DataFrame, vertices: DataFrame, feature_degrees: float
     return joined.select("mesh_id", F.coalesce("triangles", F.lit(0)).alias("triangles"), (F.col("stored") - F.coalesce("triangles", F.lit(0))).alias("rejected_triangles"), "area", F.when(whole, F.abs("signed_volume")).alias("volume"), whole.alias("is_closed"), "boundary_edges", "feature_edges")
 
 
+def masses(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Volume, area, centre of mass (null without volume) and bounds of each mesh, whether closed or not."""
+    rows = corners(triangles, vertices)
+    p = {c: [F.col(f"{c}{x}") for x in "xyz"] for c in "abc"}
+    six = dot(p["a"], cross(p["b"], p["c"]))
+    area = norm(cross(minus(p["b"], p["a"]), minus(p["c"], p["a"]))) / 2
+    moments = [F.sum(six / 6 * (p["a"][k] + p["b"][k] + p["c"][k]) / 4).alias(f"m{x}") for k, x in enumerate("xyz")]
+    sums = rows.groupBy("mesh_id").agg(F.count("*").alias("triangles"), F.sum(area).alias("area"), F.sum(six / 6).alias("signed"), *moments)
+    box = vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"), *(f(x).alias(f"{n}_{x}") for x in "xyz" for n, f in (("min", F.min), ("max", F.max))))
+    center = [F.when(F.abs("signed") > 1e-15, F.col(f"m{x}") / F.col("signed")).alias(f"center_{x}") for x in "xyz"]
+    return box.join(sums, "mesh_id").select("mesh_id", "vertices", "triangles", F.abs("signed").alias("volume"), "area", *center, *(f"{n}_{x}" for x in "xyz" for n in ("min", "max")))
+
+
 def welded(vertices: DataFrame) -> DataFrame:
     """Vertices with the first index of those at the same place (-0 is 0)."""
     zero = [(F.col(x) + F.lit(0.0)).alias(f"w{x}") for x in "xyz"]

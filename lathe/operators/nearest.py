@@ -54,3 +54,22 @@ def distribution(df: DataFrame, value: str, keys: list[str] | None = None) -> Da
 
 def fraction_within(df: DataFrame, value: str, limit: float, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg((F.col(value) <= limit).cast("double")).alias("fraction"), F.count(value).alias("n"))
+
+
+def index_quantile(df: DataFrame, value: str, fraction: float, keys: list[str]) -> DataFrame:
+    """The value at place floor(fraction * n) of the sorted values, from 0 and at most the last; values are counted first."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"upto": upto, "total": F.sum("n").over(w)})
+    place = F.least(F.col("total") - 1, F.floor(F.lit(fraction) * F.col("total")))
+    return placed.groupBy(*keys).agg(F.min(F.when(F.col("upto") > place, F.col("v"))).alias("quantile"))
+
+
+def sample(df: DataFrame, id_col: str, limit: int, seed: int, keys: list[str]) -> DataFrame:
+    """At most ``limit`` rows of each key: those with the smallest digests of seed and id, whatever the partitions."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    salted = df.withColumns({"_draw": draw, "_part": F.pmod(F.xxhash64(id_col), F.lit(64))})
+    for by in ([*keys, "_part"], keys):  # a key of very many rows is ranked in parts first
+        salted = salted.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_draw", id_col))).filter(F.col("_place") <= limit)
+    return salted.select(df.columns)

@@ -410,7 +410,6 @@ bounds AS (SELECT user_id, min(s) - 1000000 AS lower, max(e) + 1000000 AS upper
 near AS (SELECT user_id, lower, upper, "start", "end", lag("end") OVER w AS b, lead("start") OVER w AS a FROM bounds LEFT JOIN islands USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY "start")),
 gaps AS (SELECT * FROM (SELECT user_id, lower AS "start", coalesce("start", upper) AS "end" FROM near WHERE b IS NULL UNION ALL SELECT user_id, "end", coalesce(a, upper) FROM near) WHERE "end" > "start")
 """
-_DAY = 86_400_000_000
 
 
 def _spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -421,7 +420,7 @@ def _spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query(_ISLANDS + "SELECT * FROM islands")
 def range_union(spark, sf_dir):
-    return intervals.union(_spans(spark, sf_dir)[0], ["user_id"], slice_width=_DAY)
+    return intervals.union(_spans(spark, sf_dir)[0], ["user_id"])
 
 
 @query(_ISLANDS + "SELECT * FROM gaps")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe import engine
-from lathe.operators import mesh, topology
+from lathe.operators import conflicts, curves, delta, mesh, nearest, topology
 
 from .registry import query, table
 
@@ -77,6 +77,16 @@ def shared_normals(spark, sf_dir):
     return mesh.normals(triangles, vertices).select("mesh_id", "vertex", *((F.round(f"n{k}", 6) + 0.0).alias(f"n{k}") for k in "xyz"))
 
 
+@query(_MESHES + """SELECT v.mesh_id, CAST(v.n AS BIGINT) AS vertices, CAST(t.n AS BIGINT) AS triangles, round(abs(six) / 6, 4) AS volume, round(area, 4) AS area, CASE WHEN six <> 0 THEN round(mx / six, 3) + 0.0 END AS center_x, CASE WHEN six <> 0 THEN round(my / six, 3) + 0.0 END AS center_y, CASE WHEN six <> 0 THEN round(mz / six, 3) + 0.0 END AS center_z, low, high
+FROM (SELECT mesh_id, count(*) AS n, min(z) AS low, max(z) AS high FROM vertices GROUP BY mesh_id) v JOIN (SELECT f.mesh_id, count(*) AS n, sum(six) AS six, sum(sqrt(nx*nx+ny*ny+nz*nz)) / 2 AS area, sum(six * (a.x + b.x + c.x)) / 4 AS mx, sum(six * (a.y + b.y + c.y)) / 4 AS my, sum(six * (a.z + b.z + c.z)) / 4 AS mz
+  FROM f JOIN vertices a ON a.mesh_id = f.mesh_id AND a.vertex = f.a JOIN vertices b ON b.mesh_id = f.mesh_id AND b.vertex = f.b JOIN vertices c ON c.mesh_id = f.mesh_id AND c.vertex = f.c GROUP BY f.mesh_id) t USING (mesh_id)""")
+def mesh_masses(spark, sf_dir):
+    vertices, triangles = _meshes(spark, sf_dir)
+    out = mesh.masses(triangles, vertices)
+    center = [(F.round(f"center_{x}", 3) + 0.0).alias(f"center_{x}") for x in "xyz"]
+    return out.select("mesh_id", "vertices", "triangles", F.round("volume", 4).alias("volume"), F.round("area", 4).alias("area"), *center, F.col("min_z").alias("low"), F.col("max_z").alias("high"))
+
+
 # ---- topology: each supplier is a tetrahedron; some have an inner loop, some miss a face --------------------
 
 _FACES = ((0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3))
@@ -236,3 +246,65 @@ def container_probe(spark, sf_dir):
     return engine.probe(_containers(spark, sf_dir), "desktop").select(F.col("path").alias("doc_id"), "envelope", "status")
 
 
+
+
+# ---- curves, quantiles, samples, coverage and comparison reports ------------------------------
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, t AS parameter, round((1-t)*(1-t)*a + 2*t*(1-t)*b + t*t*c, 6) + 0.0 AS x, round(2*(1-t)*(b-a) + 2*t*(c-b), 6) + 0.0 AS dx, round(t, 6) + 0.0 AS y, 1.0::DOUBLE AS dy
+FROM (SELECT s_suppkey, s_suppkey % 7 AS a, s_suppkey % 11 AS b, s_suppkey % 5 AS c, CAST(s_suppkey % 4 AS DOUBLE) / 4 AS t FROM supplier)""")
+def curve_derivatives(spark, sf_dir):
+    """Quadratic curves with one span; rational and surface forms are tested against difference quotients."""
+    key = F.col("s_suppkey")
+    pole = lambda x, y: F.array(x.cast("double"), F.lit(float(y)), F.lit(0.0))
+    rows = table(spark, sf_dir, "supplier").select(
+        key.cast("string").alias("id"), F.lit(2).alias("degree"), F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0, 1.0, 1.0))).alias("knots"), F.array(pole(key % 7, 0), pole(key % 11, 0.5), pole(key % 5, 1)).alias("poles"),
+        F.lit(None).cast("array<double>").alias("weights"), ((key % 4).cast("double") / 4).alias("parameter"),
+    )
+    return curves.derivatives(rows).select("id", "parameter", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "dx", "y", "dy")))
+
+
+@query("""SELECT o_orderpriority, max(CASE WHEN k = least(n - 1, CAST(floor(0.98 * n) AS BIGINT)) THEN v END) AS quantile FROM (SELECT o_orderpriority, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY o_orderpriority""")
+def index_quantile(spark, sf_dir):
+    return nearest.index_quantile(table(spark, sf_dir, "orders"), "o_totalprice", 0.98, ["o_orderpriority"])
+
+
+@query("""SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || vec_id), vec_id) AS place FROM embeddings) WHERE place <= 12""")
+def seeded_sample(spark, sf_dir):
+    return nearest.sample(table(spark, sf_dir, "embeddings").select("label", "vec_id"), "vec_id", 12, 7, ["label"])
+
+
+@query("""SELECT lang, source, bool_and(n_chars IS NOT NULL) AND lang <> 'de' AS consistent FROM documents GROUP BY lang, source""")
+def coverage_consistency(spark, sf_dir):
+    """Totals of one language are overstated by a byte, which the check must tell."""
+    docs = table(spark, sf_dir, "documents")
+    state = F.element_at(F.array(*map(F.lit, conflicts.CLASSES)), (F.col("doc_id") % len(conflicts.CLASSES) + 1).cast("int"))
+    covered = conflicts.coverage(docs.withColumn("class", state), ["lang", "source"], "class", "n_chars")
+    totals = docs.groupBy("lang", "source").agg(F.count("*").alias("streams"), (F.sum("n_chars") + F.when(F.col("lang") == "de", 1).otherwise(0)).alias("bytes"))
+    return conflicts.consistent(covered, ["lang", "source"], totals)
+
+
+_VERSIONS = "a AS (SELECT lang, n_chars // 100 AS size_class, doc_id, md5(text) AS content FROM documents WHERE doc_id % 2 = 0), b AS (SELECT lang, n_chars // 100 AS size_class, doc_id, md5(text) AS content FROM documents WHERE doc_id % 2 = 1)"
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("lang", F.floor(F.col("n_chars") / 100).alias("size_class"), "doc_id", F.md5("text").alias("content"))
+    return docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+
+
+@query(f"""WITH {_VERSIONS} SELECT lang, size_class, CAST(least(x, y) AS BIGINT) AS kept, CAST(greatest(x - y, 0) AS BIGINT) AS removed, CAST(greatest(y - x, 0) AS BIGINT) AS added, coalesce(p, q) AS exemplar_id, coalesce(pc, qc) AS exemplar_content FROM (
+  SELECT lang, size_class, coalesce(x, 0) AS x, coalesce(y, 0) AS y, p, q, pc, qc FROM (SELECT lang, size_class, count(*) AS x, min(doc_id) AS p, arg_min(content, doc_id) AS pc FROM a GROUP BY ALL)
+  FULL JOIN (SELECT lang, size_class, count(*) AS y, min(doc_id) AS q, arg_min(content, doc_id) AS qc FROM b GROUP BY ALL) USING (lang, size_class))""")
+def exemplified_delta(spark, sf_dir):
+    out = delta.exemplified(*_versions(spark, sf_dir), ["lang", "size_class"], ["doc_id"])
+    return out.select("lang", "size_class", "kept", "removed", "added", F.col("exemplar.doc_id").alias("exemplar_id"), F.col("exemplar.content").alias("exemplar_content"))
+
+
+@query(f"""WITH {_VERSIONS}, s AS (SELECT lang, size_class, sum(x) AS x, sum(y) AS y FROM (SELECT lang, size_class, 1 AS x, 0 AS y FROM a UNION ALL SELECT lang, size_class, 0, 1 FROM b) GROUP BY ALL),
+c AS (SELECT CASE WHEN b.role IS NULL THEN 'removed' WHEN a.role IS NULL THEN 'added' WHEN a.role = b.role AND a.text = b.text THEN 'preserved' ELSE 'changed' END AS measure FROM (SELECT * FROM conversations WHERE conv_id % 2 = 0) a FULL JOIN (SELECT conv_id - 1 AS conv_id, turn, role, text FROM conversations WHERE conv_id % 2 = 1) b USING (conv_id, turn))
+SELECT 'sheets' AS part, measure, n FROM (SELECT 'preserved' AS measure, CAST(sum(least(x, y)) AS BIGINT) AS n FROM s UNION ALL SELECT 'removed', CAST(sum(greatest(x - y, 0)) AS BIGINT) FROM s UNION ALL SELECT 'added', CAST(sum(greatest(y - x, 0)) AS BIGINT) FROM s) WHERE n > 0
+UNION ALL SELECT 'views', measure, CAST(count(*) AS BIGINT) FROM c GROUP BY measure""")
+def comparison_report(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    views = delta.carriers(c.filter("conv_id % 2 = 0"), c.filter("conv_id % 2 = 1").withColumn("conv_id", F.col("conv_id") - 1), ["conv_id", "turn"], ["role", "text"])
+    return delta.report({"sheets": delta.multiset(*_versions(spark, sf_dir), ["lang", "size_class"]), "views": views})

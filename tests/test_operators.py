@@ -41,8 +41,8 @@ def test_values(spark):
 # ---- intervals -------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("width", [None, 7])
-def test_intervals_against_points(spark, width):
+@pytest.mark.parametrize("slices", [1, 3, 64])
+def test_intervals_against_points(spark, slices):
     rng = random.Random(3)
     spans = [(k, a, a + rng.randrange(0, 6)) for k in ("a", "b") for a in (rng.randrange(0, 60) for _ in range(14))]
     df, bounds = spark.createDataFrame(spans, "k string, start long, end long"), spark.createDataFrame([("a", 0, 70), ("b", 0, 70), ("c", 5, 9)], "k string, lower long, upper long")
@@ -56,7 +56,7 @@ def test_intervals_against_points(spark, width):
                 out.append([x, x + 1])
         return {tuple(r) for r in out}
 
-    union = intervals.union(df, ["k"], width)
+    union = intervals.union(df, ["k"], slices)
     got = {k: {(r["start"], r["end"]) for r in union.collect() if r["k"] == k} for k in "ab"}
     covered = {k: {x for n, a, b in spans if n == k for x in range(a, b)} for k in "abc"}
     assert got == {k: runs(covered[k]) for k in "ab"}
@@ -522,3 +522,23 @@ def test_binary_functions(spark):
     assert [x[0] for x in labels.select(binary.label_fault(F.col("l"))).collect()] == [None, "blank", "absolute", "absolute", "leaves_folder", "not_normal"]
     nested = spark.createDataFrame([], "a string, s struct<host_path:string,x:array<struct<absolute_path:int>>>")
     assert binary.path_fields(nested) == ["s.host_path", "s.x[].absolute_path"]
+
+
+def test_free_curves_and_surfaces_have_exact_derivatives():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    knots, surface_knots = [0, 0, 0, 0.4, 0.7, 1, 1, 1], ([0, 0, 0, 0.5, 1, 1, 1], [0, 0, 1, 2, 2])
+    poles, weights = rng.normal(size=(5, 3)), rng.uniform(0.5, 2, 5)
+    net, held = rng.normal(size=(4, 3, 3)), rng.uniform(0.5, 2, (4, 3))
+    step = 1e-6
+    for t in (0.1, 0.39, 0.55, 0.9):
+        point, change = curves.nurbs_derivative(2, knots, poles, weights, t)
+        at = lambda x: curves.nurbs_point(2, knots, poles, weights, x)
+        assert np.allclose(point, at(t)) and np.allclose(change, (at(t + step) - at(t - step)) / (2 * step), atol=1e-4)
+        u, v = t, 2 * t
+        on = lambda a, b: curves.nurbs_surface((2, 1), surface_knots, net, held, a, b)[0]
+        _, du, dv = curves.nurbs_surface((2, 1), surface_knots, net, held, u, v)
+        assert np.allclose(du, (on(u + step, v) - on(u - step, v)) / (2 * step), atol=1e-4) and np.allclose(dv, (on(u, v + step) - on(u, v - step)) / (2 * step), atol=1e-4)
+        normal = curves.nurbs_normal((2, 1), surface_knots, net, held, u, v)
+        assert abs(normal @ du) < 1e-9 and abs(normal @ dv) < 1e-9 and abs(np.linalg.norm(normal) - 1) < 1e-12
