@@ -110,7 +110,7 @@ def test_quality(docs):
     got = quality.assess(docs).collect()
     assert multiset((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == Counter((i, *plain_quality(t)) for i, t in rows_of(docs))
     assert not any(r["kept"] and r["base_failed"] for r in got)
-    for n in (3, 10):
+    for n in (5, 10):
         assert sorted(round(r[f"coverage_{n}"], 9) for r in got) == sorted(round(plain_coverage(t, n), 9) for _, t in rows_of(docs))
     kept = quality.passing(docs)
     assert kept.columns == docs.columns
