@@ -51,17 +51,17 @@ BROADCAST_SOURCES = 50_000
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, limit: int = LIMIT) -> dict[str | None, float]:
     """Target of each source: shares by weight of all sizes, none over ``limit`` times its own."""
     order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {name: weights[i % len(weights)] for i, (name, _) in enumerate(order)}
-    own, total = dict(order), sum(n for _, n in order)
-    out: dict[str | None, float] = {}
-    while True:
-        free = [name for name in own if name not in out]
-        rest = total - math.fsum(out.values())
-        share = {name: rest * weight[name] / sum(weight[x] for x in free) for name in free}
-        over = [name for name in free if share[name] > limit * own[name]]
-        if not over:
-            return out | share
-        out |= {name: float(limit * own[name]) for name in over}
+    weighed = [(limit * n / weights[i % len(weights)], name, n, weights[i % len(weights)]) for i, (name, n) in enumerate(order)]
+    weighed.sort(key=lambda w: w[0])
+    rest, weight, out = sum(n for _, n in order), sum(w[3] for w in weighed), {}
+    for cap, name, own, w in weighed:
+        # Sources by the level at which they are full: all that lie below the present level stop at their limit.
+        if rest > cap * weight:
+            out[name] = float(limit * own)
+            rest, weight = rest - limit * own, weight - w
+        else:
+            out[name] = rest * w / weight
+    return out
 
 
 def _hinted(table: DataFrame, rows: int) -> DataFrame:
