@@ -101,3 +101,9 @@ def chord_segments(radius: Column, sweep: Column, tolerance: float, most: int =
 
 def within(actual: Column, expected: Column, absolute: float, relative: float) -> Column:
     return F.abs(actual - expected) <= F.greatest(F.lit(absolute), F.lit(relative) * F.abs(expected))
+
+
+def vector_within(actual: Column, expected: Column, absolute: float) -> Column:
+    """No component is further off than ``absolute``; null if the lengths differ."""
+    apart = F.zip_with(actual, expected, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return F.when(F.size(actual) == F.size(expected), F.array_max(apart) <= absolute)

@@ -47,7 +47,7 @@ class Graph:
     roots: list[str] = field(default_factory=list)
 
     def edges_to(self, node: str) -> DataFrame:
-        return self.edges.filter(F.col("target_node_id") == node)
+        return resolve.edges_to(self.edges, F.col("target_node_id"), node)
 
     def referencing(self, node: str, kind: str | None = None) -> DataFrame:
         return resolve.referencing(self.edges, self.nodes, F.col("target_node_id") == node, kind)

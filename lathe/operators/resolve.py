@@ -160,6 +160,11 @@ def mismatched_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(target, "target_node_id").filter(F.col("expected_document_kind") != F.col("actual"))
 
 
+def edges_to(edges: DataFrame, target: Column, node) -> DataFrame:
+    """Edges whose target is the node; the predicate reaches the scan."""
+    return edges.filter(target == node)
+
+
 def referencing(edges: DataFrame, nodes: DataFrame, target: Column, kind: str | None = None) -> DataFrame:
     """Nodes with an edge to the target, once each, in order of their first edge."""
     chosen = edges.filter(target if kind is None else target & (F.col("kind") == kind))

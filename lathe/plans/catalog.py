@@ -36,12 +36,6 @@ def probe_envelope(spark, sf_dir):
     return probe.probe(begun("documents", "doc_id", "text").unionByName(begun("pages", "page_id", "html"))).select("source", "id", "status", "byte_len", "envelope")
 
 
-@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS byte_len, sha256(text) AS sha256 FROM documents")
-def inventory_entries(spark, sf_dir):
-    raw = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(raw).cast("bigint").alias("byte_len"), F.sha2(raw, 256).alias("sha256"))
-
-
 # The checksum's table of 256 entries, and one step for each byte.
 _CRC = """WITH RECURSIVE shifted AS (SELECT range AS b, range AS v, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM shifted WHERE k < 8),
 t AS (SELECT list(v ORDER BY b) AS t FROM shifted WHERE k = 8), h AS (SELECT page_id, hex(encode(url)) AS h FROM pages)
@@ -143,7 +137,7 @@ def kind_mismatch(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem WHERE l_partkey = 7")
 def edges_to(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").filter(F.col("l_partkey") == 7).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return resolve.edges_to(table(spark, sf_dir, "lineitem"), F.col("l_partkey"), 7).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
 
 
 @query("""
@@ -336,14 +330,15 @@ def ranked_name_merge(spark, sf_dir):
     return conflicts.ranked(rows, ["p_brand"], "name", "p", "p_partkey").select("p_brand", "name", "priority", "arrival", "place")
 
 
-_LENGTHS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in values.LENGTH_UNIT.items())
-_PAPERS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in values.PAPER_SIZE.items())
-
-
-@query(f"SELECT p_partkey, CASE p_size % 15 {_LENGTHS} END AS length_unit, CASE p_size % 20 {_PAPERS} END AS paper_size FROM part")
+@query("""SELECT p_partkey,
+  ['millimeter', 'centimeter', 'meter', 'inch', 'foot', 'feet_inches', 'angstrom', 'nanometer', 'micron', 'mil', 'microinch'][p_size % 15 + 1] AS length_unit,
+  ['a_size', 'a_size_vertical', 'b_size', 'c_size', 'd_size', 'e_size', 'a4', 'a4_vertical', 'a3', 'a2', 'a1', 'a0', 'user_defined'][p_size % 20 + 1] AS paper_size,
+  ['cgs', 'mks', 'ips', 'mmgs', 'custom'][nullif(p_size % 7, 0)] AS unit_system, ['degrees', 'degrees_minutes', 'degrees_minutes_seconds', 'radians'][p_size % 6 + 1] AS angle_unit, ['milligram', 'gram', 'kilogram', 'pound'][p_size % 5 + 1] AS mass_unit,
+  ['cubic_angstrom', 'cubic_nanometer', 'cubic_micron', 'cubic_millimeter', 'cubic_centimeter', 'cubic_meter', 'cubic_microinch', 'cubic_mil', 'cubic_inch', 'cubic_foot'][p_size % 12 + 1] AS volume_unit FROM part""")
 def unit_enum_join(spark, sf_dir):
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", values.enum_name(size % 15, values.LENGTH_UNIT).alias("length_unit"), values.paper_size(size % 20).alias("paper_size"))
+    tables = {"length_unit": (15, values.LENGTH_UNIT), "unit_system": (7, values.UNIT_SYSTEM), "angle_unit": (6, values.ANGLE_UNIT), "mass_unit": (5, values.MASS_UNIT), "volume_unit": (12, values.VOLUME_UNIT)}
+    return table(spark, sf_dir, "part").select("p_partkey", values.paper_size(size % 20).alias("paper_size"), *(values.enum_name(size % n, names).alias(c) for c, (n, names) in tables.items()))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 10 THEN true WHEN l_quantity < 20 THEN false WHEN l_quantity < 30 THEN NULL ELSE l_returnflag = 'A' END AS flag FROM lineitem""")
@@ -353,12 +348,12 @@ def tristate_bool(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", values.tristate(spelled).alias("flag"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3 WHEN p_size % 3 = 1 THEN NULL END AS n_tokens, p_size % 3 = 0 AS usable FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3 END AS n_tokens, p_size % 3 = 0 AS usable, CASE WHEN p_size % 3 = 0 THEN '1.5 ' || p_size || ' -2e3' END AS tokens FROM part")
 def token_records(spark, sf_dir):
     k = F.col("p_size") % 3
     text = F.when(k == 0, F.concat(F.lit(" 1.5\t"), F.col("p_size").cast("string"), F.lit("  -2e3 "))).when(k == 1, "1 2 x").otherwise("1 2")
     found = values.tokens(text, 3)
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(found.isNotNull(), F.size(found)).alias("n_tokens"), found.isNotNull().alias("usable"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(found.isNotNull(), F.size(found)).alias("n_tokens"), found.isNotNull().alias("usable"), F.array_join(found, " ").alias("tokens"))
 
 
 _CLASSED = "SELECT d.doc_id, source, n_chars, CASE WHEN quality IS NULL THEN 'uninterpreted' WHEN toxic = 1 THEN 'malformed' WHEN quality = 1 THEN 'fully' ELSE 'partially' END AS class FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
@@ -564,17 +559,6 @@ def packed_offsets(spark, sf_dir):
 # ---- evaluation, topology, geometry ---------------------------------------------------
 
 
-@query("SELECT l_suppkey AS body, CAST(count(*) AS BIGINT) AS edges, bool_and(l_discount < 0.1) AS exact, bool_or(l_tax > 0.07) AS any_reported, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_suppkey")
-def bounds_exact(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("body")).agg(F.count("*").alias("edges"), F.bool_and(F.col("l_discount") < 0.1).alias("exact"), F.bool_or(F.col("l_tax") > 0.07).alias("any_reported"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
-
-
-@query("SELECT " + ", ".join(f"CAST(count(*) FILTER (event_type = '{t}') AS BIGINT) AS {t}_edges" for t in ("view", "click", "error", "purchase", "signup")) + ", CAST(count(*) AS BIGINT) AS edges FROM events")
-def eval_summary(spark, sf_dir):
-    kinds = ("view", "click", "error", "purchase", "signup")
-    return table(spark, sf_dir, "events").agg(*(F.count_if(F.col("event_type") == t).alias(f"{t}_edges") for t in kinds), F.count("*").alias("edges"))
-
-
 @query("""SELECT 1 AS doc_id, 'lineitem' AS "table", CAST(l_orderkey AS VARCHAR) AS id, 'l_partkey' AS "column", 'part' AS parent, CAST(l_partkey AS VARCHAR) AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 45)
 UNION ALL SELECT 1, 'orders', CAST(o_orderkey AS VARCHAR), 'o_custkey', 'customer', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def topology_fk_errors(spark, sf_dir):
@@ -630,12 +614,11 @@ def tolerance_compare(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.within(F.col("p_retailprice"), expected, 0.05, 0.001).alias("within"))
 
 
-@query("SELECT a.vec_id, list_max(list_transform(list_zip(a.embedding[1:3], b.embedding[1:3]), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) <= 0.25 AS within FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("SELECT a.vec_id, list_max(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) <= 0.25 AS within FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_compare(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    apart = F.array_max(F.zip_with(F.slice("embedding", 1, 3), F.slice("other", 1, 3), lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
-    return e.join(nxt, "vec_id").select("vec_id", (apart <= 0.25).alias("within"))
+    return e.join(nxt, "vec_id").select("vec_id", values.vector_within(F.col("embedding"), F.col("other"), 0.25).alias("within"))
 
 
 @query("""WITH s AS (SELECT vec_id, embedding FROM embeddings WHERE label < 3), p AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE label >= 3),

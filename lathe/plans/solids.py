@@ -187,6 +187,12 @@ def evaluation_bounds(spark, sf_dir):
     return out.select("doc_id", *(F.round(f"{end}_{x}", 6).alias(f"{end}_{x}") for x in "xyz" for end in ("min", "max")))
 
 
+@query(f"""SELECT doc_id, 'b' || p_size % 2 AS body, CAST(min(CASE kind WHEN 0 THEN 1 WHEN 4 THEN 1 - p_size ELSE 0 END) AS DOUBLE) AS min_x, CAST(max(CASE kind WHEN 0 THEN 1 + p_size WHEN 4 THEN 1 + p_size ELSE p_size END) AS DOUBLE) AS max_x FROM ({_EDGE_ROWS}) WHERE kind IN (0, 1, 4) GROUP BY ALL""")
+def body_bounds(spark, sf_dir):
+    out = _evaluated(spark, sf_dir)["body_bounds"]
+    return out.select("doc_id", "body", *(F.round(f"{end}_x", 6).alias(f"{end}_x") for end in ("min", "max")))
+
+
 # ---- containers written from the tables and read back ---------------------------------------
 
 
