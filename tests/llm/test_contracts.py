@@ -256,6 +256,15 @@ def test_matrix_margins_and_law():
     rng = np.random.default_rng(0)
     draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
     assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
+    want = [math.comb(30, k) * math.comb(70, 20 - k) / math.comb(100, 20) for k in range(21)]
+    got = Counter(sharding.hypergeometric(rng, 30, 70, 20) for _ in range(20_000))
+    assert all(abs(got[k] / 20_000 - p) < 5 * math.sqrt(p / 20_000) + 1e-4 for k, p in enumerate(want))
+    # An urn of 10 ** 13 rows: mean and deviation of the law.
+    n, share = 10**8, 1 / 24
+    draws = [sharding.hypergeometric(rng, 10**13 // 24, 10**13 - 10**13 // 24, n) for _ in range(400)]
+    assert abs(np.mean(draws) - n * share) < 5 * math.sqrt(n * share * (1 - share) / 400) and 0.85 < np.std(draws) / math.sqrt(n * share * (1 - share)) < 1.15
+    for good, bad, k in ((0, 5, 3), (5, 0, 3), (4, 4, 8), (1, 0, 0)):
+        assert sharding.hypergeometric(rng, good, bad, k) == (good if k == good + bad else k if not bad else 0)
 
 
 def test_mixing(docs):
