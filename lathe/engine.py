@@ -61,6 +61,16 @@ def extract(documents: DataFrame, entry_id: str, decoded: bool = True, profile:
     return files.extract(files.entries(documents, limits=PROFILES[profile], wanted=[entry_id]), entry_id, decoded)
 
 
+def extract_resource(documents: DataFrame, entry_id: str, path: str, offset: int, length: int, sha256: str, profile: str = "service") -> DataFrame:
+    """A range of an entry, given only if path, range and digest all hold."""
+    return files.extract_resource(files.entries(documents, limits=PROFILES[profile], wanted=[entry_id]), entry_id, path, offset, length, sha256)
+
+
+def packed_buffers(faces: DataFrame) -> DataFrame:
+    """Faces of ``display_mesh`` as little-endian buffers."""
+    return display.packed(faces)
+
+
 def parse(documents: DataFrame, profile: str = "service", strict: bool = False, embedded: bool = False) -> Parsed:
     """Containers are read once; every fact table comes from the one table of entries. ``embedded``: documents inside documents too."""
     limits = PROFILES[profile]

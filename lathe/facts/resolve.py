@@ -189,3 +189,20 @@ def extension_mismatches(kinds: DataFrame, path: str = "doc_id") -> DataFrame:
 
     hint = kind_hint(F.col(path))
     return kinds.filter(hint.isNotNull() & F.col("document_kind").isNotNull() & (hint != F.col("document_kind"))).select("doc_id", hint.alias("announced"), "document_kind")
+
+
+def drawing_coverage(records: DataFrame, sheets: DataFrame, views: DataFrame, carriers: DataFrame) -> DataFrame:
+    """Counts of each document's drawing records: all, by class, sheets and views with and without an owner, distinct byte ranges, and streams that may hold more.
+
+    records: doc_id, stream_path, class, decoded_offset, byte_len. carriers: doc_id, decoded_size.
+    """
+    by_class = records.groupBy("doc_id", "class").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("classes"))
+    ranges = records.groupBy("doc_id").agg(
+        F.count("*").alias("records"), F.count_if(F.col("class") == "sheet").alias("sheet_records"), F.count_if(F.col("class") == "view").alias("view_records"),
+        F.count_distinct(F.struct("stream_path", "decoded_offset", "byte_len")).alias("distinct_ranges"),
+    )
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    held = carriers.groupBy("doc_id").agg(F.count("*").alias("candidate_streams"), F.sum("decoded_size").alias("candidate_bytes"))
+    out = ranges.join(by_class, "doc_id", "left").join(count(sheets, "sheets"), "doc_id", "left").join(count(views, "views"), "doc_id", "left").join(held, "doc_id", "left")
+    filled = out.fillna(0, ["sheets", "views", "candidate_streams", "candidate_bytes"])
+    return filled.withColumn("unassigned_views", F.greatest(F.col("view_records") - F.col("views"), F.lit(0)))

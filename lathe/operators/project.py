@@ -49,6 +49,14 @@ class Graph:
     def edges_to(self, node: str) -> DataFrame:
         return resolve.edges_to(self.edges, F.col("target_node_id"), node)
 
+    def node_by_path(self, path: str) -> DataFrame:
+        """The node of that label; no row if there is none."""
+        return self.nodes.filter(F.col("path") == path).orderBy("id").limit(1)
+
+    def ordered(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges by id."""
+        return self.nodes.orderBy("id"), self.edges.orderBy("id")
+
     def referencing(self, node: str, kind: str | None = None) -> DataFrame:
         return resolve.referencing(self.edges, self.nodes, F.col("target_node_id") == node, kind)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: child table, column, parent table.
@@ -63,3 +63,8 @@ def instance_owner(instances: DataFrame) -> DataFrame:
     """Each instance with the first that holds the tables of its id."""
     first = F.min(F.when(F.col("owns_tables"), F.col("ordinal"))).over(Window.partitionBy("doc_id", "id"))
     return instances.withColumn("owner", first)
+
+
+def boundary_role(stored: Column, derived: Column) -> Column:
+    """A loop's stored role, else the derived one, else ``unspecified``."""
+    return F.coalesce(F.nullif(stored, F.lit("unspecified")), derived, stored)

@@ -314,3 +314,35 @@ def comparison_report(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     views = delta.carriers(c.filter("conv_id % 2 = 0"), c.filter("conv_id % 2 = 1").withColumn("conv_id", F.col("conv_id") - 1), ["conv_id", "turn"], ["role", "text"])
     return delta.report({"sheets": delta.multiset(*_versions(spark, sf_dir), ["lang", "size_class"]), "views": views})
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN ['', 'outer', 'inner'][s_suppkey % 3 + 1] WHEN s_suppkey % 2 = 0 THEN 'inner' ELSE 'unspecified' END AS role FROM supplier""")
+def boundary_roles(spark, sf_dir):
+    key = F.col("s_suppkey")
+    stored = F.when(key % 3 == 0, "unspecified").when(key % 3 == 1, "outer").otherwise("inner")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", topology.boundary_role(stored, F.when(key % 2 == 0, "inner")).alias("role"))
+
+
+@query("""SELECT lang AS doc_id, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (doc_id % 4 = 0) AS BIGINT) AS sheet_records, CAST(count(*) FILTER (doc_id % 4 = 1) AS BIGINT) AS view_records,
+  CAST(count(DISTINCT (source, n_chars // 50, n_chars % 3)) AS BIGINT) AS distinct_ranges, CAST(count(*) FILTER (doc_id % 8 = 0) AS BIGINT) AS sheets, CAST(count(*) FILTER (doc_id % 8 = 1) AS BIGINT) AS views,
+  CAST(count(*) FILTER (doc_id % 5 = 0) AS BIGINT) AS candidate_streams, CAST(coalesce(sum(n_chars) FILTER (doc_id % 5 = 0), 0) AS BIGINT) AS candidate_bytes, CAST(count(*) FILTER (doc_id % 4 = 1) - count(*) FILTER (doc_id % 8 = 1) AS BIGINT) AS unassigned_views,
+  CAST(count(*) FILTER (doc_id % 4 = 2) AS BIGINT) AS notes FROM documents GROUP BY lang""")
+def drawing_coverage(spark, sf_dir):
+    from lathe.facts import resolve
+
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("sheet", "view", "note", "other"))), (key % 4 + 1).cast("int"))
+    rows = d.select(F.col("lang").alias("doc_id"), F.col("source").alias("stream_path"), kind.alias("class"), F.floor(F.col("n_chars") / 50).alias("decoded_offset"), (F.col("n_chars") % 3).alias("byte_len"))
+    own = F.col("lang").alias("doc_id")
+    out = resolve.drawing_coverage(rows, d.filter(key % 8 == 0).select(own), d.filter(key % 8 == 1).select(own), d.filter(key % 5 == 0).select(own, F.col("n_chars").alias("decoded_size")))
+    return out.withColumn("notes", F.coalesce(F.col("classes")["note"], F.lit(0))).drop("classes")
+
+
+@query("""SELECT page_id % 50 AS doc_id, bool_or(page_id % 7 = 0 OR page_id % 11 = 3 OR page_id % 13 = 5) AS is_candidate FROM pages GROUP BY page_id % 50""")
+def legacy_candidates(spark, sf_dir):
+    from lathe.sources import probe
+
+    key = F.col("page_id")
+    path = F.when(key % 7 == 0, "/a/_MO_VERSION_12000/b").when(key % 11 == 3, "/").when(key % 13 == 5, "/Contents/CMgr").when(key % 2 == 0, F.col("url")).otherwise(F.lit(None))
+    entries = table(spark, sf_dir, "pages").select((key % 50).alias("doc_id"), path.alias("path"), F.when(key % 11 == 3, F.create_map(F.lit("clsid"), F.lit(probe.ROOT_CLASSES[1]))).alias("attributes"))
+    return probe.legacy_candidates(entries)

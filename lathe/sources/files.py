@@ -72,6 +72,11 @@ def inventory(scanned: DataFrame) -> DataFrame:
     return scanned.filter("entry_id IS NOT NULL").drop("diagnostics", "unexplained")
 
 
+def in_source_order(entries_: DataFrame) -> DataFrame:
+    """Entries of each document by their place in the file, those without one last."""
+    return entries_.orderBy("doc_id", F.asc_nulls_last("source_offset"), "entry_id")
+
+
 def diagnostics(scanned: DataFrame) -> DataFrame:
     return scanned.filter("entry_id IS NULL").select("doc_id", F.explode("diagnostics").alias("d")).select("doc_id", "d.*")
 
@@ -126,6 +131,8 @@ def write_json(df: DataFrame, path: str, force: bool = False) -> None:
 def write_bytes(df: DataFrame, path: str, force: bool = False) -> None:
     """The one extracted row to one new file, through the store's own file system."""
     row = df.first()
+    if row is None:
+        raise LookupError("there is no such entry")
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

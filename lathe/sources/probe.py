@@ -11,6 +11,9 @@ ZIPS = ("504B0304", "504B0506", "504B0708")
 CHUNK = "140006000800"
 WINDOW = 64
 SUFFIXES = {"sldprt": "part", "sldasm": "assembly", "slddrw": "drawing"}
+# Identifiers of root storages (part, assembly), and streams that only such documents hold.
+ROOT_CLASSES = ("83a33d30-27c5-11ce-bfd4-00400513bb57", "83a33d36-27c5-11ce-bfd4-00400513bb57")
+APPLICATION_STREAMS = ("/ISolidWorksInformation", "/Contents/CMgr", "/Contents/CMgrHdr2")
 # --------------------------------------------------------------------------------
 
 
@@ -63,3 +66,11 @@ def stream_family(path: Column) -> Column:
         .when(leaf.startswith("DisplayList"), "display_cache")
         .otherwise("other")
     )
+
+
+def legacy_candidates(entries: DataFrame) -> DataFrame:
+    """(doc_id, is_candidate): does any entry (path, attributes) of a compound document show that it is one of ours?"""
+    path = F.coalesce("path", F.lit(""))
+    versioned = F.exists(F.split(path, "/"), lambda c: c.startswith("_MO_VERSION_") | c.startswith("_DL_VERSION_"))
+    root = (path == "/") & F.coalesce(F.element_at("attributes", "clsid").isin(*ROOT_CLASSES), F.lit(False))
+    return entries.groupBy("doc_id").agg(F.bool_or(versioned | root | path.isin(*APPLICATION_STREAMS)).alias("is_candidate"))
