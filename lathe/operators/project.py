@@ -90,7 +90,7 @@ def stored_references(facts) -> DataFrame:
     """All references of all documents in the order in which a walk meets them (``reference_id`` from 1 for each document)."""
     parts = [
         facts["components"].select(
-            "doc_id", F.lit("assembly_component").alias("kind"), "configuration_index", F.lit(2).alias("rank"), F.lit(None).cast("string").alias("sheet"), "ordinal", F.col("instance_name").alias("source_name"), "stored_path", "document_kind",
+            "doc_id", F.lit("assembly_component").alias("kind"), "configuration_index", F.lit(2).alias("rank"), F.lit(None).cast("int").alias("sheet"), "ordinal", F.col("instance_name").alias("source_name"), "stored_path", "document_kind",
             "referenced_configuration", "is_suppressed", "is_hidden", "exclude_from_bom", "is_virtual", "instance_number",
         ),
         facts["external_references"].select("doc_id", "kind", F.lit(0).alias("rank"), "ordinal", "stored_path", "document_kind"),

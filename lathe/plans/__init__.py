@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this registers all of them."""
 
-from . import catalog, resolution, solids  # noqa: F401
+from . import catalog, resolution, solids, written  # noqa: F401
