@@ -7,11 +7,13 @@ BANDS keys of ROWS minima each miss a pair at 0.8 with a chance of 3 in 10**6
 (1 - 0.8 ** 5 to the power of 32), and less above. This chance is the one thing
 that the stage leaves out; every proposed pair is checked on its shingle sets.
 
-Scale: texts move only for rows that share a key. First each row is compared
-with the smallest row that it shares a key with, which joins most copies at the
-cost of one comparison a row; then all pairs of a bucket that are still apart
-are compared, in buckets above SMALL a growing number of hubs at a time, and a
-bucket is done when all its rows are joined. A hub's partners are salted.
+Scale: first each row is compared with the smallest row that it shares a key
+with, which joins most copies at the cost of one comparison a row. Then all pairs
+of a bucket that are still apart are compared by their minima, in numpy over a
+sorted stream, so pairs that merely share a passage never become rows; in buckets
+above SMALL a growing number of hubs at a time, and a bucket is done when all its
+rows are joined. Texts move only for pairs with enough equal minima. A bucket's
+rows, and a hub's partners, are salted.
 
 Defined cases: texts of fewer than five words have one shingle, texts without
 words none and no near copies here.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, tidied
+from .common import buffer_of, cut, lean, tidied
 from .simhash import SEED, components, shingle_hashes
 
 SIMILARITY = 0.8
@@ -34,6 +36,11 @@ BANDS = 32
 ROWS = 5
 SMALL = 32
 SALTS = 64
+#: Of BANDS * ROWS minima, each equal with a chance of the similarity, so many at least agree: 0.55 for 0.8, eight deviations below.
+LEAST_EQUAL = 88
+#: Bytes of minima that are compared at once, and rows of a bucket for each salt.
+COMPARED = 16 << 20
+ROWS_PER_SALT = 1024
 #: Shingles that meet all minima at once, so that memory doesn't grow with the text.
 BLOCK = 2048
 
@@ -51,11 +58,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def keys(own: np.ndarray) -> list[int]:
-    """A signed 64-bit number for each band."""
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least product with each factor."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
     for at in range(0, len(own), BLOCK):
         np.minimum(least, (own[at : at + BLOCK, None] * _FACTORS).min(axis=0), out=least)
+    return least
+
+
+def keys(least: np.ndarray) -> list[int]:
+    """A signed 64-bit number for each band."""
     raw = least.astype("<u8").tobytes()
     size = 8 * ROWS
     out = np.array([xxhash.xxh64_intdigest(raw[b * size : (b + 1) * size], SEED + b) for b in range(BANDS)], np.uint64)
@@ -66,8 +78,43 @@ def keys(own: np.ndarray) -> list[int]:
 def _keys(batches):
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        found = [keys(s) if len(s) else [] for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["row", "n", "keys"])
+        least = [minima(s) if len(s) else None for s in sets]
+        found = [[] if x is None else keys(x) for x in least]
+        prints = [bytes(len(_FACTORS)) if x is None else (x & np.uint64(255)).astype(np.uint8).tobytes() for x in least]
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "keys", "print"])
+
+
+@tidied
+def _likely(batches):
+    """Stream of bucket rows (key, salt, role, at, row, c, n, print), hubs (role 0) first, to pairs (a, b) that may be near copies: apart so far, of like size, and with enough equal minima."""
+    held, hubs = None, None
+    for batch in batches:
+        key, salt, role, at, row, c, n = (batch.column(i).to_numpy() for i in range(7))
+        prints = buffer_of(batch.column(7))[0].reshape(-1, len(_FACTORS))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])) if len(key) else []
+        pairs = [[], []]
+        for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+            if (own := (int(key[a]), int(salt[a]))) != held:
+                held, hubs = own, None
+            middle = a + int(np.searchsorted(role[a:b], 1))
+            if middle > a:
+                new = [x[a:middle].copy() for x in (at, row, c, n, prints)]
+                hubs = new if hubs is None else [np.concatenate(x) for x in zip(hubs, new, strict=True)]
+            if hubs is None:
+                continue
+            step = max(1, COMPARED // (len(hubs[0]) * len(_FACTORS)))
+            for low in range(middle, b, step):
+                part = slice(low, min(b, low + step))
+                small, large = np.minimum(hubs[3], n[part, None]), np.maximum(hubs[3], n[part, None])
+                fits = (hubs[0] < at[part, None]) & (hubs[2] != c[part, None]) & (small >= (SIMILARITY - 1e-9) * large)
+                if not fits.any():
+                    continue
+                equal = (hubs[4][None] == prints[part][:, None]).sum(axis=2)
+                i, j = np.nonzero(fits & (equal >= LEAST_EQUAL))
+                pairs[0].append(hubs[1][j])
+                pairs[1].append(row[part][i])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)) for p in pairs], names=["a", "b"])
 
 
 @tidied
@@ -103,14 +150,9 @@ def _joined(place: DataFrame, links: DataFrame) -> DataFrame:
     return cut(place.join(roots.withColumnRenamed("node", "c"), "c", "left").select("row", F.coalesce("root", "c").alias("c")), "near-place", narrow=True)
 
 
-def _alike(n: str, m: str) -> F.Column:
-    """Sizes of sets that can reach the similarity; a little below, for rounding."""
-    return F.least(n, m) >= (SIMILARITY - 1e-9) * F.greatest(n, m)
-
-
 def merged(texts: DataFrame, place: DataFrame) -> DataFrame:
     """(row, c): the components of ``place`` (row, c), joined where texts (row, text) are near copies."""
-    found = cut(lean(texts).mapInArrow(_keys, "row long, n long, keys array<long>"), "near-keys")
+    found = cut(lean(texts).mapInArrow(_keys, "row long, n long, keys array<long>, print binary"), "near-keys")
     bucket = Window.partitionBy("key")
     sized = found.select("row", "n", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
     buckets = cut(sized.withColumns({"at": F.row_number().over(bucket.orderBy("row")), "least": F.min("row").over(bucket)}), "near-buckets", narrow=True)
@@ -132,7 +174,13 @@ def merged(texts: DataFrame, place: DataFrame) -> DataFrame:
         live = cut(live.join(apart, "key", "left_semi"), "near-live", narrow=True)
         if live.isEmpty():
             return place
-        head = live.filter((F.col("at") <= done + hubs) | (F.col("size") <= SMALL)).select("key", F.col("at").alias("i"), F.col("row").alias("a"), F.col("c").alias("ca"), F.col("n").alias("m"))
-        pairs = head.join(live, "key").filter((F.col("i") < F.col("at")) & (F.col("ca") != F.col("c")) & _alike("n", "m")).select("a", F.col("row").alias("b")).distinct()
+        salts = F.greatest(F.lit(1), F.least(F.lit(SALTS), F.floor(F.col("size") / ROWS_PER_SALT))).cast("int")
+        mine = F.struct(F.lit(1).alias("role"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
+        as_hub = F.transform(F.sequence(F.lit(0), salts - 1), lambda x: F.struct(F.lit(0).alias("role"), x.alias("salt")))
+        is_hub = (F.col("at") <= done + hubs) | (F.col("size") <= SMALL)
+        entries = F.explode(F.when(is_hub, F.concat(F.array(mine), as_hub)).otherwise(F.array(mine)))
+        stream = live.join(found.select("row", "print"), "row").select("key", entries.alias("e"), "at", "row", "c", "n", "print")
+        stream = stream.select("key", "e.salt", "e.role", F.col("at").cast("long").alias("at"), "row", "c", "n", "print").repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+        pairs = lean(stream).mapInArrow(_likely, "a long, b long").distinct()
         place = _joined(place, cut(checked(own, cut(pairs, "near-pairs", narrow=True)), "near-links", narrow=True))
         done, hubs = done + hubs, hubs * 4
