@@ -56,6 +56,11 @@ def first_labels(by_key: DataFrame, most: int) -> DataFrame:
     return salted.groupBy("step", "key").agg(F.array_sort(F.collect_list("label")).alias("labels"))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is never broadcast: several keys for each row of a compressed file are many times what the planner takes their size for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def cascade(references: DataFrame, id_col: str, keys: dict[int, Column], by_key: DataFrame, blank: Column, most: int = 1024) -> DataFrame:
     """id, status, step, candidate_count, candidates (the first ``most``), resolved for each reference.
 
@@ -65,16 +70,16 @@ def cascade(references: DataFrame, id_col: str, keys: dict[int, Column], by_key:
     every = references.select(F.col(id_col).alias("id"), is_blank.alias("blank"))
     asked = _keyed(references.filter(~is_blank), keys, F.col(id_col).alias("id"))
     counts = by_key.groupBy("step", "key").agg(F.count("*").alias("found"), F.min("label").alias("first"))
-    hits = asked.join(counts, ["step", "key"])
+    hits = _shuffled(asked, counts, ["step", "key"])
     steps = sorted(keys)
     sums = hits.groupBy("id").agg(F.min(F.struct("step", "first")).alias("best"), *(F.sum(F.when(F.col("step") == s, F.col("found"))).alias(f"found_{s}") for s in steps))
     decided = sums.select("id", F.col("best.step").alias("step"), F.col("best.first").alias("first"), F.coalesce(*(f"found_{s}" for s in steps)).alias("found"))
     # Lists travel only to references with several candidates.
-    unsure = asked.join(decided.filter("found > 1").select("id", "step"), ["id", "step"])
+    unsure = _shuffled(asked, decided.filter("found > 1").select("id", "step"), ["id", "step"])
     named = unsure.select("step", "key").distinct()
-    firsts = first_labels(by_key.join(named, ["step", "key"], "left_semi"), most)
-    lists = unsure.join(firsts, ["step", "key"]).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("labels"))), 1, most).alias("labels"))
-    out = every.join(decided, "id", "left").join(lists, "id", "left")
+    firsts = first_labels(_shuffled(by_key, named, ["step", "key"], "left_semi"), most)
+    lists = _shuffled(unsure, firsts, ["step", "key"]).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("labels"))), 1, most).alias("labels"))
+    out = _shuffled(_shuffled(every, decided, "id", "left"), lists, "id", "left")
     status = F.when(F.col("blank"), "no_stored_path").when(F.col("found").isNull(), "missing").when(F.col("found") == 1, "resolved").otherwise("ambiguous")
     return out.select(
         F.col("id").alias(id_col), status.alias("status"), "step", F.coalesce("found", F.lit(0)).alias("candidate_count"),
