@@ -40,7 +40,7 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir, name):
     assert got[0] == got[1]
 
 
-@pytest.mark.parametrize("name", ["candidate_truncation", "resolve_cascade"])
+@pytest.mark.parametrize("name", ["candidate_truncation", "resolve_cascade", "resolve_status_counts"])
 def test_cascade_is_never_broadcast(spark, sf_dir, name):
     """A small compressed file has many times its size in keys, more than a driver can send."""
     df = catalog.QUERIES[name](spark, sf_dir)
