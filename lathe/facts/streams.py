@@ -13,7 +13,7 @@ import hashlib
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,25 +195,56 @@ def _names(columns: str) -> list[str]:
     return out
 
 
+#: Rows of facts that a task holds before it hands them on: a batch of streams has thousands of times as many.
+ROWS_HELD = 4096
+
+
+def _arrow(schema: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    return to_arrow_type(StructType.fromDDL(schema))
+
+
+def _structs(found: list[tuple], kind: pa.DataType) -> pa.StructArray:
+    """Rows as one Arrow column."""
+    plain = lambda f, column: [None if x is None else list(x.items()) for x in column] if pa.types.is_map(f.type) else list(column)
+    columns = zip(*found, strict=True) if found else [()] * kind.num_fields
+    return pa.StructArray.from_arrays([pa.array(plain(f, c), f.type) for f, c in zip(kind, columns, strict=True)], fields=list(kind))
+
+
+def _parsed(batch: pa.RecordBatch, limits: Limits):
+    """(doc, entry, path, data, root or fault) of each stream of a batch, one at a time."""
+    for doc, entry, path, data in zip(*(batch.column(n) for n in ("doc_id", "entry_id", "path", "decoded")), strict=True):
+        raw = data.as_py()
+        try:
+            root = parse(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
+        except XmlFault as fault:
+            root = fault
+        yield doc.as_py(), entry.as_py(), path.as_py(), raw, root
+
+
 def rows(streams: DataFrame, table: str, limits: Limits = SERVICE) -> DataFrame:
     """Rows of one table from the streams that it reads; streams that cannot be parsed give none (see ``tables``)."""
     pattern, columns, reader = TABLES[table]
-    names = ["doc_id", "stream_path", *_names(columns)]
-    whole = [c.strip().split()[0] for c in columns.replace("<", " <").split(",") if c.strip().split()[-1] in ("int", "long")]
+    schema = f"doc_id string, stream_path string, {columns}"
+    kind = _arrow(schema)
 
     def run(batches):
-        for frame in batches:
+        for batch in batches:
             out = []
-            for doc, entry, path, data in zip(frame["doc_id"], frame["entry_id"], frame["path"], frame["decoded"], strict=True):
-                try:
-                    root = parse(bytes(data), limits.xml_bytes, limits.xml_nodes, limits.depth)
-                except XmlFault:
+            for doc, entry, path, raw, root in _parsed(batch, limits):
+                if isinstance(root, XmlFault):
                     continue
-                out += [(doc, path, *row) for row in reader(root, path, entry, bytes(data))]
-            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(whole, "Int64"))
+                for row in reader(root, path, entry, raw):
+                    out.append((doc, path, *row))
+                    if len(out) >= ROWS_HELD:
+                        yield pa.RecordBatch.from_struct_array(_structs(out, kind))
+                        out = []
+            yield pa.RecordBatch.from_struct_array(_structs(out, kind))
 
     chosen = streams.filter(F.col("path").rlike(pattern) & F.col("decoded").isNotNull()).select("doc_id", "entry_id", "path", "decoded")
-    return chosen.mapInPandas(run, f"doc_id string, stream_path string, {columns}")
+    return chosen.mapInArrow(run, schema)
 
 
 def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]:
@@ -223,28 +254,43 @@ def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]
     a table is then a filter and one column of that.
     """
     patterns = {name: re.compile(pattern) for name, (pattern, _, _) in TABLES.items()}
-    names = {name: _names(columns) for name, (_, columns, _) in TABLES.items()}
-    order = ["tag", "doc_id", "stream_path", "code", *TABLES]
-    blank = dict.fromkeys(order)
+    head = "tag string, doc_id string, stream_path string, code string"
+    schema = f"{head}, " + ", ".join(f"{name} struct<{_struct(columns)}>" for name, (_, columns, _) in TABLES.items())
+    kind = _arrow(schema)
+
+    def whole(held: dict[str, list]) -> pa.RecordBatch:
+        """The held rows, table by table: a table's own column has values at its rows only."""
+        n, at, columns = sum(map(len, held.values())), 0, []
+        tags = [(name, doc, path, code) for name, found in held.items() for doc, path, code, _ in found]
+        columns += [pa.array([t[i] for t in tags], pa.string()) for i in range(4)]
+        for name, found in held.items():
+            own = kind.field(name).type if name in TABLES else None
+            if own is not None:
+                columns.append(pa.concat_arrays([pa.nulls(at, own), _structs([row for *_, row in found], own), pa.nulls(n - at - len(found), own)]))
+            at += len(found)
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(kind)))
 
     def run(batches):
-        for frame in batches:
-            out = []
-            for doc, entry, path, data in zip(frame["doc_id"], frame["entry_id"], frame["path"], frame["decoded"], strict=True):
-                raw = bytes(data)
-                try:
-                    root = parse(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
-                except XmlFault as fault:
-                    out.append(blank | {"tag": "faults", "doc_id": doc, "stream_path": path, "code": str(fault)})
+        empty = lambda: {name: [] for name in (*TABLES, "faults")}
+        for batch in batches:
+            held, n = empty(), 0
+            for doc, entry, path, raw, root in _parsed(batch, limits):
+                if isinstance(root, XmlFault):
+                    held["faults"].append((doc, path, str(root), None))
+                    n += 1
                     continue
                 for name, (_, _, reader) in TABLES.items():
                     if patterns[name].search(path):
-                        out += [blank | {"tag": name, "doc_id": doc, "stream_path": path, name: dict(zip(names[name], row, strict=True))} for row in reader(root, path, entry, raw)]
-            yield pd.DataFrame(out, columns=order, dtype=object)
+                        for row in reader(root, path, entry, raw):
+                            held[name].append((doc, path, None, row))
+                            n += 1
+                            if n >= ROWS_HELD:
+                                yield whole(held)
+                                held, n = empty(), 0
+            yield whole(held)
 
     chosen = streams.filter(F.col("path").rlike("|".join(p for p, _, _ in TABLES.values())) & F.col("decoded").isNotNull()).select("doc_id", "entry_id", "path", "decoded")
-    schema = "tag string, doc_id string, stream_path string, code string, " + ", ".join(f"{name} struct<{_struct(columns)}>" for name, (_, columns, _) in TABLES.items())
-    tagged = cut(chosen.mapInPandas(run, schema))
+    tagged = cut(chosen.mapInArrow(run, schema))
     found = {name: tagged.filter(F.col("tag") == name).select("doc_id", "stream_path", f"{name}.*") for name in TABLES}
     return found | {"faults": tagged.filter("tag = 'faults'").select("doc_id", "stream_path", "code")}
 

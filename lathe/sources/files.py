@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,18 +54,23 @@ def entries(files: DataFrame, doc_id: str = "path", content: str = "content", li
     def keep(path, entry_id):
         return any(p.search(path or "") or p.fullmatch(entry_id) for p in patterns)
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ENTRY_SCHEMA))
+
     def run(batches):
-        for frame in batches:
-            for name, data in zip(frame["doc_id"], frame["content"], strict=True):
-                scan = containers.scan_bytes(bytes(data or b""), limits, keep if patterns else None)
-                about = {"doc_id": name, "format_version": scan.version}
+        for batch in batches:
+            for name, data in zip(batch.column("doc_id"), batch.column("content"), strict=True):
+                scan = containers.scan_bytes(data.as_py() or b"", limits, keep if patterns else None)
+                about = {"doc_id": name.as_py(), "format_version": scan.version}
                 extra = {"diagnostics": [{"code": c, "severity": s, "offset": o} for c, s, o in scan.notes], "unexplained": [{"start": a, "end": b} for a, b in scan.unexplained()]}
-                rows = [about | e | {"diagnostics": [], "unexplained": []} for e in scan.entries]
+                rows = [about | e | {"attributes": list(e["attributes"].items()), "diagnostics": [], "unexplained": []} for e in scan.entries]
                 # What concerns the file as a whole stands on a row of its own, without an entry.
                 rows.append(about | dict.fromkeys(_COLUMNS[1:19]) | extra)
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int64" for c in ("source_offset", "source_length", "payload_offset", "payload_length", "stored_size", "decoded_size", "expected_crc32", "format_version")})
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, ENTRY_SCHEMA)
+    return files.select(F.col(doc_id).alias("doc_id"), F.col(content).cast("binary").alias("content")).mapInArrow(run, ENTRY_SCHEMA)
 
 
 def inventory(scanned: DataFrame) -> DataFrame:

@@ -542,3 +542,38 @@ def test_free_curves_and_surfaces_have_exact_derivatives():
         assert np.allclose(du, (on(u + step, v) - on(u - step, v)) / (2 * step), atol=1e-4) and np.allclose(dv, (on(u, v + step) - on(u, v - step)) / (2 * step), atol=1e-4)
         normal = curves.nurbs_normal((2, 1), surface_knots, net, held, u, v)
         assert abs(normal @ du) < 1e-9 and abs(normal @ dv) < 1e-9 and abs(np.linalg.norm(normal) - 1) < 1e-12
+
+
+def test_parsing_holds_few_rows(spark, monkeypatch):
+    """Rows of facts leave the task in small batches, however many streams came in one."""
+    from lathe.facts import streams
+    from lathe.sources.limits import DESKTOP
+
+    xml = b'<swDoc><swHeader>%s</swHeader></swDoc>' % b"".join(b'<swFile id="%d" swPath="a > b" swDocType="PART"/>' % i for i in range(300))
+    given = spark.createDataFrame([(f"d{i}", "e", streams.TREE, xml) for i in range(40)] + [("bad", "e", streams.TREE, b"<a")], "doc_id string, entry_id string, path string, decoded binary").coalesce(1)
+    whole = type(given).mapInArrow
+    sizes = spark.sparkContext.accumulator(0)
+    most = 2 * streams.ROWS_HELD
+
+    def watched(self, run, schema):
+        def counted(batches):
+            for batch in run(batches):
+                sizes.add(int(batch.num_rows > most))
+                yield batch
+
+        return whole(self, counted, schema)
+
+    monkeypatch.setattr(type(given), "mapInArrow", watched)
+    found = streams.tables(given, DESKTOP)
+    assert found["header_files"].count() == 12_000 and found["header_files"].filter("stored_path = 'a > b'").count() == 12_000
+    assert [r["code"] for r in found["faults"].collect()] == ["xml_malformed"]
+    assert streams.rows(given, "header_files", DESKTOP).count() == 12_000
+    assert sizes.value == 0
+
+
+def test_ends_of_tags():
+    from lathe.facts import xmltree
+
+    assert xmltree._tag_end(b"""x<a b="1>2" c='"' d="'>">t</a>""", 1) == 24
+    with pytest.raises(xmltree.XmlFault):
+        xmltree._tag_end(b'<a b="1>', 0)
