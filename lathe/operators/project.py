@@ -21,7 +21,7 @@ from lathe.sources.files import SUFFIXES
 from lathe.sources.limits import SERVICE, Limits
 
 from . import graph, resolve
-from .numbering import cut
+from .numbering import cut, number
 
 
 @dataclass(frozen=True)
@@ -118,10 +118,13 @@ def resolved(files: DataFrame, references: DataFrame, options: ProjectOptions, l
     keys, file_keys = resolve.path_steps(
         F.col("stored_path"), host, [options.project_root], list(options.search_directories), list(options.windows_prefix_mappings), F.col("is_virtual"), F.col("doc_id")
     )
+    # Keys are computed once: the cascade reads them several times.
+    keyed = cut(keyed.withColumns({f"_key{step}": key for step, key in keys.items()}))
+    keys = {step: F.col(f"_key{step}") for step in keys}
     found = resolve.cascade(keyed, "ref", keys, resolve.keyed_files(files, file_keys), F.coalesce(F.trim("stored_path"), F.lit("")) == "", limits.candidates)
     named = found.select("ref", F.col("status").alias("resolution_status"), resolve.basis(F.col("step")).alias("resolution_basis"), "candidate_count", F.col("candidates").alias("candidate_paths"), F.col("resolved").alias("resolved_path"))
     targets = files.select(F.col("label").alias("resolved_path"), F.col("doc_id").alias("target"))
-    return keyed.join(named, "ref").join(targets, "resolved_path", "left").drop("ref")
+    return keyed.join(named.hint("merge"), "ref").join(targets.hint("merge"), "resolved_path", "left").drop("ref", *(f"_key{step}" for step in keys))
 
 
 def _diagnostic(rows: DataFrame, code: Column | str, severity: str, source: str, *detail: Column) -> DataFrame:
@@ -145,8 +148,8 @@ def scan(facts, documents: DataFrame, options: ProjectOptions, roots: list[str]
     too_many = held.count() > limits.files
     references = cut(_requested(resolved(files, stored_references(facts), options, limits), facts["configurations"]))
     if roots is None:
-        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")).cast("long")  # at most ``limits.files`` rows
-        starts = held.orderBy("label").limit(limits.files).select(F.lit("project").alias("project"), F.col("doc_id").alias("node"), order.alias("root_order"))
+        placed = number(held.select("doc_id", "label"), ["label"], "root_order").filter(F.col("root_order") < limits.files)
+        starts = placed.select(F.lit("project").alias("project"), F.col("doc_id").alias("node"), "root_order")
     else:
         starts = spark.createDataFrame([("project", r, i) for i, r in enumerate(roots)], "project string, node string, root_order long")
     if options.configuration is not None and roots is not None:
@@ -154,7 +157,7 @@ def scan(facts, documents: DataFrame, options: ProjectOptions, roots: list[str]
     links = references.select(F.lit("project").alias("project"), F.col("doc_id").alias("source"), "reference_id", F.col("configuration_index").cast("long").alias("configuration"), "target", "requested", F.coalesce("is_suppressed", F.lit(False)).alias("is_suppressed"))
     walked = cut(graph.label(links, starts, options.follow_suppressed, limits.reference_depth, limits.edges))
     label_of = files.select("doc_id", "label")
-    met = walked.filter("edge_id IS NOT NULL").join(references.withColumnRenamed("doc_id", "source").drop("target", "requested"), ["source", "reference_id"])
+    met = walked.filter("edge_id IS NOT NULL").join(references.withColumnRenamed("doc_id", "source").drop("target", "requested").hint("merge"), ["source", "reference_id"])
     met = met.join(label_of.select(F.col("doc_id").alias("source"), F.col("label").alias("source_node_id")), "source").join(label_of.select(F.col("doc_id").alias("target"), F.col("label").alias("target_node_id")), "target", "left")
     place = F.row_number().over(Window.partitionBy("source", "configuration_index").orderBy("edge_id")) - 1
     edges = cut(met.select(

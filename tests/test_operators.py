@@ -577,3 +577,66 @@ def test_ends_of_tags():
     assert xmltree._tag_end(b"""x<a b="1>2" c='"' d="'>">t</a>""", 1) == 24
     with pytest.raises(xmltree.XmlFault):
         xmltree._tag_end(b'<a b="1>', 0)
+
+
+def _plain_walk(edges, roots, depth_cap):
+    """The walk edge by edge, as it is defined: (source, reference_id, depth, label) in order."""
+    out, loaded, seen = [], set(), set()
+
+    def due(node, requested):
+        loaded.add(node)
+        own = [e for e in edges if e[0] == node]
+        chosen = [c for c in [None, *sorted({e[2] for e in own if e[2] is not None})] if (c is None or requested is None or c in requested) and (node, c) not in seen]
+        seen.update((node, c) for c in chosen)
+        return [e for c in chosen for e in sorted((e for e in own if e[2] == c), key=lambda e: e[1])]
+
+    def visit(node, take, path):
+        for source, ref, _, target, requested, suppressed in take:
+            depth = len(path) - 1
+            label = "unresolved" if target is None else "suppressed" if suppressed else "cycle" if target in path else "depth_limited" if depth >= depth_cap else "reused" if target in loaded else "followed"
+            out.append((source, ref, depth, label))
+            if label in ("followed", "reused"):
+                visit(target, due(target, requested), [*path, target])
+
+    for root in roots:
+        visit(root, due(root, None), [root])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_labels_equal_a_plain_walk(spark, seed):
+    """Leaves, cycles, configurations, roots without edges, depth and edge caps."""
+    rng = random.Random(seed)
+    nodes = [f"n{i:02d}" for i in range(24)]
+    edges = []
+    for node in nodes[:12]:
+        for ref in range(1, rng.randint(2, 9)):
+            edges.append((node, ref, rng.choice([None, 0, 1]), rng.choice([*nodes, None]), rng.choice([None, [0], [1], []]), rng.random() < 0.2))
+    roots = rng.sample(nodes, 8)
+    e = spark.createDataFrame([("p", *x) for x in edges], "project string, source string, reference_id long, configuration long, target string, requested array<long>, is_suppressed boolean")
+    r = spark.createDataFrame([("p", n, i) for i, n in enumerate(roots)], "project string, node string, root_order long")
+    want = _plain_walk(edges, roots, 2)
+    got = [(x["source"], x["reference_id"], x["depth"], x["traversal_status"]) for x in graph.label(e, r, depth_cap=2).orderBy("edge_id").collect()]
+    assert got == want and len(want) > 5
+    capped = graph.label(e, r, depth_cap=2, edge_cap=5).orderBy("edge_id").collect()
+    assert [(x["source"], x["reference_id"]) for x in capped] == [w[:2] for w in want[:5]] and {x["rejected"] for x in capped} == {True}
+
+
+def test_one_task_walks_only_nodes_with_edges(spark, monkeypatch):
+    """Edges that lead no further never meet in the walk's task."""
+    e = spark.createDataFrame([("p", "top", i, 0, f"leaf{i % 7}", None, False) for i in range(1, 501)], "project string, source string, reference_id long, configuration long, target string, requested array<long>, is_suppressed boolean")
+    r = spark.createDataFrame([("p", "top", 0)], "project string, node string, root_order long")
+    met, walk = spark.sparkContext.accumulator(0), graph._walk
+
+    def counted(*options):
+        run = walk(*options)
+
+        def inner(frame):
+            met.add(len(frame))
+            return run(frame)
+
+        return inner
+
+    monkeypatch.setattr(graph, "_walk", counted)
+    assert graph.label(e, r).groupBy("traversal_status").count().count() == 2
+    assert met.value <= 4
