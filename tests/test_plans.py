@@ -46,3 +46,15 @@ def test_cascade_is_never_broadcast(spark, sf_dir, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     df.collect()
     assert "BroadcastExchange" not in plan(df)
+
+
+def test_scanned_project_is_whole(spark, sf_dir, monkeypatch):
+    """The question is about all rows: a profile's caps on edges and files don't cut it."""
+    from dataclasses import replace
+
+    from lathe.sources import limits
+
+    from .compare import differences
+
+    monkeypatch.setattr(limits, "DESKTOP", replace(limits.DESKTOP, edges=50, files=20))
+    assert differences(catalog.QUERIES["scanned_report"](spark, sf_dir), sf_dir, catalog.SQL["scanned_report"]) == ""
