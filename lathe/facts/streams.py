@@ -2,7 +2,8 @@
 
 ``rows(streams, table)`` takes streams (doc_id, entry_id, path, decoded), lets
 only those through whose path the table reads, and parses them in Arrow batches;
-``tables(streams)`` gives all tables from one pass.
+``tables(streams)`` gives all tables from one pass, ``read_tables(documents, only)``
+some of them without the bytes of streams on disk.
 Rows stay close to the source; joining, ranking and settling conflicts is done
 on the tables (``facts.resolve``).
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.operators.numbering import cut
+from lathe.sources import containers
 from lathe.sources.limits import SERVICE, Limits
 
 from .xmltree import Node, XmlFault, parse
@@ -213,15 +215,18 @@ def _structs(found: list[tuple], kind: pa.DataType) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(plain(f, c), f.type) for f, c in zip(kind, columns, strict=True)], fields=list(kind))
 
 
+def _tree(raw: bytes, limits: Limits) -> Node | XmlFault:
+    try:
+        return parse(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
+    except XmlFault as fault:
+        return fault
+
+
 def _parsed(batch: pa.RecordBatch, limits: Limits):
     """(doc, entry, path, data, root or fault) of each stream of a batch, one at a time."""
     for doc, entry, path, data in zip(*(batch.column(n) for n in ("doc_id", "entry_id", "path", "decoded")), strict=True):
         raw = data.as_py()
-        try:
-            root = parse(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
-        except XmlFault as fault:
-            root = fault
-        yield doc.as_py(), entry.as_py(), path.as_py(), raw, root
+        yield doc.as_py(), entry.as_py(), path.as_py(), raw, _tree(raw, limits)
 
 
 def rows(streams: DataFrame, table: str, limits: Limits = SERVICE) -> DataFrame:
@@ -247,15 +252,16 @@ def rows(streams: DataFrame, table: str, limits: Limits = SERVICE) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]:
-    """All tables and ``faults``, from one pass in which each stream is parsed once.
+def _tagged(only: list[str], found, limits: Limits):
+    """(schema, task function) of rows tagged by table, each in its table's own struct column.
 
-    The pass writes rows tagged by table, each in its table's own struct column;
-    a table is then a filter and one column of that.
+    ``found(batch)`` gives (doc_id, entry_id, path, content, tree or fault) of each
+    stream, one at a time, and (doc_id, code) for a row of tag ``files``. Documents
+    of many rows, and batches of many documents, are handed on in parts.
     """
-    patterns = {name: re.compile(pattern) for name, (pattern, _, _) in TABLES.items()}
+    patterns = {name: re.compile(TABLES[name][0]) for name in only}
     head = "tag string, doc_id string, stream_path string, code string"
-    schema = f"{head}, " + ", ".join(f"{name} struct<{_struct(columns)}>" for name, (_, columns, _) in TABLES.items())
+    schema = ", ".join([head, *(f"{name} struct<{_struct(TABLES[name][1])}>" for name in only)])
     kind = _arrow(schema)
 
     def whole(held: dict[str, list]) -> pa.RecordBatch:
@@ -264,24 +270,29 @@ def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]
         tags = [(name, doc, path, code) for name, found in held.items() for doc, path, code, _ in found]
         columns += [pa.array([t[i] for t in tags], pa.string()) for i in range(4)]
         for name, found in held.items():
-            own = kind.field(name).type if name in TABLES else None
+            own = kind.field(name).type if name in patterns else None
             if own is not None:
                 columns.append(pa.concat_arrays([pa.nulls(at, own), _structs([row for *_, row in found], own), pa.nulls(n - at - len(found), own)]))
             at += len(found)
         return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(kind)))
 
     def run(batches):
-        empty = lambda: {name: [] for name in (*TABLES, "faults")}
+        empty = lambda: {name: [] for name in (*only, "faults", "files")}
         for batch in batches:
             held, n = empty(), 0
-            for doc, entry, path, raw, root in _parsed(batch, limits):
+            for doc, *stream in found(batch):
+                if len(stream) == 1:
+                    held["files"].append((doc, None, stream[0], None))
+                    n += 1
+                    continue
+                entry, path, raw, root = stream
                 if isinstance(root, XmlFault):
                     held["faults"].append((doc, path, str(root), None))
                     n += 1
                     continue
-                for name, (_, _, reader) in TABLES.items():
+                for name in only:
                     if patterns[name].search(path):
-                        for row in reader(root, path, entry, raw):
+                        for row in TABLES[name][2](root, path, entry, raw):
                             held[name].append((doc, path, None, row))
                             n += 1
                             if n >= ROWS_HELD:
@@ -289,10 +300,48 @@ def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]
                                 held, n = empty(), 0
             yield whole(held)
 
+    return schema, run
+
+
+def _by_tag(tagged: DataFrame, only: list[str]) -> dict[str, DataFrame]:
+    """Each table, ``faults`` and ``files``: a filter and one column of the tagged rows."""
+    found = {name: tagged.filter(F.col("tag") == name).select("doc_id", "stream_path", f"{name}.*") for name in only}
+    return found | {"faults": tagged.filter("tag = 'faults'").select("doc_id", "stream_path", "code"), "files": tagged.filter("tag = 'files'").select("doc_id", "code")}
+
+
+def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]:
+    """All tables and ``faults``, from one pass in which each stream is parsed once."""
+    schema, run = _tagged([*TABLES], lambda batch: _parsed(batch, limits), limits)
     chosen = streams.filter(F.col("path").rlike("|".join(p for p, _, _ in TABLES.values())) & F.col("decoded").isNotNull()).select("doc_id", "entry_id", "path", "decoded")
-    tagged = cut(chosen.mapInArrow(run, schema))
-    found = {name: tagged.filter(F.col("tag") == name).select("doc_id", "stream_path", f"{name}.*") for name in TABLES}
-    return found | {"faults": tagged.filter("tag = 'faults'").select("doc_id", "stream_path", "code")}
+    found = _by_tag(cut(chosen.mapInArrow(run, schema)), [*TABLES])
+    return {name: df for name, df in found.items() if name != "files"}
+
+
+def read_tables(documents: DataFrame, only: list[str], kept: list[str], limits: Limits = SERVICE, faults: bool = True) -> dict[str, DataFrame]:
+    """The tables ``only`` of documents (path, content), and ``faults`` and ``files``, from one pass.
+
+    Containers and streams are read in the same task, one document at a time: the
+    bytes of streams are neither written nor sent. ``files`` has a row for each
+    document; its code holds E if the container has an error and R if any stream is
+    decoded whose path is in ``kept``. Without ``faults`` only streams that the
+    tables read are parsed.
+    """
+    chosen = re.compile("|".join(p for p, _, _ in (TABLES.values() if faults else (TABLES[name] for name in only))))
+    patterns = [re.compile(p) for p in kept]
+    wanted = lambda path, entry: any(p.search(path or "") or p.fullmatch(entry) for p in patterns)
+
+    def found(batch):
+        for name, data in zip(batch.column("doc_id"), batch.column("content"), strict=True):
+            doc, scan = name.as_py(), containers.scan_bytes(data.as_py() or b"", limits, wanted)
+            read = [e for e in scan.entries if e["decoded"] is not None]
+            yield doc, "E" * any(severity == "error" for _, severity, _ in scan.notes) + "R" * bool(read)
+            for e in read:
+                if chosen.search(e["path"] or ""):
+                    yield doc, e["entry_id"], e["path"], e["decoded"], _tree(e["decoded"], limits)
+
+    schema, run = _tagged(only, found, limits)
+    given = documents.select(F.col("path").alias("doc_id"), F.col("content").cast("binary").alias("content"))
+    return _by_tag(cut(given.mapInArrow(run, schema)), only)
 
 
 def _struct(columns: str) -> str:

@@ -24,6 +24,10 @@ from . import graph, resolve
 from .numbering import cut, number
 
 
+#: What a scan needs of parsed documents.
+FACTS = ("components", "external_references", "view_references", "configurations", "document_kinds", "parse_status")
+
+
 @dataclass(frozen=True)
 class ProjectOptions:
     """Folders are host paths; mappings are (stored prefix, target folder)."""
