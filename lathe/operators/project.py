@@ -117,18 +117,22 @@ def _requested(references: DataFrame, configurations: DataFrame) -> DataFrame:
 
 def resolved(files: DataFrame, references: DataFrame, options: ProjectOptions, limits: Limits = SERVICE) -> DataFrame:
     """References with resolution_status, resolution_basis, candidate_count, candidate_paths and target (a doc_id)."""
+    # What decides is the stored path, the folder of the outermost document and, for virtual components, the document: each such question is asked once.
     host = F.regexp_extract("doc_id", "^([^#]*)", 1)
-    keyed = references.withColumn("ref", F.concat_ws("\x1f", "doc_id", F.col("reference_id").cast("string")))
+    own = {"_home": paths.folder(paths.host(host)), "_holder": F.when(F.col("is_virtual"), F.col("doc_id")), "_stored": F.col("stored_path")}
+    keyed = cut(references.withColumns({name: F.coalesce(value, F.lit("")) for name, value in own.items()}))
     keys, file_keys = resolve.path_steps(
-        F.col("stored_path"), host, [options.project_root], list(options.search_directories), list(options.windows_prefix_mappings), F.col("is_virtual"), F.col("doc_id")
+        F.col("_stored"), F.concat(F.lit("/"), "_home", F.lit("/_")), [options.project_root], list(options.search_directories), list(options.windows_prefix_mappings), F.col("_holder") != "", F.col("_holder")
     )
+    ref = F.concat_ws("\x1f", F.length("_home").cast("string"), F.length("_holder").cast("string"), *own)
     # Keys are computed once: the cascade reads them several times.
-    keyed = cut(keyed.withColumns({f"_key{step}": key for step, key in keys.items()}))
+    asked = cut(keyed.select(*own).distinct().withColumns({"ref": ref} | {f"_key{step}": key for step, key in keys.items()}))
     keys = {step: F.col(f"_key{step}") for step in keys}
-    found = resolve.cascade(keyed, "ref", keys, resolve.keyed_files(files, file_keys), F.coalesce(F.trim("stored_path"), F.lit("")) == "", limits.candidates)
+    found = resolve.cascade(asked, "ref", keys, resolve.keyed_files(files, file_keys), F.trim("_stored") == "", limits.candidates)
     named = found.select("ref", F.col("status").alias("resolution_status"), resolve.basis(F.col("step")).alias("resolution_basis"), "candidate_count", F.col("candidates").alias("candidate_paths"), F.col("resolved").alias("resolved_path"))
     targets = files.select(F.col("label").alias("resolved_path"), F.col("doc_id").alias("target"))
-    return keyed.join(named.hint("merge"), "ref").join(targets.hint("merge"), "resolved_path", "left").drop("ref", *(f"_key{step}" for step in keys))
+    answers = asked.select("ref", *own).join(named.hint("merge"), "ref").join(targets.hint("merge"), "resolved_path", "left").drop("ref")
+    return keyed.join(answers.hint("merge"), [*own]).drop(*own)
 
 
 def _diagnostic(rows: DataFrame, code: Column | str, severity: str, source: str, *detail: Column) -> DataFrame:

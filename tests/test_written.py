@@ -40,3 +40,24 @@ def test_streams_are_not_written(spark, sf_dir, name):
     left = set(glob.glob(f"{folder}/*")) - before
     assert len(left) == 1
     assert not {"stored", "decoded", "drawing_records"} & {*spark.read.parquet(*left).columns}
+
+
+def test_equal_references_are_resolved_once(spark, monkeypatch):
+    """A part that many assemblies of a folder use is one question; a virtual component is one for each document."""
+    from lathe.operators import project, resolve
+
+    files = spark.createDataFrame([("file:/p/a.sldprt", "a.sldprt", None, None, "file:/p/a.sldprt"), (None, "t1.sldasm#v", "file:/p/t1.sldasm", "v", "file:/p/t1.sldasm#v")], "host_path string, label string, container string, embedded_name string, doc_id string")
+    rows = [(f"file:/p/t{n}.sldasm", k, path, virtual) for n in range(3) for k, (path, virtual) in enumerate([("a.sldprt", False), ("a.sldprt", None), ("v.sldprt", True), ("", False), (None, None)], 1)]
+    rows.append(("file:/q/t.sldasm", 1, "a.sldprt", False))
+    references = spark.createDataFrame(rows, "doc_id string, reference_id long, stored_path string, is_virtual boolean")
+    asked, cascade = [], resolve.cascade
+    monkeypatch.setattr(resolve, "cascade", lambda given, *more: asked.append(given.count()) or cascade(given, *more))
+    out = project.resolved(files, references, project.ProjectOptions("/p")).collect()
+    got = {(r["doc_id"][6:], r["reference_id"]): (r["resolution_status"], r["resolution_basis"], r["target"]) for r in out}
+    found, blank = ("resolved", "document_relative", "file:/p/a.sldprt"), ("no_stored_path", None, None)
+    assert len(out) == len(got) == len(rows)
+    for n in range(3):
+        inner = ("resolved", "embedded_virtual_component", "file:/p/t1.sldasm#v") if n == 1 else ("missing", None, None)
+        assert [got[f"p/t{n}.sldasm", k] for k in range(1, 6)] == [found, found, inner, blank, blank]
+    assert got["q/t.sldasm", 1] == ("resolved", "project_root_relative", "file:/p/a.sldprt")
+    assert asked == [6]
