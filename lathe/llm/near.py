@@ -41,6 +41,8 @@ LEAST_EQUAL = 88
 #: Bytes of minima that are compared at once, and rows of a bucket for each salt.
 COMPARED = 16 << 20
 ROWS_PER_SALT = 1024
+#: Of two texts that may be near copies, the logarithms of the numbers of shingles differ by less; so their bins by one at most.
+LENGTH_STEP = float(np.log(1 / SIMILARITY)) + 1e-6
 #: Shingles that meet all minima at once, so that memory doesn't grow with the text.
 BLOCK = 2048
 
@@ -170,8 +172,12 @@ def merged(texts: DataFrame, place: DataFrame) -> DataFrame:
         live = buckets.filter((F.col("at") > done) & (F.col("size") > done + 1)).join(place, "row")
         if done:
             live = live.filter(F.col("size") > SMALL)
-        apart = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        live = cut(live.join(apart, "key", "left_semi"), "near-live", narrow=True)
+        # Rows stay that have a row of another component and of like size in their bucket.
+        live = live.withColumn("bin", F.floor(F.log("n") / LENGTH_STEP))
+        ends = live.groupBy("key", "bin").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        beside = Window.partitionBy("key").orderBy("bin").rangeBetween(-1, 1)
+        apart = ends.select("key", "bin", F.min("lo").over(beside).alias("lo"), F.max("hi").over(beside).alias("hi")).filter("lo <> hi").select("key", "bin")
+        live = cut(live.join(apart, ["key", "bin"], "left_semi"), "near-live", narrow=True)
         if live.isEmpty():
             return place
         salts = F.greatest(F.lit(1), F.least(F.lit(SALTS), F.floor(F.col("size") / ROWS_PER_SALT))).cast("int")

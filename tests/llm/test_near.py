@@ -62,3 +62,22 @@ def test_stage_keeps_no_near_copies(spark, sf_dir):
         other[i] = f"other{i}"
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:150]))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == [1, 3]
+
+
+def test_rows_without_a_partner_of_like_size_rest(spark, monkeypatch):
+    """A large group and a text that shares keys with it, too short to be a near copy: nothing is left to compare."""
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join([*words[:k], "odd", *words[k + 1 :]]) for k in range(0, 200, 5)] + [" ".join(words[:300]), " ".join(words[200:])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    left, cut = [], near.cut
+
+    def counted(df, name, **more):
+        out = cut(df, name, **more)
+        if name == "near-live":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "cut", counted)
+    got = dict(near.merged(rows, rows.select("row", rows["row"].alias("c"))).collect())
+    assert len({got[i] for i in range(40)}) == 1 and len(set(got.values())) == 3
+    assert left == [0]
