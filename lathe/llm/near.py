@@ -8,12 +8,13 @@ BANDS keys of ROWS minima each miss a pair at 0.8 with a chance of 3 in 10**6
 that the stage leaves out; every proposed pair is checked on its shingle sets.
 
 Scale: first each row is compared with the smallest row that it shares a key
-with, which joins most copies at the cost of one comparison a row. Then all pairs
-of a bucket that are still apart are compared by their minima, in numpy over a
-sorted stream, so pairs that merely share a passage never become rows; in buckets
-above SMALL a growing number of hubs at a time, and a bucket is done when all its
-rows are joined. Texts move only for pairs with enough equal minima. A bucket's
-rows, and a hub's partners, are salted.
+with, which joins most copies at the cost of one comparison a row. Then the rows
+of a bucket that are still apart meet in a sorted stream with their minima and
+shingles, and all pairs of them are compared in numpy, by minima and, with enough
+equal ones, by shingles. What is joined there is compared no more, and pairs never
+become rows: a bucket gives one link at most for each component that it joins.
+Buckets above SMALL go a growing number of hubs at a time, salted, and are done
+when all their rows are joined.
 
 Defined cases: texts of fewer than five words have one shingle, texts without
 words none and no near copies here.
@@ -34,11 +35,13 @@ SIMILARITY = 0.8
 WORDS = 5
 BANDS = 32
 ROWS = 5
-SMALL = 32
+#: Buckets of so many rows are compared whole, each in one place; of larger ones so many hubs at a time.
+SMALL = 2048
+HUBS = 1024
 SALTS = 64
 #: Of BANDS * ROWS minima, each equal with a chance of the similarity, so many at least agree: 0.55 for 0.8, eight deviations below.
 LEAST_EQUAL = 88
-#: Bytes of minima that are compared at once, and rows of a bucket for each salt.
+#: Bytes of minima that are compared at once, and rows of a large bucket for each salt.
 COMPARED = 16 << 20
 ROWS_PER_SALT = 1024
 #: Of two texts that may be near copies, the logarithms of the numbers of shingles differ by less; so their bins by one at most.
@@ -88,35 +91,91 @@ def _keys(batches):
 
 
 @tidied
-def _likely(batches):
-    """Stream of bucket rows (key, salt, role, at, row, c, n, print), hubs (role 0) first, to pairs (a, b) that may be near copies: apart so far, of like size, and with enough equal minima."""
-    held, hubs = None, None
+def _sets(batches):
     for batch in batches:
-        key, salt, role, at, row, c, n = (batch.column(i).to_numpy() for i in range(7))
-        prints = buffer_of(batch.column(7))[0].reshape(-1, len(_FACTORS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())], names=["row", "shingles"])
+
+
+def _shared(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each of the sets has in common with ``own``."""
+    if len(sets) < 8:
+        return np.array([len(np.intersect1d(own, x, assume_unique=True)) for x in sets], np.int64)
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    return np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
+
+
+class _Cell:
+    """Rows of a bucket and salt, hubs first; finds near copies among those that are still apart, and joins them."""
+
+    def __init__(self):
+        self.hubs, self.sets, self.moved = None, [], {}
+
+    def place(self, c: np.ndarray) -> np.ndarray:
+        """Components after what was joined here."""
+        for old, new in self.moved.items():
+            c[c == old] = new
+        return c
+
+    def add(self, at, row, c, n, prints, sets) -> None:
+        new = [at.copy(), row.copy(), self.place(c.copy()), n.copy(), prints.copy()]
+        self.hubs = new if self.hubs is None else [np.concatenate(x) for x in zip(self.hubs, new, strict=True)]
+        self.sets += [x.copy() for x in sets]
+
+    def join(self, c: np.ndarray, old: int, new: int) -> None:
+        for known in (k for k, v in self.moved.items() if v == old):
+            self.moved[known] = new
+        self.moved[old] = new
+        c[c == old] = new
+        self.hubs[2][self.hubs[2] == old] = new
+
+    def links(self, at, row, c, n, prints, sets):
+        """Links (hub, row) that join the same components as all near copies among hubs and these rows."""
+        hub_at, hub_row, hub_c, hub_n, hub_prints = self.hubs
+        step = max(1, COMPARED // (len(hub_at) * len(_FACTORS)))
+        for low in range(0, len(at), step):
+            part = slice(low, low + step)
+            own = self.place(c[part].copy())
+            small, large = np.minimum(hub_n, n[part, None]), np.maximum(hub_n, n[part, None])
+            fits = (hub_at < at[part, None]) & (hub_c != own[:, None]) & (small >= (SIMILARITY - 1e-9) * large)
+            if not fits.any():
+                continue
+            fits &= (hub_prints[None] == prints[part][:, None]).sum(axis=2) >= LEAST_EQUAL
+            for j in np.flatnonzero(fits.any(axis=0)):
+                i = np.flatnonzero(fits[:, j] & (own != hub_c[j]))
+                if not len(i):
+                    continue
+                both = _shared(self.sets[j], [sets[low + k] for k in i])
+                for k in i[both / np.maximum(1, hub_n[j] + n[part][i] - both) >= SIMILARITY]:
+                    if own[k] != hub_c[j]:
+                        yield hub_row[j], row[low + k]
+                        self.join(own, own[k], hub_c[j])
+
+
+@tidied
+def _near(batches):
+    """Stream of bucket rows (key, salt, role, own, at, row, c, n, print, shingles), hubs (role 0) first, to links (a, b) of near copies; ``own`` tells the rows that hubs are compared with."""
+    held, cell = None, None
+    for batch in batches:
+        key, salt, role, own, at, row, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+        prints = buffer_of(batch.column(8))[0].reshape(-1, len(_FACTORS))
+        data, ends = buffer_of(batch.column(9))
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])) if len(key) else []
         pairs = [[], []]
         for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-            if (own := (int(key[a]), int(salt[a]))) != held:
-                held, hubs = own, None
+            if (name := (int(key[a]), int(salt[a]))) != held:
+                held, cell = name, _Cell()
+            sets = [data[ends[k] : ends[k + 1]].view("<u8") for k in range(a, b)]
             middle = a + int(np.searchsorted(role[a:b], 1))
             if middle > a:
-                new = [x[a:middle].copy() for x in (at, row, c, n, prints)]
-                hubs = new if hubs is None else [np.concatenate(x) for x in zip(hubs, new, strict=True)]
-            if hubs is None:
+                cell.add(at[a:middle], row[a:middle], c[a:middle], n[a:middle], prints[a:middle], sets[: middle - a])
+            chosen = np.flatnonzero(own[a:b])
+            if cell.hubs is None or not len(chosen):
                 continue
-            step = max(1, COMPARED // (len(hubs[0]) * len(_FACTORS)))
-            for low in range(middle, b, step):
-                part = slice(low, min(b, low + step))
-                small, large = np.minimum(hubs[3], n[part, None]), np.maximum(hubs[3], n[part, None])
-                fits = (hubs[0] < at[part, None]) & (hubs[2] != c[part, None]) & (small >= (SIMILARITY - 1e-9) * large)
-                if not fits.any():
-                    continue
-                equal = (hubs[4][None] == prints[part][:, None]).sum(axis=2)
-                i, j = np.nonzero(fits & (equal >= LEAST_EQUAL))
-                pairs[0].append(hubs[1][j])
-                pairs[1].append(row[part][i])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)) for p in pairs], names=["a", "b"])
+            for x, y in cell.links(*(v[a:b][chosen] for v in (at, row, c, n, prints)), [sets[k] for k in chosen]):
+                pairs[0].append(x)
+                pairs[1].append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], names=["a", "b"])
 
 
 @tidied
@@ -167,7 +226,7 @@ def merged(texts: DataFrame, place: DataFrame) -> DataFrame:
 
     first = unlike(rows.filter("least < row").select(F.col("least").alias("a"), F.col("row").alias("b")))
     place = _joined(place, cut(checked(own, first), "near-links", narrow=True))
-    done, hubs = 0, 1
+    done, hubs, sets = 0, 1, None
     while True:
         live = buckets.filter((F.col("at") > done) & (F.col("size") > done + 1)).join(place, "row")
         if done:
@@ -180,13 +239,15 @@ def merged(texts: DataFrame, place: DataFrame) -> DataFrame:
         live = cut(live.join(apart, ["key", "bin"], "left_semi"), "near-live", narrow=True)
         if live.isEmpty():
             return place
-        salts = F.greatest(F.lit(1), F.least(F.lit(SALTS), F.floor(F.col("size") / ROWS_PER_SALT))).cast("int")
-        mine = F.struct(F.lit(1).alias("role"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
-        as_hub = F.transform(F.sequence(F.lit(0), salts - 1), lambda x: F.struct(F.lit(0).alias("role"), x.alias("salt")))
+        if sets is None:  # later rounds have no other rows
+            chosen = own.join(live.select("row").distinct(), "row", "left_semi").select("row", "text")
+            sets = cut(lean(chosen).mapInArrow(_sets, "row long, shingles binary").join(found.select("row", "print"), "row"), "near-sets")
+        salts = F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / ROWS_PER_SALT)).cast("int")
+        mine = F.pmod(F.xxhash64("row"), salts).cast("int")
         is_hub = (F.col("at") <= done + hubs) | (F.col("size") <= SMALL)
-        entries = F.explode(F.when(is_hub, F.concat(F.array(mine), as_hub)).otherwise(F.array(mine)))
-        stream = live.join(found.select("row", "print"), "row").select("key", entries.alias("e"), "at", "row", "c", "n", "print")
-        stream = stream.select("key", "e.salt", "e.role", F.col("at").cast("long").alias("at"), "row", "c", "n", "print").repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
-        pairs = lean(stream).mapInArrow(_likely, "a long, b long").distinct()
-        place = _joined(place, cut(checked(own, cut(pairs, "near-pairs", narrow=True)), "near-links", narrow=True))
-        done, hubs = done + hubs, hubs * 4
+        entry = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("salt"), (x == mine).alias("own"))
+        entries = F.explode(F.when(is_hub, F.transform(F.sequence(F.lit(0), salts - 1), lambda x: entry(0, x))).otherwise(F.array(entry(1, mine))))
+        stream = live.select("key", entries.alias("e"), F.col("at").cast("long").alias("at"), "row", "c", "n").join(sets, "row")
+        stream = stream.select("key", "e.salt", "e.role", "e.own", "at", "row", "c", "n", "print", "shingles").repartition("key", "salt").sortWithinPartitions("key", "salt", "role", "at")
+        place = _joined(place, cut(lean(stream).mapInArrow(_near, "a long, b long").distinct(), "near-links", narrow=True))
+        done, hubs = done + hubs, min(hubs * 4, HUBS)

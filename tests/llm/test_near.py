@@ -81,3 +81,30 @@ def test_rows_without_a_partner_of_like_size_rest(spark, monkeypatch):
     got = dict(near.merged(rows, rows.select("row", rows["row"].alias("c"))).collect())
     assert len({got[i] for i in range(40)}) == 1 and len(set(got.values())) == 3
     assert left == [0]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_pairs_that_are_no_near_copies_become_no_rows(spark, monkeypatch, large):
+    """Texts of one template, of which each pair has some 0.7 in common and few more: their pairs grow with the square of their number."""
+    if large:
+        monkeypatch.setattr(near, "SMALL", 1)
+        monkeypatch.setattr(near, "HUBS", 8)
+        monkeypatch.setattr(near, "ROWS_PER_SALT", 16)
+    words, rng = [f"w{i}" for i in range(300)], random.Random(4)
+    texts = [" ".join([*words[:130], *(f"x{k}-{i}" for i in range(40)), *words[170:]]) for k in range(50)]
+    texts += [t.replace("w20 ", "other ").replace("w250 ", f"o{k} ") for k, t in enumerate(texts[:10])]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(2)
+    made, cut = [], near.cut
+
+    def counted(df, name, **more):
+        out = cut(df, name, **more)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near, "cut", counted)
+    got = dict(near.merged(rows, rows.select("row", rows["row"].alias("c"))).collect())
+    want = plain_groups(texts)
+    assert len(set(zip([got[i] for i in range(60)], want, strict=True))) == len(set(got.values())) == len(set(want)) == 50
+    assert max(n for name, n in made if name not in ("near-buckets", "near-live")) <= 60
+    assert large or sum(name == "near-live" for name, _ in made) <= 2
