@@ -27,6 +27,7 @@ empty result.
 from __future__ import annotations
 
 import json
+import os
 import threading
 
 import numpy as np
@@ -48,8 +49,10 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 SEPARATOR = "\x01"
 WORDS_AT_ONCE = 500
 #: Bound of a worker's table of words; WORD_BYTES is what an entry takes beside its signs.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 WORD_BYTES = 120
+#: Bytes of text split at once; index arrays take some thirty times as much.
+SPLIT_BYTES = 512 << 10
 
 _local = threading.local()
 
@@ -60,11 +63,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _splits_known(path: str) -> bool:
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
-    split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    return (told.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split.get("pattern") == {"Regex": SPLITS}
+def _splits_known(coder) -> bool:
+    """Asked of the open vocabulary: its file, read as JSON, would take more than the vocabulary itself."""
+    normalizer, splitter = (json.loads(x.__getstate__()) if x else {} for x in (coder.normalizer, coder.pre_tokenizer))
+    split = (splitter.get("pretokenizers") or [{}])[0]
+    return normalizer.get("normalizers") == NORMALIZERS and split.get("pattern") == {"Regex": SPLITS}
 
 
 #: 0 white space, 1 letter, 2 digit, 3 other sign of printable ASCII, 4 anything else.
@@ -79,21 +82,27 @@ class Coder:
     """A vocabulary file opened for whole words and for pieces of normalised text.
 
     Words seen before are held as numbers into one flat array of ids, for the
-    life of the worker; above ``CACHE_BYTES`` the table starts anew.
+    life of the worker; above ``CACHE_BYTES`` the table starts anew. The
+    encoders share one vocabulary in memory.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # A task has one core; threads of the library would each keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         if self._ids(" a  b ") != self._ids("a") + self._ids("b"):
             raise ValueError(f"{path} encodes white space; words cannot be encoded on their own")
-        self.piece = Tokenizer.from_file(path)
+        self.normalizer = self.whole.normalizer
+        # Special tokens are cut out beforehand; a vocabulary that adds others is opened again.
+        added = self.whole.get_added_tokens_decoder().values()
+        self.piece = Tokenizer(self.whole.model) if all(t.special for t in added) else Tokenizer.from_file(path)
         self.piece.no_truncation()
         self.piece.no_padding()
-        self.normalizer = self.piece.normalizer
+        self.piece.pre_tokenizer = self.whole.pre_tokenizer
         self.piece.normalizer = normalizers.Sequence([])
         self.piece.encode_special_tokens = True
         self.size = self.whole.get_vocab_size()
@@ -101,15 +110,12 @@ class Coder:
         # Token i followed by a blank; token i alone is number size + i.
         self.shown = pa.array([f"{t} ".encode() for t in self.token] + [t.encode() for t in self.token], pa.large_binary())
         self.length = np.array([len(t.removesuffix("</w>")) for t in self.token], np.int64)
-        self.special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = sorted((t.content for t in added), key=len, reverse=True)
         alone = self._ids(SEPARATOR)
         self.separator = alone[0] if len(alone) == 1 and self._ids(f"a {SEPARATOR} a") == self._ids("a") + alone + self._ids("a") else None
-        self.parted = _splits_known(path)
+        self.parted = _splits_known(self.whole)
         # One split each: no normaliser, no pattern to run.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.no_truncation()
-        self.letters.no_padding()
-        self.letters.normalizer = normalizers.Sequence([])
+        self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.array([t.endswith("</w>") for t in self.token])
         self.odd = np.zeros(256, bool)
@@ -360,7 +366,7 @@ def _encode(path: str):
     def run(batches):
         coder = _coder(path)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SPLIT_BYTES):
                 number, distinct, first = coder.parts(*buffer_of(part.column(1)))
                 ids, place = coder.gather(coder.numbers(distinct.to_pylist())[number])
                 place = place[first]

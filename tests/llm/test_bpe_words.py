@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -52,3 +55,28 @@ def test_stages_on_an_empty_table(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.collect() == [] and (name == "bpe" or out.columns == docs.columns), name
+
+
+_WORKER = r"""
+import random, re
+import pyarrow as pa
+from lathe.llm import bpe
+
+def held():
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rng = random.Random(1)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(60)) + " and the rest of it" * 70 for _ in range(500)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], names=["doc_id", "text"])
+
+before = held()
+print(max(held() - before for _ in bpe._encode(bpe.vocabulary_path())(batches())))
+"""
+
+
+def test_a_worker_stays_small():
+    # Two workers share an executor with the JVM; 1.2 million different words go through this one.
+    done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(done.stdout) < 180  # MB
