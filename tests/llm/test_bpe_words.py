@@ -58,7 +58,7 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 
 
 _WORKER = r"""
-import random, re
+import random, re, sys
 import pyarrow as pa
 from lathe.llm import bpe
 
@@ -69,14 +69,18 @@ def batches():
     rng = random.Random(1)
     for _ in range(40):
         texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(60)) + " and the rest of it" * 70 for _ in range(500)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], names=["doc_id", "text"])
+        columns = {"doc_id": pa.array(range(500)), "text": pa.array(texts)}
+        if sys.argv[1] == "whole":  # as the pipeline's rows travel
+            columns["row"] = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+        yield pa.RecordBatch.from_pydict(columns)
 
 before = held()
 print(max(held() - before for _ in bpe._encode(bpe.vocabulary_path())(batches())))
 """
 
 
-def test_a_worker_stays_small():
+@pytest.mark.parametrize("rows", ["narrow", "whole"])
+def test_a_worker_stays_small(rows):
     # Two workers share an executor with the JVM; 1.2 million different words go through this one.
-    done = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    done = subprocess.run([sys.executable, "-c", _WORKER, rows], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
     assert float(done.stdout) < 180  # MB
