@@ -59,6 +59,17 @@ def view_references(views: DataFrame) -> DataFrame:
     return views.select("doc_id", "sheet", "ordinal", F.lit("drawing_view").alias("kind"), F.col("name").alias("source_name"), F.col("referenced_document").alias("stored_path"), F.col("referenced_configuration").alias("configuration"))
 
 
+def stored_references(rows: DataFrame) -> DataFrame:
+    """References that a document's reader has put in order, with flags and numbers; columns that it left out are null."""
+    held = {c: F.col(c) for c in rows.columns}
+    text = lambda c: held.get(c, F.lit(None).cast("string"))
+    flag = lambda c, name: (values.tristate(held[c]) if c in held else F.lit(None).cast("boolean")).alias(name)
+    return rows.select(
+        "doc_id", "kind", "configuration_index", text("source_name").alias("source_name"), "stored_path", "document_kind", "referenced_configuration", flag("suppressed", "is_suppressed"), flag("hidden", "is_hidden"),
+        flag("excluded", "exclude_from_bom"), flag("virtual", "is_virtual"), values.trimmed_integer(text("instance_number")).alias("instance_number"), "reference_id", "place",
+    )
+
+
 def references(component_rows: DataFrame, header_files: DataFrame, views: DataFrame) -> DataFrame:
     """All stored references of each document."""
     c = component_rows.select("doc_id", F.lit("assembly_component").alias("kind"), F.col("instance_name").alias("source_name"), "stored_path", "document_kind", F.col("referenced_configuration").alias("configuration"), "configuration_index")

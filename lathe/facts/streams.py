@@ -10,9 +10,12 @@ on the tables (``facts.resolve``).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+from itertools import batched, chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from lathe.operators.numbering import cut
 from lathe.sources import containers
 from lathe.sources.limits import SERVICE, Limits
 
-from .xmltree import Node, XmlFault, parse
+from .xmltree import Light, Node, XmlFault, light, parse
 
 # ---- fixed values of the document format -------------------------------------
 CUSTOM, CORE, SYSTEM = "docProps/custom.xml", "docProps/core.xml", "docProps/ISolidWorksInformation.xml"
@@ -61,7 +64,7 @@ def _properties(root: Node, path: str, _entry: str, _data: bytes):
 
 
 def _kinds(root: Node, _path: str, _entry: str, _data: bytes):
-    header = next((n for n in root.walk() if n.tag == "swHeader"), None)
+    header = root.first("swHeader")
     own = header.named("swFile")[0] if header and header.named("swFile") else None
     if own and own.attributes.get("swDocType"):
         yield _kind(own.attributes["swDocType"]), own.attributes["swDocType"]
@@ -185,6 +188,70 @@ TABLES = {
 }
 
 
+#: Columns of stored references that are attributes of a component's occurrence.
+OCCURRENCE = {"source_name": "swName", "suppressed": "swSuppressed", "hidden": "swHidden", "excluded": "swExcludeFromBOM", "virtual": "swIsVirtualComponent", "instance_number": "swReferenceNumber"}
+
+
+def _stored_references(streams: list[tuple[str, Node | Light]], without: tuple[str, ...] = ()) -> list[tuple]:
+    """References of one document in the order in which a walk meets them: external ones, views, components.
+
+    The same rows as ``operators.project.stored_references`` makes of the tables of
+    ``facts.resolve``; which models are roots, and which of equal ids counts, is told
+    there (``components``).
+    """
+    columns = [c for c in OCCURRENCE if c not in without]
+    attributes, none = [OCCURRENCE[c] for c in columns], (None,) * len(columns)
+    external, views, files, models, named = [], [], [], [], {}
+    for path, root in streams:
+        if path == FEATURES:
+            external += [(n, stored is not None, stored or "", stored, kind) for n, _, stored, kind in _files(root, path, "", b"") if n > 0]
+        elif path == KEYWORDS:
+            views += [(n, k, stored is not None, stored or "", name, stored, configuration) for n, k, _, name, stored, configuration in _views(root, path, "", b"")]
+        elif path == TREE:
+            files += [(n, a["id"], a.get("swPath"), a.get("swDocType")) for n, f in enumerate(_header(root)) if "id" in (a := f.attributes)]
+            models += [(n, m, m.attributes) for found in root.named("swModelList")[:1] for n, m in enumerate(found.named("swModel"))]
+            for index, model in _roots(root, path, "", b""):
+                named.setdefault(index, set()).add(model)
+    files.sort(key=itemgetter(0))
+    models.sort(key=itemgetter(0))
+    rows = [(n, n - 1, "external_feature", None, stored, kind, None, *none) for n, (*_, stored, kind) in enumerate(sorted(external, key=itemgetter(0, 1, 2)), 1)]
+    for *_, name, stored, configuration in sorted(views, key=itemgetter(0, 1, 2, 3)):
+        rows.append((len(rows) + 1, len(rows), "drawing_view", None, stored, None, configuration, *(name if c == "source_name" else None for c in columns)))
+    stored_by = {file: (stored, _kind(kind)) for _, file, stored, kind in files}
+    target, nothing = {}, (None, None, None)
+    for _, _, a in models:
+        if (name := a.get("id")) is not None:
+            target[name] = (*stored_by.get(a.get("swFileRef"), nothing[:2]), a.get("swConfigurationName"))
+    roots: dict[int, list[int]] = {}
+    for n, _, a in models:
+        index = _whole(a["swConfigurationId"]) if "swConfigurationId" in a else None
+        if index is not None and (len(named[index]) == 1 and a.get("id") in named[index] if index in named else not files or a.get("swFileRef") == files[0][1]):
+            roots.setdefault(n, []).append(index)
+    found: dict[int, list] = {}
+    for n, m, _ in models if roots else ():
+        for index in roots.get(n, ()):
+            found.setdefault(index, []).append(m)
+    for index in sorted(found):
+        before = len(rows)
+        for m in found[index]:
+            for r in m.named("swReference"):
+                get = r.attributes.get
+                stored, kind, configuration = target.get(get("swModelRef"), nothing)
+                own = get("swConfigurationName")
+                n = len(rows)
+                rows.append((n + 1, n - before, "assembly_component", index, stored, kind, configuration if own is None else own, *map(get, attributes)))
+    return rows
+
+
+#: Tables of whole documents, as ``TABLES``; their readers take (path, tree) of all streams of a document that fit, and columns to leave out. Given by ``read_tables`` only.
+WHOLE = {
+    "stored_references": (
+        f"^({FEATURES}|{TREE}|{KEYWORDS})$", "reference_id long, place long, kind string, configuration_index long, stored_path string, document_kind string, referenced_configuration string, " + ", ".join(f"{c} string" for c in OCCURRENCE), _stored_references,
+    ),
+}
+_ALL = TABLES | WHOLE
+
+
 def _names(columns: str) -> list[str]:
     out, depth, word = [], 0, ""
     for c in columns + ",":
@@ -215,9 +282,9 @@ def _structs(found: list[tuple], kind: pa.DataType) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(plain(f, c), f.type) for f, c in zip(kind, columns, strict=True)], fields=list(kind))
 
 
-def _tree(raw: bytes, limits: Limits) -> Node | XmlFault:
+def _tree(raw: bytes, limits: Limits, read=parse) -> Node | Light | XmlFault:
     try:
-        return parse(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
+        return read(raw, limits.xml_bytes, limits.xml_nodes, limits.depth)
     except XmlFault as fault:
         return fault
 
@@ -252,23 +319,26 @@ def rows(streams: DataFrame, table: str, limits: Limits = SERVICE) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def _tagged(only: list[str], found, limits: Limits):
+def _tagged(only: list[str], found, limits: Limits, without: tuple[str, ...] = ()):
     """(schema, task function) of rows tagged by table, each in its table's own struct column.
 
     ``found(batch)`` gives (doc_id, entry_id, path, content, tree or fault) of each
     stream, one at a time, and (doc_id, code) for a row of tag ``files``. Documents
-    of many rows, and batches of many documents, are handed on in parts.
+    of many rows, and batches of many documents, are handed on in parts. Columns
+    ``without`` of tables of whole documents are left out.
     """
-    patterns = {name: re.compile(TABLES[name][0]) for name in only}
+    patterns = {name: re.compile(_ALL[name][0]) for name in only}
+    by_stream, by_document = [n for n in only if n in TABLES], [n for n in only if n in WHOLE]
+    columns = {name: ", ".join(c for c in WHOLE[name][1].split(", ") if c.split()[0] not in without) for name in by_document} | {name: TABLES[name][1] for name in by_stream}
     head = "tag string, doc_id string, stream_path string, code string"
-    schema = ", ".join([head, *(f"{name} struct<{_struct(TABLES[name][1])}>" for name in only)])
+    schema = ", ".join([head, *(f"{name} struct<{_struct(columns[name])}>" for name in only)])
     kind = _arrow(schema)
 
     def whole(held: dict[str, list]) -> pa.RecordBatch:
         """The held rows, table by table: a table's own column has values at its rows only."""
         n, at, columns = sum(map(len, held.values())), 0, []
-        tags = [(name, doc, path, code) for name, found in held.items() for doc, path, code, _ in found]
-        columns += [pa.array([t[i] for t in tags], pa.string()) for i in range(4)]
+        columns.append(pa.array([name for name, found in held.items() for _ in found], pa.string()))
+        columns += [pa.array([row[i] for found in held.values() for row in found], pa.string()) for i in range(3)]
         for name, found in held.items():
             own = kind.field(name).type if name in patterns else None
             if own is not None:
@@ -277,20 +347,40 @@ def _tagged(only: list[str], found, limits: Limits):
         return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(kind)))
 
     def run(batches):
+        # A tree is many objects that go with their last use; looking for circles among them is left to every 100,000th.
+        gc.set_threshold(100_000)
         empty = lambda: {name: [] for name in (*only, "faults", "files")}
         for batch in batches:
             held, n = empty(), 0
-            for doc, *stream in found(batch):
+            before: dict[str, list] = {name: [] for name in by_document}
+            last = None
+            for doc, *stream in chain(found(batch), [(None, None)]):
                 if len(stream) == 1:
-                    held["files"].append((doc, None, stream[0], None))
-                    n += 1
+                    for name, trees in before.items():
+                        for rows in batched(WHOLE[name][2](trees, without) if trees else (), ROWS_HELD):
+                            held[name] += [(last, None, None, row) for row in rows]
+                            n += len(rows)
+                            if n >= ROWS_HELD:
+                                yield whole(held)
+                                held, n = empty(), 0
+                        trees.clear()
+                    if doc is not None or stream[0] is not None:
+                        held["files"].append((doc, None, stream[0], None))
+                        n += 1
+                        if n >= ROWS_HELD:
+                            yield whole(held)
+                            held, n = empty(), 0
+                    last = doc
                     continue
                 entry, path, raw, root = stream
                 if isinstance(root, XmlFault):
                     held["faults"].append((doc, path, str(root), None))
                     n += 1
                     continue
-                for name in only:
+                for name in by_document:
+                    if patterns[name].search(path):
+                        before[name].append((path, root))
+                for name in by_stream:
                     if patterns[name].search(path):
                         for row in TABLES[name][2](root, path, entry, raw):
                             held[name].append((doc, path, None, row))
@@ -317,29 +407,30 @@ def tables(streams: DataFrame, limits: Limits = SERVICE) -> dict[str, DataFrame]
     return {name: df for name, df in found.items() if name != "files"}
 
 
-def read_tables(documents: DataFrame, only: list[str], kept: list[str], limits: Limits = SERVICE, faults: bool = True) -> dict[str, DataFrame]:
+def read_tables(documents: DataFrame, only: list[str], kept: list[str], limits: Limits = SERVICE, faults: bool = True, without: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The tables ``only`` of documents (path, content), and ``faults`` and ``files``, from one pass.
 
     Containers and streams are read in the same task, one document at a time: the
     bytes of streams are neither written nor sent. ``files`` has a row for each
     document; its code holds E if the container has an error and R if any stream is
     decoded whose path is in ``kept``. Without ``faults`` only streams that the
-    tables read are parsed.
+    tables read are parsed. ``without``: columns of ``WHOLE`` that aren't asked for.
     """
-    chosen = re.compile("|".join(p for p, _, _ in (TABLES.values() if faults else (TABLES[name] for name in only))))
+    chosen = re.compile("|".join(p for p, _, _ in (TABLES.values() if faults else (_ALL[name] for name in only))))
+    read_tree = parse if "drawing_records" in only else light
     patterns = [re.compile(p) for p in kept]
     wanted = lambda path, entry: any(p.search(path or "") or p.fullmatch(entry) for p in patterns)
 
     def found(batch):
         for name, data in zip(batch.column("doc_id"), batch.column("content"), strict=True):
-            doc, scan = name.as_py(), containers.scan_bytes(data.as_py() or b"", limits, wanted)
+            doc, scan = name.as_py(), containers.scan_bytes(data.as_py() or b"", limits, wanted, digests=False)
             read = [e for e in scan.entries if e["decoded"] is not None]
             yield doc, "E" * any(severity == "error" for _, severity, _ in scan.notes) + "R" * bool(read)
             for e in read:
                 if chosen.search(e["path"] or ""):
-                    yield doc, e["entry_id"], e["path"], e["decoded"], _tree(e["decoded"], limits)
+                    yield doc, e["entry_id"], e["path"], e["decoded"], _tree(e["decoded"], limits, read_tree)
 
-    schema, run = _tagged(only, found, limits)
+    schema, run = _tagged(only, found, limits, without)
     given = documents.select(F.col("path").alias("doc_id"), F.col("content").cast("binary").alias("content"))
     return _by_tag(cut(given.mapInArrow(run, schema)), only)
 

@@ -19,7 +19,7 @@ def normalize(path: Column) -> Column:
 def lexical(path: Column) -> Column:
     """As ``normalize``, with ``..`` taking back the component before it (none is left: dropped)."""
     folded = F.aggregate(parts(path), F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
-    return F.array_join(folded, "/")
+    return F.when(F.contains(path, F.lit("..")), F.array_join(folded, "/")).otherwise(normalize(path))
 
 
 def host(path: Column) -> Column:
@@ -27,6 +27,12 @@ def host(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/*", "/")
 
 
+def above(path: Column) -> Column:
+    """Text up to the last slash of a host path: cheap, and not normalised."""
+    text = F.translate(path, "\\", "/")
+    return F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "/", -1)))
+
+
 def host_key(path: Column) -> Column:
     """Key under which absolute host paths compare: no scheme, lexical, folded."""
     return fold(lexical(host(path)))

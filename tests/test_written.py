@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lathe import engine
 from lathe.operators.numbering import scratch
@@ -83,3 +84,79 @@ def test_documents_are_written_from_a_stream_of_lines(spark, sf_dir, tmp_path, m
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert len(given) == 3
     assert not [d for d in given if "collect_list" in d._jdf.queryExecution().toString()]
+
+
+def test_references_of_a_project_are_written_once(spark, sf_dir):
+    """Of tables with a row for each edge only the references come to disk, without what no label asks for."""
+    folder = scratch(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    edges = catalog.QUERIES["scanned_edges"](spark, sf_dir)
+    n = edges.count()
+    large = [spark.read.parquet(d) for d in set(glob.glob(f"{folder}/*")) - before if spark.read.parquet(d).count() >= n]
+    assert len(large) == 1
+    assert large[0].select("stored_references.*").columns == ["reference_id", "place", "kind", "configuration_index", "stored_path", "document_kind", "referenced_configuration", "suppressed", "virtual"]
+
+
+@pytest.mark.parametrize("follow", [False, True])
+@pytest.mark.parametrize("order", ["before", "after"])
+def test_flat_projects_are_as_a_walk_gives_them(spark, monkeypatch, follow, order):
+    """Assemblies of parts only: places come from sums, not from a walk, and labels are the same wherever the parts stand among the roots."""
+    from lathe.operators import project
+
+    from .test_project import assembly
+
+    name = {"before": "a%d.sldprt", "after": "z%d.sldprt"}[order]
+    uses = lambda k: [(name % (n % 3), "PART", 'swSuppressed="yes"' * (n % 4 == k)) for n in range(5)] + [("none.sldprt", "PART", "")]
+    given = {f"file:/p/m{k}.sldasm": assembly(f"/p/m{k}.sldasm", uses(k)) for k in range(3)} | {f"file:/p/{name % n}": assembly(name % n, [], "PART") for n in range(3)}
+    documents = spark.createDataFrame([(k, bytearray(fx.chunk_file(v))) for k, v in given.items()], "path string, content binary")
+    facts = engine.parse(documents, "desktop", only=[*project.FACTS])
+    none = F.lit(None).cast("string")
+    held = facts["parse_status"].select(F.col("doc_id").alias("path"), none.alias("container"), none.alias("embedded_name"))
+
+    def rows(roots):
+        graph = project.scan(facts, held, project.ProjectOptions("/p", follow_suppressed=follow), roots)
+        return graph.status, *(sorted(map(str, t.select(sorted(t.columns)).collect())) for t in (graph.edges, graph.nodes, graph.report, graph.diagnostics))
+
+    for roots in (None, ["file:/p/m2.sldasm", "file:/p/m0.sldasm"]):
+        flat = rows(roots)
+        starts = spark.createDataFrame([("project", r, i) for i, r in enumerate(roots or sorted(given))], "project string, node string, root_order long")
+
+        def walked(stored, references, answers, first, files, options, limits, starts=starts):
+            return project._walked(references.drop("leads", "target_order", "place"), starts, None, files, None, options, limits)[:2]
+
+        with monkeypatch.context() as m:
+            m.setattr(project, "_flat", walked)
+            assert rows(roots) == flat
+        assert len(flat[1]) == 6 * (3 if roots is None else 2)
+
+
+def test_report_counts_what_tables_hold(spark, documents):
+    from lathe.operators import project, resolve
+
+    facts = engine.parse(documents, "desktop", only=[*project.FACTS])
+    none = F.lit(None).cast("string")
+    held = facts["parse_status"].select(F.concat(F.lit("file:/p/"), "doc_id", F.lit(".sldasm")).alias("path"), none.alias("container"), none.alias("embedded_name"))
+    tables = {name: facts[name].withColumn("doc_id", F.concat(F.lit("file:/p/"), "doc_id", F.lit(".sldasm"))) for name in project.FACTS}
+    graph = project.scan(tables, held, project.ProjectOptions("/p"))
+    want = resolve.status_report(graph.nodes, graph.edges, graph.diagnostics)
+    assert sorted(map(tuple, graph.report.collect())) == sorted(map(tuple, want.collect()))
+    assert graph.status == "rejected" and graph.edges.count() > 0
+
+
+def test_trees_without_ranges_read_the_same():
+    from lathe.facts import xmltree
+
+    def seen(read, data, *caps):
+        try:
+            root = read(data, *caps)
+        except xmltree.XmlFault as fault:
+            return str(fault)
+        return [(n.tag, n.attributes, n.first_text(), [c.tag for c in n.children], len(n.named("a"))) for n in root.walk()]
+
+    bodies = [
+        b"<a x='1'>t<b/>u<a>v</a></a>", b"junk<a/>\0\0", b"", b"no", b"<a", b"<a></b>", b"<p:a p:x='1'/>", b"<a xmlns:p='u'><p:b p:y='2'/></a>", b"<a xml:space='preserve'> </a>", b"<!DOCTYPE a><a/>", b"<a>x<!-- c -->y<![CDATA[<z>]]></a>",
+        b"<?xml version='1.0' encoding='latin-1'?><a>\xc3\xa9</a>", b"<a>\xff</a>", b"<a>&lt;&#65;</a>", b"<a>&no;</a>", b"<a/><a/>", b"<a><b><a/></b></a>", b"<a><b/><b/><b/></a>", b"<a x='1' x='2'/>", b"<a>x<?q r?>y</a>",
+    ]
+    for data in bodies:
+        for caps in ((1 << 20, 1000, 256), (1 << 20, 3, 256), (1 << 20, 1000, 2), (4, 1000, 256)):
+            assert seen(xmltree.light, data, *caps) == seen(xmltree.parse, data, *caps), (data, caps)
